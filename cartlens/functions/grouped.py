@@ -126,3 +126,49 @@ def pivot_sum(df: DataFrame, keys: Sequence[str], column: str, values: Sequence,
         (only,) = measures
         return out.select(*keys, *[F.col(f"`{v}`").alias(f"{only}{sep}{v}") for v in values])
     return out.select(*keys, *[F.col(f"`{v}_{n}`").alias(f"{n}{sep}{v}") for v in values for n in measures])
+
+
+def exact_rank(df: DataFrame, by: Sequence[str], value: str, name: str, descending: bool = False) -> DataFrame:
+    """rank() with shared ranks for ties, without one task per group: equal
+    values are counted first, ranks run over value slots, and are joined back."""
+    from .scan import chunked_scan
+
+    levels = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    levels = slot_by_value(levels, by, value)
+    slot = -F.col("__slot") if descending else F.col("__slot")
+    order = F.col(value).desc() if descending else F.col(value)
+    ranked = chunked_scan(
+        levels, by, [order], slot,
+        inner={"__in": lambda w: F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))},
+        summary={"__tot": F.sum("__n")},
+        carry={"__off": lambda w: F.sum("__tot").over(w.rowsBetween(Window.unboundedPreceding, -1))},
+        result={name: F.col("__in") + F.coalesce(F.col("__off"), F.lit(0)) - F.col("__n") + 1})
+    return df.join(ranked.select(*by, value, name), [*by, value])
+
+
+def top_n_with_rest(df: DataFrame, label: str, order: Sequence[Column], n: int, sums: Sequence[str],
+                    rest: str = "Others") -> DataFrame:
+    """The n best rows and one row with the sums of all others."""
+    top = df.orderBy(*order).limit(n).select(F.col(label).cast("string").alias(label), *sums)
+    whole = df.agg(*[F.sum(c).alias(c) for c in sums])
+    head = top.agg(*[F.sum(c).alias(c) for c in sums])
+    remainder = whole.select(F.lit(rest).alias(label), *[
+        (F.col(c) - F.coalesce(head.select(c).scalar(), F.lit(0))).alias(c) for c in sums])
+    return top.unionByName(remainder)
+
+
+def with_total_row(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], total: str = "Total") -> DataFrame:
+    """Groups of the first key plus a Total row per remaining keys, computed from
+    the rows (rollup): distinct measures never get added up."""
+    first, *rest = keys
+    sets = df.cube(first).agg(*[a.alias(n) for n, a in aggs.items()], F.grouping_id().alias("__g")) if not rest else (
+        df.groupingSets([[F.col(k) for k in keys], [F.col(k) for k in rest]], *keys)
+        .agg(*[a.alias(n) for n, a in aggs.items()], F.grouping(first).alias("__g")))
+    name = F.when(F.col("__g") > 0, F.lit(total)).otherwise(F.col(first).cast("string"))
+    return sets.select(name.alias(first), *rest, *aggs)
+
+
+def complete_keys(df: DataFrame, key: str, cell: str, cells: int) -> DataFrame:
+    """Rows of the keys that have all cells present."""
+    full = df.groupBy(key).agg(F.countDistinct(cell).alias("__c")).filter(F.col("__c") == cells)
+    return df.join(full, key, "left_semi")

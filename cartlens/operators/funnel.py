@@ -45,18 +45,18 @@ def funnel_dropoffs(counts: DataFrame, entity: str, steps: Sequence[str]) -> Dat
 def dropoff_reason(loaded: Column, clicked: Column, contact: Column, coupon: Column, edited: Column) -> Column:
     """Why a checkout ended on the summary screen.
 
-    Order matters: conversion and load failure first, then which of contact and
-    coupons was touched, then the edit exit. ``edited`` without any touch is an
-    exit to the address screen, so it is tested before the plain bounce.
+    Conversion and load failure come first, then which of contact and coupons
+    was touched. A checkout known to have touched neither is a bounce; the edit
+    exit is left for checkouts whose contact or coupon state is unknown (NULL).
     """
     return first_match([
         (clicked, "Summary Screen CTA clicked"),
         (~loaded, "Summary Screen did not load"),
+        (contact & ~coupon, "Interacted w contact but not coupons"),
+        (~contact & coupon, "Interacted w coupons but not contact"),
         (contact & coupon, "Interacted w both coupons and contact"),
-        (contact, "Interacted w contact but not coupons"),
-        (coupon, "Interacted w coupons but not contact"),
-        (edited, "Exited to Edit Address"),
         (~contact & ~coupon, "Bounced w/o any interaction"),
+        (edited, "Exited to Edit Address"),
     ], "Others")
 
 

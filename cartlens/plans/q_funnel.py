@@ -51,7 +51,7 @@ REASON_SQL = """CASE WHEN paid = 1 THEN 'Summary Screen CTA clicked'
   WHEN submit = 1 AND failed = 1 THEN 'Interacted w both coupons and contact'
   WHEN submit = 1 THEN 'Interacted w contact but not coupons'
   WHEN failed = 1 THEN 'Interacted w coupons but not contact'
-  WHEN render = 1 THEN 'Exited to Edit Address' ELSE 'Bounced w/o any interaction' END"""
+  ELSE 'Bounced w/o any interaction' END"""
 
 
 def with_reason(fact):

@@ -30,8 +30,14 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(t) -> DataFrame``; ``t`` gives the logical tables."""
+def query(name: str, sql: str | None = None, dates: str = ""):
+    """Register ``fn(t) -> DataFrame``; ``t`` gives the logical tables.
+
+    ``dates`` names date columns of the SQL result, shown as ISO text.
+    """
+    if sql is not None and dates:
+        swaps = ", ".join(f"strftime({d}, '%Y-%m-%d') AS {d}" for d in dates.split())
+        sql = f"SELECT * REPLACE ({swaps}) FROM ({sql})"
 
     def wrap(fn):
         from .views import Tables
