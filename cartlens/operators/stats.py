@@ -119,13 +119,10 @@ def rows_to_reach(df: DataFrame, by: Sequence[str], amount: str, share: float, t
     scanned = scanned.join(totals, list(by)) if by else scanned.withColumn(total, totals.select(total).scalar())
     limit = F.abs(F.col(total)) * F.lit(str(share)).cast("decimal(5,4)")
     before = F.col("__upto") - F.col("__sum")
-    # a whole level fits, or the part of it that still stays within the limit;
-    # levels at or below zero lower the running sum again and count like any row
-    part = F.when(F.col("__a") > 0, F.floor(F.try_divide(limit - before, F.col("__a"))))
-    some = F.when(F.col("__upto") <= limit,
-                  F.when((F.col("__a") >= 0) | (before <= limit), F.col("__n"))
-                  .otherwise(F.col("__n") - F.ceil(F.try_divide(before - limit, -F.col("__a"))) + 1))
-    some = some.when((before < limit) & (F.col("__a") > 0), F.greatest(part, F.lit(0))).otherwise(F.lit(0))
+    # Sorted towards the total, the running sum only falls back below the limit if
+    # it never passed it, so levels at or below zero hold no counted row.
+    fits = F.floor(F.try_divide(limit - before, F.col("__a")))
+    some = F.when(F.col("__a") > 0, F.greatest(F.lit(0), F.least(F.col("__n"), fits))).otherwise(F.lit(0))
     hits = scanned.groupBy(*by).agg(F.sum(some.cast("bigint")).alias("rows_needed"))
     if by:
         return hits.join(totals.drop(total), list(by))

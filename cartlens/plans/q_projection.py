@@ -88,7 +88,7 @@ def _(t):
 
 
 @query("p08_not_equal_or_null", """
-SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality <> 1 OR l.quality IS NULL""")
+SELECT d.doc_id, CAST(l.quality AS BIGINT) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality <> 1 OR l.quality IS NULL""")
 def _(t):
     d = t.raw("documents").join(t.raw("labels"), "doc_id", "left")
     return d.filter(x.not_equal_or_null("quality", 1)).select("doc_id", "quality")
@@ -231,7 +231,7 @@ def _(t):
 @query("p17_canonical_text", """
 WITH m AS (SELECT DISTINCT p_type AS raw, substr(p_type, 1, 4) AS clean, p_size * 10 + 5 AS mid FROM part WHERE p_size <= 3)
 SELECT p_partkey, coalesce((SELECT max(clean) FROM m WHERE m.raw = p.p_type AND m.mid = p.p_size * 10 + 5), lower(p_type)) AS label,
-  (SELECT max(mid) FROM m WHERE m.raw = p.p_type AND m.mid = p.p_size * 10 + 5) AS midpoint FROM part p""")
+  CAST((SELECT max(mid) FROM m WHERE m.raw = p.p_type AND m.mid = p.p_size * 10 + 5) AS BIGINT) AS midpoint FROM part p""")
 def _(t):
     p = t.raw("part")
     mapping = p.filter("p_size <= 3").select(
@@ -241,7 +241,7 @@ def _(t):
 
 
 @query("p18_no_duplicate_names", """
-SELECT c.c_custkey AS id, c.c_name AS name, s.s_name AS supplier_name, c.c_nationkey AS nation
+SELECT c.c_custkey AS id, c.c_name AS name, s.s_name AS supplier_name, CAST(c.c_nationkey AS BIGINT) AS nation
 FROM customer c JOIN supplier s ON c.c_custkey = s.s_suppkey""")
 def _(t):
     c = t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("c")
