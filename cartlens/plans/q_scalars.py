@@ -69,7 +69,7 @@ def _(t):
 
 @query("f04_math", """
 WITH s AS (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS sd FROM part)
-SELECT p_partkey, round(p_retailprice, 1) AS r1, abs(p_size - 25)::BIGINT AS a, CAST(CAST(p_retailprice AS BIGINT) / 100 AS DECIMAL(10,2))::DOUBLE AS major,
+SELECT p_partkey, round(p_retailprice, 1) AS r1, abs(p_size - 25)::BIGINT AS a, CAST(CAST(floor(p_retailprice) AS BIGINT) / 100 AS DECIMAL(10,2))::DOUBLE AS major,
   round(sqrt(p_size), 6) AS root, round(asin(sqrt(p_size / 50.0)), 6) AS arc, floor(p_retailprice / 7)::BIGINT AS f, round((p_retailprice - m) / sd, 6) AS z
 FROM part, s""")
 def _(t):
@@ -78,7 +78,7 @@ def _(t):
     price, size = F.col("p_retailprice"), F.col("p_size")
     return p.select(
         "p_partkey", F.round(price, 1).alias("r1"), F.abs(size - 25).alias("a"),
-        (F.round(price).cast("bigint") / 100).cast("decimal(10,2)").alias("major"), x.rounded(F.sqrt(size)).alias("root"),
+        (F.floor(price) / 100).cast("decimal(10,2)").alias("major"), x.rounded(F.sqrt(size)).alias("root"),
         x.rounded(F.asin(F.sqrt(size / 50.0))).alias("arc"), F.floor(price / 7).alias("f"),
         x.rounded(x.ratio(price - s.select("m").scalar(), s.select("sd").scalar())).alias("z"))
 

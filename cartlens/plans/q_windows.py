@@ -47,7 +47,7 @@ def _(t):
 
 
 @query("w05_lag_in_message", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, date_diff('day', lag(l_shipdate) OVER (PARTITION BY l_orderkey
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, date_diff('day', lag(l_shipdate) OVER (PARTITION BY l_orderkey
   ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey), l_shipdate) AS days FROM lineitem""")
 def _(t):
     l = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")  # noqa: E741
