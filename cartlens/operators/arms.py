@@ -60,7 +60,7 @@ def l0_compare(metrics: DataFrame, by: Sequence[str], arm: str, arms: Sequence[s
 def balanced_entities(df: DataFrame, arm: str, entity: str, arms: Sequence[str], ident: str) -> DataFrame:
     """Entities whose traffic is in every arm; an arm with 0 or 100 % is contaminated."""
     per_id = df.filter(F.col(arm).isin(list(arms))).select(entity, arm, ident).distinct()
-    split = pivot_sum(per_id, [entity], arm, arms, {"n": F.count("*")})
+    split = pivot_sum(per_id, [entity], arm, arms, {"n": F.count(ident)})
     n = [F.coalesce(F.col(f"n_{a}"), F.lit(0)) for a in arms]
     total = n[0]
     for c in n[1:]:

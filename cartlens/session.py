@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: str | int = "*", app: str = "cartlens") -> SparkSession:
@@ -42,3 +42,11 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not shared:
         shared = tempfile.mkdtemp(prefix="cartlens-")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a reduced table once and read it back, where a plan uses it many
+    times. Written files survive a lost executor, unlike a cache."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
