@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import bands, first_match, flag, ratio, sum_money
-from ..functions.grouped import complete_keys, count_ids, pivot_sum, top_n, with_total_row, with_totals  # noqa: F401
+from ..functions.expr import first_match, flag, ratio, sum_money
+from ..functions.grouped import count_ids, pivot_sum, top_n, with_total_row, with_totals
 
 
 def waterfall(df: DataFrame, entity: str, measure: str, period: str, pre: str, post: str, n: int = 10) -> DataFrame:
@@ -24,10 +24,10 @@ def waterfall(df: DataFrame, entity: str, measure: str, period: str, pre: str, p
     ends = p.agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     moved = movers.agg(F.sum("value").alias("m"))
     d = ends.withColumn("m", F.coalesce(moved.select("m").scalar(), F.lit(0)))
+    row = lambda seq, label, value: F.struct(
+        F.lit(seq).cast("bigint").alias("seq"), F.lit(label).alias("label"), value.alias("value"))
     frame = d.select(F.inline(F.array(
-        F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(pre).alias("label"), F.col("a").alias("value")),
-        F.struct(F.lit(n + 1).cast("bigint"), F.lit("Others"), F.col("b") - F.col("a") - F.col("m")),
-        F.struct(F.lit(n + 2).cast("bigint"), F.lit("subtotal"), F.col("b")))))
+        row(0, pre, F.col("a")), row(n + 1, "Others", F.col("b") - F.col("a") - F.col("m")), row(n + 2, "subtotal", F.col("b")))))
     return movers.unionByName(frame)
 
 
