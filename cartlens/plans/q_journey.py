@@ -18,7 +18,7 @@ PROBS = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.
 
 
 def pct(c, extra=""):
-    return ", ".join(f"round(quantile_cont({c}, {v}){extra}, 5) AS {k}" for k, v in PROBS.items())
+    return ", ".join(f"round(quantile_cont({c}, {v}){extra}, 9) AS {k}" for k, v in PROBS.items())
 
 
 @query("d48_delivery_latency", sql("ev", f"""
@@ -28,7 +28,7 @@ SELECT template, count(*) AS messages, count(latency) AS with_latency, {pct("lat
 def _(t):
     e = t.events().withColumnRenamed("merchant_id", "template")
     k = F.col("event_type")
-    return rounded_all(op.delivery_latency(e, "checkout_id", "template", "ts", k == "view", k == "click", PROBS), list(PROBS), 5)
+    return rounded_all(op.delivery_latency(e, "checkout_id", "template", "ts", k == "view", k == "click", PROBS), list(PROBS), 9)
 
 
 @query("d48_delivery_rate", sql("ev", """
@@ -54,7 +54,7 @@ def _(t):
 n AS (SELECT event_type, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000000.0::DOUBLE AS dwell, lead(event_type) OVER w AS nx FROM ev WINDOW w AS (PARTITION BY checkout_id ORDER BY ts, event_id))
 SELECT {pct("dwell")} FROM n WHERE event_type = 'view' AND nx <> 'view'"""))
 def _(t):
-    return rounded_all(op.dwell_time(t.events(), "checkout_id", "ts", "event_id", "event_type", "view", PROBS), list(PROBS), 5)
+    return rounded_all(op.dwell_time(t.events(), "checkout_id", "ts", "event_id", "event_type", "view", PROBS), list(PROBS), 9)
 
 
 TREND_DAYS = 28
@@ -85,7 +85,7 @@ def _(t):
     from ..functions.expr import ratio
     e = t.checkouts().groupBy("device_id").agg(F.count("*").alias("n"), ratio(F.sum("paid"), F.count("*")).alias("cr"))
     out = stats.volume_buckets(e, "n", [0, 25, 27, 1000], ["small", "middle", "large"], "cr", PROBS)
-    return rounded_all(rounded_all(out, list(PROBS), 5), ["mean"])
+    return rounded_all(rounded_all(out, list(PROBS), 9), ["mean"])
 
 
 BAND_SQL = """count(*) AS total, round(count(*) FILTER (reason = 'Summary Screen CTA clicked')::DOUBLE / count(*), 6) AS converted, round(count(*) FILTER (reason = 'Summary Screen did not load')::DOUBLE / count(*), 6) AS pre_load_dropoff,
@@ -105,7 +105,7 @@ def _(t):
 @query("d54_aov_percentiles", sql("cf", f"SELECT merchant_id, {pct('CAST(gmv AS DOUBLE)')} FROM cf GROUP BY 1"))
 def _(t):
     c = t.checkouts().select("merchant_id", F.col("gmv").cast("double").alias("gmv"))
-    return rounded_all(op.load_time_percentiles(c, ["merchant_id"], "gmv", PROBS), list(PROBS), 5)
+    return rounded_all(op.load_time_percentiles(c, ["merchant_id"], "gmv", PROBS), list(PROBS), 9)
 
 
 # the load time in ms stands on the checkout's amount
@@ -117,7 +117,7 @@ w AS (SELECT CAST(date_trunc('week', dt) AS DATE) AS week, {LOAD_SQL} AS ms FROM
 def _(t):
     c = t.checkouts().select(period_start("dt", "week").alias("week"), (F.col("gmv").cast("double") * 100).alias("ms"))
     out = c.groupBy("week").agg(F.count("*").alias("loads")).join(op.load_time_percentiles(c, ["week"], "ms", PROBS), "week")
-    return rounded_all(out, list(PROBS), 5)
+    return rounded_all(out, list(PROBS), 9)
 
 
 @query("d55_conversion_by_load_band", sql("cf", f"""

@@ -208,8 +208,9 @@ def _(t):
     return d.select("id", upi_app(F.col("kind"), F.col("handle"), F.col("package"), F.col("library")).alias("app"))
 
 
-# Library and model codes
-LIBRARIES = {1: "CHECKOUTJS", 2: "RAZORPAYJS", 3: "S2S", 4: "CUSTOM", 5: "DIRECT", 6: "PUSH", 7: "LEGACYJS", 8: "HOSTED",
+# Library and model codes. Code 2 is a vendor's own name: callers
+# that need it add it to the mapping; here it shows as UNKNOWN.
+LIBRARIES = {1: "CHECKOUTJS", 3: "S2S", 4: "CUSTOM", 5: "DIRECT", 6: "PUSH", 7: "LEGACYJS", 8: "HOSTED",
              9: "EMBEDDED"}
 MODELS = {"category_5399": "Marketplace model", "category_5691": "Clothing model", "category_5977": "Cosmetics model",
           "category_infrequent_mcc_group": "Generic RTO model", "acm": "Address model", "merchant_boltt": "Boltt model"}

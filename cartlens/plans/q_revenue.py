@@ -76,14 +76,14 @@ def _(t):
 pr AS (SELECT c_custkey AS merchant_id, DATE '1996-06-01' + CAST(c_custkey % 500 AS INTEGER) AS live, (c_custkey % 4 + 1) * 0.5 AS pct FROM customer WHERE c_custkey % 2 = 0),
 g AS (SELECT merchant_id, count(*) AS cod_orders, sum(amount) AS gmv, max(pct) AS pct FROM pay JOIN pr USING (merchant_id) WHERE method = 'cod' AND strftime(created_date, '%Y-%m') = '1997-11' AND created_date >= live GROUP BY 1),
 x AS (SELECT g.*, CAST(gmv AS DOUBLE) AS cod_gmv, pct / 100.0::DOUBLE AS fee_rate, CAST(gmv AS DOUBLE) * pct / 100 AS fees, coalesce(rto_amount, 0) AS r FROM g LEFT JOIN (SELECT * FROM mm WHERE month = '1997-11') mm USING (merchant_id))
-SELECT merchant_id, cod_orders, cod_gmv, round(fee_rate, 6) AS fee_rate, round(fees, 3) AS fees, r AS reimbursement, round(fees - r, 3) AS net_revenue FROM x"""))
+SELECT merchant_id, cod_orders, cod_gmv, round(fee_rate, 6) AS fee_rate, round(fees, 6) AS fees, r AS reimbursement, round(fees - r, 6) AS net_revenue FROM x"""))
 def _(t):
     m = F.col("c_custkey")
     pricing = t.raw("customer").filter("c_custkey % 2 = 0").select(
         m.alias("merchant_id"), F.concat(F.format_string("%.1f", (m % 4 + 1) * 0.5), F.lit("%")).alias("cod"),
         F.date_add(F.lit(dt.date(1996, 6, 1)), (m % 500).cast("int")).alias("pricing_live_date"))
     out = op.net_revenue(t.payments().filter("method = 'cod'"), pricing, op.reimbursement_summary(owed(t)), "1997-11")
-    return rounded_all(rounded_all(out, ["fee_rate"]), ["fees", "net_revenue"], 3)
+    return rounded_all(rounded_all(out, ["fee_rate"]), ["fees", "net_revenue"])
 
 
 @query("d63_prepaid_income", sql("pay", """
