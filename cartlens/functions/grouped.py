@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .expr import flag
 
-VALUE_SLOTS = 64
+VALUE_SLOTS = 1024          # power of two
+SPLIT_ABOVE = 4_000_000     # distinct values of a group that one task may order
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str] | None = None,
@@ -40,7 +41,8 @@ def with_totals(df: DataFrame, within: Sequence[str], totals: Mapping[str, Colum
     """Add group totals to every row.
 
     Aggregate and join back rather than a window, so a group of any size stays
-    spread out; without group columns the totals are scalar subqueries.
+    spread out; without group columns the totals are scalar subqueries. For
+    reports with few rows per group use ``with_report_totals``.
     """
     if not within:
         agg = df.agg(*[t.alias(n) for n, t in totals.items()])
@@ -57,60 +59,80 @@ def with_totals(df: DataFrame, within: Sequence[str], totals: Mapping[str, Colum
     return df.join(agg, cond, "inner").drop(*[f"__w_{c}" for c in within])
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
-                    slots: int = VALUE_SLOTS) -> DataFrame:
-    """Exact interpolated quantiles per group without holding a group in one task.
+def with_report_totals(df: DataFrame, within: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+    """Add totals to an aggregated report whose groups are bounded by a fixed
+    domain (arms, states, reasons, bands, days). A window over the few result
+    rows: the input is not read a second time, as a join back would do."""
+    w = Window.partitionBy(*within)
+    return df.withColumns({n: t.over(w) for n, t in totals.items()})
+
 
-    Equal values are counted first. A mergeable sketch only proposes cut points
-    that slice a group's value range into slots; ranks are then counted exactly
-    (slot totals over at most ``slots`` + 1 rows, running counts inside a slot),
-    so the sketch's error moves work between tasks but never the result.
+def with_value_slots(df: DataFrame, by: Sequence[str], value: str, name: str = "__slot", slots: int = VALUE_SLOTS,
+                     split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """Number the value range of big groups, in value order, so that one group
+    can be ordered by many tasks. Groups of at most ``split_above`` rows are one
+    slot. Any cut points give right results; the sketch only balances them.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    cuts = counts.groupBy(*by).agg(
-        F.percentile_approx("__v", [i / slots for i in range(1, slots)], 1000).alias("__cuts"),
-        F.sum("__n").alias("__total"))
+    big = df.groupBy(*by).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > split_above)
+    part = df.join(big.drop("__rows"), list(by), "left_semi") if by else df
+    cuts = part.groupBy(*by).agg(
+        F.percentile_approx(value, [i / slots for i in range(1, slots)], 4 * slots).alias("__cuts"), F.count("*").alias("__rows"))
+    cuts = cuts.filter(F.col("__rows") > split_above).drop("__rows")
     if by:
-        d = counts.join(cuts, list(by))
+        d = df.join(cuts, list(by), "left")
     else:
-        d = counts.withColumn("__cuts", cuts.select("__cuts").scalar()).withColumn(
-            "__total", cuts.select("__total").scalar())
-    slot = F.size(F.filter("__cuts", lambda x: x < F.col("__v")))
-    d = d.withColumn("__slot", slot).drop("__cuts")
+        d = df.withColumn("__cuts", cuts.scalar())
+    steps = []
+    step = slots // 2
+    while step:
+        steps.append(step)
+        step //= 2
+    # binary search: number of cut points below the value
+    found = F.aggregate(
+        F.array(*[F.lit(x) for x in steps]), F.lit(0),
+        lambda at, step: F.when(F.get("__cuts", at + step - 1) < F.col(value), at + step).otherwise(at))
+    return d.withColumn(name, F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(found)).drop("__cuts")
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
+                    slots: int = VALUE_SLOTS, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """Exact interpolated quantiles per group; no group has to fit in one task.
+
+    Equal values are counted first. Big groups are cut into value slots; slot
+    totals give the rank at which each slot starts, so ranks are counted exactly
+    inside the slots that hold a wanted rank, and other slots are not ordered.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    d = with_value_slots(counts, by, "__v", slots=slots, split_above=split_above)
     sizes = d.groupBy(*by, "__slot").agg(F.sum("__n").alias("__size"))
-    before = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
+    group = Window.partitionBy(*by)                    # at most ``slots`` rows per group
+    before = group.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({
+        "__offset": F.coalesce(F.sum("__size").over(before), F.lit(0)), "__total": F.sum("__size").over(group)})
+    ranks = {}
+    for n, p in probs.items():
+        pos = F.lit(float(p)) * (F.col("__total") - 1)
+        ranks[n] = (pos, F.floor(pos), F.ceil(pos))
+    wanted = F.lit(False)
+    for _, lo, hi in ranks.values():
+        for r in (lo, hi):
+            wanted = wanted | ((F.col("__offset") <= r) & (r < F.col("__offset") + F.col("__size")))
+    d = d.join(sizes.filter(wanted).drop("__size"), [*by, "__slot"])
     inside = Window.partitionBy(*by, "__slot").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__upto", F.sum("__n").over(inside)).join(sizes, [*by, "__slot"])
-    last = F.col("__offset") + F.col("__upto") - 1   # greatest 0-based rank holding this value
-    first = last - F.col("__n") + 1
+    d = d.withColumn("__last", F.col("__offset") + F.sum("__n").over(inside) - 1)   # greatest 0-based rank of the value
+    d = d.withColumn("__first", F.col("__last") - F.col("__n") + 1)
     aggs = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        aggs.append(F.max(F.when((first <= lo) & (lo <= last), F.col("__v"))).alias(f"__lo_{name}"))
-        aggs.append(F.max(F.when((first <= hi) & (hi <= last), F.col("__v"))).alias(f"__hi_{name}"))
+    for n, (_, lo, hi) in ranks.items():
+        for tag, r in (("lo", lo), ("hi", hi)):
+            aggs.append(F.max(F.when((F.col("__first") <= r) & (r <= F.col("__last")), F.col("__v"))).alias(f"__{tag}_{n}"))
     out = d.groupBy(*by).agg(F.max("__total").alias("__total"), *aggs)
     final = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
-        lo = F.col(f"__lo_{name}").cast("double")
-        hi = F.col(f"__hi_{name}").cast("double")
-        final.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    for n, (pos, lo_rank, _) in ranks.items():
+        lo, hi = F.col(f"__lo_{n}").cast("double"), F.col(f"__hi_{n}").cast("double")
+        final.append((lo + (hi - lo) * (pos - lo_rank)).alias(n))
     return out.select(*by, *final)
 
 
-def slot_by_value(df: DataFrame, by: Sequence[str], value: str, slots: int = VALUE_SLOTS,
-                  name: str = "__slot") -> DataFrame:
-    """Add a slot number that is monotone in the value, about equal rows per slot."""
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, [i / slots for i in range(1, slots)], 1000).alias("__cuts"))
-    if by:
-        d = df.join(cuts, list(by))
-    else:
-        d = df.withColumn("__cuts", cuts.select("__cuts").scalar())
-    return d.withColumn(name, F.size(F.filter("__cuts", lambda x: x < F.col(value)))).drop("__cuts")
-
-
 def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """Best n rows per group. Spark prunes to n per group in every map task
     (window group limit) before the shuffle, so hot groups stay small."""
@@ -128,13 +150,14 @@ def pivot_sum(df: DataFrame, keys: Sequence[str], column: str, values: Sequence,
     return out.select(*keys, *[F.col(f"`{v}_{n}`").alias(f"{n}{sep}{v}") for v in values for n in measures])
 
 
-def exact_rank(df: DataFrame, by: Sequence[str], value: str, name: str, descending: bool = False) -> DataFrame:
+def exact_rank(df: DataFrame, by: Sequence[str], value: str, name: str, descending: bool = False,
+               slots: int = VALUE_SLOTS, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """rank() with shared ranks for ties, without one task per group: equal
     values are counted first, ranks run over value slots, and are joined back."""
     from .scan import chunked_scan
 
     levels = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    levels = slot_by_value(levels, by, value)
+    levels = with_value_slots(levels, by, value, slots=slots, split_above=split_above)
     slot = -F.col("__slot") if descending else F.col("__slot")
     order = F.col(value).desc() if descending else F.col(value)
     ranked = chunked_scan(

@@ -6,7 +6,8 @@ key is cut into chunks (time slots or value slots). The window runs inside
 carried in from earlier chunks is joined back. The result equals the plain
 window exactly: chunks only split the work, they never cut rows.
 
-Key columns must not be NULL (a NULL identity has no order to scan).
+Keys and times must not be NULL (a NULL identity has no order to scan): callers
+route such rows around the scan, as ``sessionize`` does.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ def chunked_scan(
     for name, make in carry.items():
         s = s.withColumn(name, make(chunk_window))
     s = s.select(*keys, CHUNK, *carry)
-    d = d.join(s, [*keys, CHUNK], "left")
+    # Inner: every (key, chunk) of the rows has its summary row. It also puts the
+    # same not-null filters on both branches, so they share scan and shuffle.
+    d = d.join(s, [*keys, CHUNK])
     return d.select(*df.columns, *[c.alias(n) for n, c in result.items()])
 
 
@@ -123,57 +126,50 @@ def last_before(
     chunk_seconds: int,
     allow_equal: bool = False,
     right_tie: Sequence[str] = (),
+    independent: bool = False,
 ) -> DataFrame:
     """As-of look-up: for each left row the latest right row before it.
 
     Both sides are laid on one time axis and the last right row is carried
     forward, so no (left, right) pairs are formed. ``take`` maps new name ->
-    right column. ``right_tie`` breaks ties among equal right times.
+    right column; ``right_tie`` breaks ties among equal right times. With
+    ``independent`` every taken column carries its own last non-NULL value.
     """
-    return _as_of(left, right, keys, left_ts, right_ts, take, chunk_seconds, allow_equal, right_tie, forward=False)
+    return _as_of(left, right, keys, left_ts, right_ts, take, chunk_seconds, allow_equal, right_tie, False, independent)
 
 
-def first_after(
-    left, right, keys, left_ts, right_ts, take, chunk_seconds, allow_equal=False, right_tie=(),
-) -> DataFrame:
+def first_after(left, right, keys, left_ts, right_ts, take, chunk_seconds, allow_equal=False, right_tie=()) -> DataFrame:
     """As-of look-up: for each left row the earliest right row after it."""
-    return _as_of(left, right, keys, left_ts, right_ts, take, chunk_seconds, allow_equal, right_tie, forward=True)
+    return _as_of(left, right, keys, left_ts, right_ts, take, chunk_seconds, allow_equal, right_tie, True, False)
 
 
-def _as_of(left, right, keys, left_ts, right_ts, take, chunk_seconds, allow_equal, right_tie, forward):
-    tie_struct = F.struct(*[F.col(c) for c in right_tie]) if right_tie else F.struct(F.lit(0).alias("t"))
-    payload = F.struct(*[F.col(src).alias(new) for new, src in take.items()])
-    r = right.select(
-        *keys, F.col(right_ts).alias("__t"), tie_struct.alias("__tie"), payload.alias("__r"),
-        F.lit(True).alias("__is_right"))
-    r_types = r.schema["__r"].dataType
-    t_types = r.schema["__tie"].dataType
+def _as_of(left, right, keys, left_ts, right_ts, take, chunk_seconds, allow_equal, right_tie, forward, independent):
+    tie = F.struct(*[F.col(c) for c in right_tie]) if right_tie else F.struct(F.lit(0).alias("t"))
+    if independent:
+        carried = {f"__r_{n}": F.col(src) for n, src in take.items()}
+    else:
+        carried = {"__r": F.struct(*[F.col(src).alias(n) for n, src in take.items()])}
     lrow = F.struct(*[F.col(c) for c in left.columns])
-    l_types = left.select(lrow.alias("x")).schema["x"].dataType
-    lhs = left.select(
-        *keys, F.col(left_ts).alias("__t"), F.lit(None).cast(t_types).alias("__tie"),
-        F.lit(None).cast(r_types).alias("__r"), F.lit(False).alias("__is_right"), lrow.alias("__l"))
-    r = r.withColumn("__l", F.lit(None).cast(l_types))
-    axis = lhs.unionByName(r)
+    r = right.select(*keys, F.col(right_ts).alias("__t"), tie.alias("__tie"),
+                     *[c.alias(n) for n, c in carried.items()], F.lit(True).alias("__is_right"))
+    lhs = left.select(*keys, F.col(left_ts).alias("__t"), F.lit(False).alias("__is_right"), lrow.alias("__l"))
+    axis = lhs.unionByName(r, allowMissingColumns=True)
     # at equal times the side that must be seen later comes later
-    side = F.when(F.col("__is_right"), 0).otherwise(1) if allow_equal else F.when(F.col("__is_right"), 1).otherwise(0)
+    late = F.col("__is_right") if not allow_equal else ~F.col("__is_right")
+    side = F.when(late, 1).otherwise(0)
+    when = F.struct("__t", "__tie")
     if forward:
-        order = [F.col("__t").desc(), side, F.col("__tie").desc()]
-        chunk = -time_chunk("__t", chunk_seconds)
+        order, chunk, pick = [F.col("__t").desc(), side, F.col("__tie").desc()], -time_chunk("__t", chunk_seconds), F.min_by
     else:
-        order = [F.col("__t"), side, F.col("__tie")]
-        chunk = time_chunk("__t", chunk_seconds)
-    # min_by/max_by over right rows only
-    only_right = F.when(F.col("__is_right"), F.struct("__t", "__tie"))
-    best = F.min_by("__r", only_right) if forward else F.max_by("__r", only_right)
+        order, chunk, pick = [F.col("__t"), side, F.col("__tie")], time_chunk("__t", chunk_seconds), F.max_by
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     out = chunked_scan(
         axis, keys, order, chunk,
-        inner={"__seen": lambda w: F.last("__r", ignorenulls=True).over(
-            w.rowsBetween(Window.unboundedPreceding, Window.currentRow))},
-        summary={"__best": best},
-        carry={"__before": lambda w: F.last("__best", ignorenulls=True).over(
-            w.rowsBetween(Window.unboundedPreceding, -1))},
-        result={"__hit": F.coalesce(F.col("__seen"), F.col("__before"))},
-    )
-    out = out.filter(~F.col("__is_right"))
-    return out.select(*[F.col("__l")[c].alias(c) for c in left.columns], *[F.col("__hit")[n].alias(n) for n in take])
+        inner={f"__seen{n}": (lambda w, n=n: F.last(n, ignorenulls=True).over(upto(w))) for n in carried},
+        summary={f"__best{n}": pick(n, F.when(F.col("__is_right") & F.col(n).isNotNull(), when)) for n in carried},
+        carry={f"__past{n}": (lambda w, n=n: F.last(f"__best{n}", ignorenulls=True).over(before(w))) for n in carried},
+        result={f"__hit{n}": F.coalesce(F.col(f"__seen{n}"), F.col(f"__past{n}")) for n in carried},
+    ).filter(~F.col("__is_right"))
+    hit = {n: F.col(f"__hit__r_{n}") if independent else F.col("__hit__r")[n] for n in take}
+    return out.select(*[F.col("__l")[c].alias(c) for c in left.columns], *[c.alias(n) for n, c in hit.items()])

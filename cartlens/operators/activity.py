@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import first_match, flag, ratio, sum_money
-from ..functions.grouped import count_ids, pivot_sum, top_n, with_total_row, with_totals
+from ..functions.grouped import count_ids, pivot_sum, top_n, with_report_totals, with_total_row, with_totals
 
 
 def waterfall(df: DataFrame, entity: str, measure: str, period: str, pre: str, post: str, n: int = 10) -> DataFrame:
@@ -126,7 +126,7 @@ def attribute_availability(fact: DataFrame, period: str, attr: Column, ident: st
     """Share of ids with and without an attribute per period."""
     d = fact.select(period, F.when(attr.isNull(), "missing").otherwise("present").alias("state"), ident).distinct()
     n = d.groupBy(period, "state").agg(F.count("*").alias("ids"))
-    return with_totals(n, [period], {"all_ids": F.sum("ids")}).withColumn("share", ratio("ids", "all_ids"))
+    return with_report_totals(n, [period], {"all_ids": F.sum("ids")}).withColumn("share", ratio("ids", "all_ids"))
 
 
 def null_offenders(fact: DataFrame, period: str, entity: str, attr: Column, ident: str, n: int = 5,
@@ -161,7 +161,7 @@ def cr_ratio_buckets(df: DataFrame, period: str, cr: str, baseline: str) -> Data
     r = F.round(ratio(cr, baseline), 2)
     b = first_match([(r >= lim, name) for lim, name in CR_RATIO_BUCKETS], "E. <0%")
     n = df.groupBy(period, b.alias("bucket")).agg(F.count("*").alias("entities"))
-    return with_totals(n, [period], {"__t": F.sum("entities")}).select(
+    return with_report_totals(n, [period], {"__t": F.sum("entities")}).select(
         period, "bucket", "entities", ratio("entities", "__t").alias("proportion"))
 
 
@@ -228,7 +228,7 @@ def wallet_share(pay: DataFrame, customer: str, focus: Column, by: Sequence[str]
     buyers = d.filter(focus).select(customer).distinct()
     g = d.join(buyers, customer, "left_semi").groupBy(*by, "group").agg(
         F.countDistinct(customer).alias("customers"), F.count("*").alias("orders"), sum_money(amount).alias("gmv"))
-    return with_totals(g, by, {"__g": F.sum("gmv")}).withColumn("wallet_share", ratio("gmv", "__g")).drop("__g")
+    return with_report_totals(g, by, {"__g": F.sum("gmv")}).withColumn("wallet_share", ratio("gmv", "__g")).drop("__g")
 
 
 def gmv_with_cutover(df: DataFrame, by: Sequence[str], ts: str, cutover, amount: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import flag, label_null, ratio
-from ..functions.grouped import count_ids, exact_quantiles, pivot_sum, with_totals
+from ..functions.grouped import count_ids, exact_quantiles, pivot_sum, with_report_totals
 
 SO_FAR = "Addresses so far"
 
@@ -79,7 +79,7 @@ def city_tier_mix(checkouts: DataFrame, addr: DataFrame, tiers: DataFrame, entit
     d = checkouts.join(addr.select(F.col("id").alias("address_id"), city), "address_id", "left").join(tiers, city, "left")
     d = d.withColumn(tier, label_null(tier, "No City Tier"))
     n = d.groupBy(entity, tier).agg(F.count("*").alias("n"))
-    n = with_totals(n, [entity], {"__t": F.sum("n")}).withColumn("share", ratio("n", "__t"))
+    n = with_report_totals(n, [entity], {"__t": F.sum("n")}).withColumn("share", ratio("n", "__t"))
     return pivot_sum(n, [entity], tier, values, {"share": F.sum("share")})
 
 

@@ -8,37 +8,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import first_match, flag, ratio
-from ..functions.grouped import pivot_sum, with_totals
+from ..functions.grouped import pivot_sum, with_report_totals
 from .stats import cohens_h
 
 KPIS = ["split_pct", "modal_cr", "modified_modal_cr", "success_rate", "submit_to_attempt", "overall_cr"]
 
 
-def l0_metrics(df: DataFrame, arm: str, by: Sequence[str] = (), checkout: str = "checkout_id",
-               merchant: str = "merchant_id", submitted: str = "submitted", attempt: str = "attempt_id",
-               success: str = "success") -> DataFrame:
-    """Arm KPIs out of rows (checkout, attempt): distinct checkouts, merchants,
-    submits, attempts, successes and the rates between them.
+def attempts_per_checkout(attempts: DataFrame, checkout: str, attempt: str, success: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct attempts and successes per checkout (and attempt slice).
 
-    Seven distinct counts would expand every row seven times. An attempt belongs
-    to one checkout, so rows are reduced to attempts, then to checkouts, and the
-    counts become plain sums; only the merchant count stays a distinct.
+    Rows are first reduced to attempts, which spreads a checkout with very many
+    rows, then to checkouts with map-side sums.
     """
-    keys = [*by, arm]
-    per_attempt = df.groupBy(*keys, merchant, checkout, attempt).agg(
-        F.max(submitted).alias("__sub"), F.max(flag(F.col(success))).alias("__ok"))
-    per_checkout = per_attempt.groupBy(*keys, merchant, checkout).agg(
-        F.max("__sub").alias("__sub"), F.count(attempt).alias("__att"),
-        F.sum(F.when(F.col(attempt).isNotNull(), F.col("__ok"))).alias("__ok"))
-    att, ok, sub = F.col("__att") > 0, F.col("__ok") > 0, F.col("__sub") == 1
-    out = per_checkout.groupBy(*keys).agg(
+    per_attempt = attempts.groupBy(checkout, *by, attempt).agg(F.max(flag(F.col(success))).alias("__ok"))
+    return per_attempt.groupBy(checkout, *by).agg(F.count(attempt).alias("__att"), F.sum("__ok").alias("__ok"))
+
+
+def l0_metrics(checkouts: DataFrame, attempts: DataFrame, arm: str, by: Sequence[str] = (), attempt_by: Sequence[str] = (),
+               checkout: str = "checkout_id", merchant: str = "merchant_id", submitted: str = "submitted",
+               attempt: str = "attempt_id", success: str = "success") -> DataFrame:
+    """Arm KPIs: distinct checkouts, merchants, submits, attempts, successes and the
+    rates between them, by checkout slices (``by``) and attempt slices
+    (``attempt_by``; checkouts without an attempt show under NULL there).
+
+    ``checkouts`` has one row per checkout. Seven distinct counts would expand every
+    joined row seven times; here attempts are reduced per checkout before the join,
+    so the counts are plain sums and only the merchant count stays a distinct.
+    """
+    a = attempts_per_checkout(attempts, checkout, attempt, success, attempt_by)
+    d = checkouts.select(checkout, merchant, submitted, arm, *by).join(a, checkout, "left")
+    att, ok, sub = F.coalesce("__att", F.lit(0)), F.coalesce("__ok", F.lit(0)), F.col(submitted) == 1
+    out = d.groupBy(*by, *attempt_by, arm).agg(
         F.count("*").alias("checkouts"), F.countDistinct(merchant).alias("merchants"),
-        F.sum(flag(sub)).alias("submits"), F.sum("__att").alias("attempts"),
-        F.coalesce(F.sum("__ok"), F.lit(0)).alias("successes"), F.sum(flag(att)).alias("attempt_checkouts"),
-        F.sum(flag(ok)).alias("paid_checkouts"),
+        F.sum(flag(sub)).alias("submits"), F.sum(att).alias("attempts"), F.sum(ok).alias("successes"),
+        F.sum(flag(att > 0)).alias("attempt_checkouts"), F.sum(flag(ok > 0)).alias("paid_checkouts"),
         # a checkout that reached payment has submitted even when the event is missing
-        F.sum(flag(sub | att)).alias("modified_submits"))
-    out = with_totals(out, [], {"__all": F.sum("checkouts")})
+        F.sum(flag(sub | (att > 0))).alias("modified_submits"))
+    out = with_report_totals(out, [], {"__all": F.sum("checkouts")})
     return out.withColumns({
         "split_pct": ratio("checkouts", "__all"),
         "modal_cr": ratio("submits", "checkouts"),
@@ -81,25 +87,25 @@ def split_check(df: DataFrame, arm: str, eligible: str, ident: str) -> DataFrame
     arm_c = F.coalesce(F.col(arm), F.lit("NA")).alias(arm)
     el = F.coalesce(F.col(eligible).cast("string"), F.lit("NA")).alias(eligible)
     n = df.select(arm_c, el, ident).distinct().groupBy(arm, eligible).agg(F.count(ident).alias("ids"))
-    return with_totals(n, [], {"all_ids": F.sum("ids")}).withColumn("share", ratio("ids", "all_ids"))
+    return with_report_totals(n, [], {"all_ids": F.sum("ids")}).withColumn("share", ratio("ids", "all_ids"))
 
 
 def error_mix(df: DataFrame, by: Sequence[str], arm: str, arms: Sequence[str], ident: str) -> DataFrame:
     """Attempts per gateway x error in each arm, share within the arm, share shift."""
     n = df.select(*by, arm, ident).distinct().groupBy(*by, arm).agg(F.count(ident).alias("n"))
-    n = with_totals(n, [arm], {"arm_n": F.sum("n")}).withColumn("share", ratio("n", "arm_n"))
+    n = with_report_totals(n, [arm], {"arm_n": F.sum("n")}).withColumn("share", ratio("n", "arm_n"))
     out = pivot_sum(n, by, arm, arms, {"n": F.sum("n"), "share": F.sum("share")})
     a, b = arms[0], arms[-1]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return out.withColumn("share_diff", zero(f"share_{b}") - zero(f"share_{a}"))
 
 
-def submit_attempt_ratio(df: DataFrame, checkout: str, submitted: str, attempt: str) -> DataFrame:
+def submit_attempt_ratio(checkouts: DataFrame, attempts: DataFrame, checkout: str, submitted: str, attempt: str, success: str) -> DataFrame:
     """Distribution of payment attempts over submitted checkouts, by attempt count."""
-    per_attempt = df.select(checkout, submitted, attempt).distinct()
-    per = per_attempt.groupBy(checkout).agg(F.max(submitted).alias("__s"), F.count(attempt).alias("attempts"))
-    n = per.filter(F.col("__s") == 1).groupBy("attempts").agg(F.count("*").alias("checkouts"))
-    return with_totals(n, [], {"__all": F.sum("checkouts")}).select(
+    a = attempts_per_checkout(attempts, checkout, attempt, success)
+    d = checkouts.filter(F.col(submitted) == 1).select(checkout).join(a, checkout, "left")
+    n = d.groupBy(F.coalesce("__att", F.lit(0)).alias("attempts")).agg(F.count("*").alias("checkouts"))
+    return with_report_totals(n, [], {"__all": F.sum("checkouts")}).select(
         "attempts", "checkouts", ratio("checkouts", "__all").alias("share"))
 
 
@@ -130,7 +136,7 @@ def ineligible_sessions(df: DataFrame, eligible: Column, reason: str, ident: str
     bad = df.filter(~F.coalesce(eligible, F.lit(False))).select(
         F.coalesce(reason, F.lit("NA")).alias("reason"), ident).distinct()
     n = bad.groupBy("reason").agg(F.count("*").alias("sessions"))
-    return with_totals(n, [], {"__all": F.sum("sessions")}).select("reason", "sessions", ratio("sessions", "__all").alias("share"))
+    return with_report_totals(n, [], {"__all": F.sum("sessions")}).select("reason", "sessions", ratio("sessions", "__all").alias("share"))
 
 
 def effective_arm(assigned: Column, flow_seen: Column, changed: Column, arms: Sequence[str]) -> Column:

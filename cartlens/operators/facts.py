@@ -101,12 +101,15 @@ def sessionize(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_second
     """Add session number and id per key (e.g. merchant x date x device).
 
     A session starts at the first event of the key or after a gap of at least
-    ``gap_seconds``. Events without a device have no identity: their session
-    columns stay NULL and they are kept out of the scan (which also keeps the
-    usual hot key, the missing device, out of it).
+    ``gap_seconds``. Events without a device (or time, or another key) have no
+    place in a session: their session columns stay NULL and they go around the
+    scan, and with them the usual hot key, the missing device.
     """
-    known = df.filter(F.col(device).isNotNull())
-    unknown = df.filter(F.col(device).isNull()).withColumn("session_no", F.lit(None).cast("bigint"))
+    known_row = F.col(ts).isNotNull() & F.col(device).isNotNull()
+    for c in keys:
+        known_row = known_row & F.col(c).isNotNull()
+    known = df.filter(known_row)
+    unknown = df.filter(~known_row).withColumn("session_no", F.lit(None).cast("bigint"))
     gap = gap_seconds * 1_000_000
 
     def far(a, b):
@@ -132,7 +135,7 @@ def sessionize(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_second
     )
     return numbered.unionByName(unknown).withColumn(
         "session_id",
-        F.when(F.col(device).isNotNull(),
+        F.when(F.col("session_no").isNotNull(),
                F.concat_ws("-", F.col("session_no").cast("string"), F.col(day).cast("string"),
                            F.col(device).cast("string"))))
 

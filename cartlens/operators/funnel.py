@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import code_name, first_match, flag, ratio
-from ..functions.grouped import count_ids, pivot_sum, with_totals
+from ..functions.grouped import count_ids, pivot_sum, with_report_totals
 
 
 def funnel(df: DataFrame, steps: Mapping[str, str], ident: str, by: Sequence[str] = (),
@@ -63,7 +63,7 @@ def dropoff_reason(loaded: Column, clicked: Column, contact: Column, coupon: Col
 def reason_mix(df: DataFrame, by: Sequence[str], reason: str, ident: str) -> DataFrame:
     """Checkouts per reason and the share within the slice."""
     n = df.groupBy(*by, reason).agg(F.countDistinct(ident).alias("checkouts"))
-    out = with_totals(n, by, {"slice_total": F.sum("checkouts")})
+    out = with_report_totals(n, by, {"slice_total": F.sum("checkouts")})
     return out.withColumn("share", ratio("checkouts", "slice_total"))
 
 

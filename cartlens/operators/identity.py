@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import flag, ratio
-from ..functions.grouped import count_ids, exact_quantiles, pivot_sum, with_totals
+from ..functions.grouped import exact_quantiles, pivot_sum, with_report_totals
 
 
 def session_reconcile(df: DataFrame, old: str, new: str, by: Sequence[str]) -> DataFrame:
@@ -22,7 +22,7 @@ def new_vs_repeat(events: DataFrame, device: str, day: str, ident: str, by: Sequ
     counted per slice: devices, checkouts and their shares of all."""
     d = label_repeat(events, device, day)
     g = d.groupBy(*by, "visitor").agg(F.countDistinct(device).alias("devices"), F.countDistinct(ident).alias("checkouts"))
-    g = with_totals(g, by, {"__d": F.sum("devices"), "__c": F.sum("checkouts")})
+    g = with_report_totals(g, by, {"__d": F.sum("devices"), "__c": F.sum("checkouts")})
     return g.withColumns({"device_share": ratio("devices", "__d"), "checkout_share": ratio("checkouts", "__c")}).drop("__d", "__c")
 
 
@@ -59,7 +59,7 @@ def device_day_counts(df: DataFrame, device: str, day: str, ident: str) -> DataF
     """How many device-days have 1, 2, 3 … checkouts, with shares."""
     per = df.select(device, day, ident).distinct().groupBy(device, day).agg(F.count("*").alias("checkouts"))
     n = per.groupBy("checkouts").agg(F.count("*").alias("device_days"))
-    return with_totals(n, [], {"__t": F.sum("device_days")}).select("checkouts", "device_days", ratio("device_days", "__t").alias("share"))
+    return with_report_totals(n, [], {"__t": F.sum("device_days")}).select("checkouts", "device_days", ratio("device_days", "__t").alias("share"))
 
 
 def exclude_heavy_devices(df: DataFrame, device: str, day: str, ident: str, limit: int = 20) -> DataFrame:
@@ -73,8 +73,8 @@ def identity_overlap(a: DataFrame, b: DataFrame, contact: str, day: str, ident:
     contacts and checkouts in total and known. The other surface is reduced to
     one row per contact first, so the join never multiplies rows."""
     known = b.groupBy(contact).agg(F.min(day).alias("__first")).filter(F.col("__first") < F.lit(before)).select(contact, F.lit(1).alias("__known"))
-    d = a.filter(F.col(contact).isNotNull()).join(known, contact, "left").withColumn("__known", F.coalesce("__known", F.lit(0)))
-    per = d.groupBy(contact, "__known").agg(F.countDistinct(ident).alias("n"))   # a checkout has one contact
+    mine = a.filter(F.col(contact).isNotNull()).select(contact, ident).distinct().groupBy(contact).agg(F.count("*").alias("n"))
+    per = mine.join(known, contact, "left").withColumn("__known", F.coalesce("__known", F.lit(0)))   # a checkout has one contact
     out = per.agg(F.count("*").alias("contacts"), F.sum("__known").alias("known_contacts"), F.sum("n").alias("checkouts"),
                   F.sum(F.col("n") * F.col("__known")).alias("known_checkouts"))
     return out.withColumns({"contact_share": ratio("known_contacts", "contacts"), "checkout_share": ratio("known_checkouts", "checkouts")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,11 +60,7 @@ def last_seen_by_channel(anchors: DataFrame, seen: DataFrame, key: str, anchor:
     as one date column per channel on the key's calendar, so nothing is paired.
     """
     days = seen.groupBy(key, seen_date).pivot(channel, list(channels)).agg(F.max(seen_date))
-    out = anchors
-    for c in channels:
-        one = days.filter(F.col(c).isNotNull()).select(key, F.col(c).alias("__d"))
-        out = last_before(out, one, [key], anchor, "__d", {f"last_{c}": "__d"}, chunk_days * DAY)
-    return out
+    return last_before(anchors, days, [key], anchor, seen_date, {f"last_{c}": c for c in channels}, chunk_days * DAY, independent=True)
 
 
 def days_since_last(df: DataFrame, date_cols: Sequence[str], anchor: str) -> DataFrame:
@@ -100,7 +96,3 @@ def null_matching_join(left: DataFrame, right: DataFrame, on: Sequence[str], how
 
 def seconds_between(a: str, b: str) -> Column:
     return (epoch_micros(b) - epoch_micros(a)) / 1_000_000
-
-
-def attributes_of(mapping: Mapping[str, Column]) -> list[Column]:
-    return [c.alias(n) for n, c in mapping.items()]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bands, first_match, flag, ratio
-from ..functions.grouped import with_totals
+from ..functions.grouped import with_report_totals
 
 # Shipment states that count as known
 VALID_STATUS = ["delivered", "rto", "cancelled", "lost", "partially_delivered", "returned"]
@@ -99,7 +99,7 @@ def rto_by_age(orders: DataFrame, live: DataFrame, entity: str, day: str, live_d
 def band_coverage(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """Entities per pair of bands, share of all and cumulative share in band order."""
     g = df.groupBy(a.alias("band_a"), b.alias("band_b")).agg(F.count("*").alias("entities"))
-    g = with_totals(g, [], {"__t": F.sum("entities")}).withColumn("share", ratio("entities", "__t")).drop("__t")
+    g = with_report_totals(g, [], {"__t": F.sum("entities")}).withColumn("share", ratio("entities", "__t")).drop("__t")
     order = Window.orderBy(F.col("band_a").asc_nulls_last(), F.col("band_b").asc_nulls_last())   # bands x bands rows
     return g.withColumn("cumulative", F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -107,4 +107,4 @@ def band_coverage(df: DataFrame, a: Column, b: Column) -> DataFrame:
 def rule_contribution(df: DataFrame, rule: str, outcome: Column) -> DataFrame:
     """Share of all outcomes per rule."""
     g = df.groupBy(rule).agg(F.sum(flag(outcome)).alias("outcomes"))
-    return with_totals(g, [], {"__t": F.sum("outcomes")}).select(rule, "outcomes", (ratio("outcomes", "__t") * 100).alias("percentage"))
+    return with_report_totals(g, [], {"__t": F.sum("outcomes")}).select(rule, "outcomes", (ratio("outcomes", "__t") * 100).alias("percentage"))

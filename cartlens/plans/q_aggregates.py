@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.expr import flag, ratio, rounded, sum_money
-from ..functions.grouped import count_ids, exact_quantiles, latest_per_key, pivot_sum, with_total_row, with_totals
+from ..functions.grouped import count_ids, exact_quantiles, latest_per_key, pivot_sum, with_report_totals, with_total_row
 from ..operators import stats
 from .registry import query
 from .views import PRIORITIES, sql
@@ -132,7 +132,7 @@ g AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)
 SELECT *, round(n::DOUBLE / (SELECT sum(n) FROM g), 6) AS share FROM g""".replace("g AS", "WITH g AS", 1))
 def _(t):
     g = t.raw("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    return with_totals(g, [], {"total": F.sum("n")}).select("o_orderstatus", "n", rounded(ratio("n", "total")).alias("share"))
+    return with_report_totals(g, [], {"total": F.sum("n")}).select("o_orderstatus", "n", rounded(ratio("n", "total")).alias("share"))
 
 
 @query("a14_normalised_rows", sql("pay", """
@@ -141,8 +141,8 @@ SELECT priority, status, round(n::DOUBLE / sum(n) OVER (PARTITION BY priority),
   round(n::DOUBLE / sum(n) OVER (PARTITION BY status), 6) AS col_share FROM g"""))
 def _(t):
     g = t.payments().groupBy("priority", "status").agg(F.count("*").alias("n"))
-    g = with_totals(g, ["priority"], {"r": F.sum("n")})
-    g = with_totals(g, ["status"], {"c": F.sum("n")})
+    g = with_report_totals(g, ["priority"], {"r": F.sum("n")})
+    g = with_report_totals(g, ["status"], {"c": F.sum("n")})
     return g.select("priority", "status", rounded(ratio("n", "r")).alias("row_share"), rounded(ratio("n", "c")).alias("col_share"))
 
 
@@ -238,8 +238,10 @@ def _(t):
 SELECT arm, CAST(platform AS BIGINT) AS platform, aov, CAST(grouping(arm) * 4 + grouping(platform) * 2 + grouping(aov) AS BIGINT) AS subset,
   count(*) AS checkouts, CAST(sum(paid) AS BIGINT) AS paid FROM cf GROUP BY CUBE (arm, platform, aov)"""))
 def _(t):
-    return t.checkouts().cube("arm", "platform", "aov").agg(
-        F.grouping_id().alias("subset"), F.count("*").alias("checkouts"), F.sum("paid").alias("paid"))
+    # additive measures: the cube multiplies the few leaf rows, not the checkouts
+    leaf = t.checkouts().groupBy("arm", "platform", "aov").agg(F.count("*").alias("n"), F.sum("paid").alias("p"))
+    return leaf.cube("arm", "platform", "aov").agg(
+        F.grouping_id().alias("subset"), F.sum("n").alias("checkouts"), F.sum("p").alias("paid"))
 
 
 @query("a27_frequency", """

@@ -8,15 +8,15 @@ from .views import sql
 ARMS = ["v1", "v2"]
 
 
-def rows(t):
-    """Checkout x payment attempt rows: an attempt is a purchase or error event,
-    a purchase succeeds."""
-    a = t.events().filter(F.col("event_type").isin("purchase", "error")).select(
+def checkout_rows(t):
+    return t.checkouts().withColumn("submitted", F.col("submit"))
+
+
+def attempt_rows(t):
+    """Payment attempts: purchase and error events; a purchase succeeds."""
+    return t.events().filter(F.col("event_type").isin("purchase", "error")).select(
         "checkout_id", F.col("event_id").alias("attempt_id"), (F.col("event_type") == "purchase").alias("success"),
-        (F.col("k") % 3).alias("gateway"), (F.col("k") % 7).alias("error_code"))
-    c = t.checkouts().select("checkout_id", "merchant_id", "device_id", "arm", "dt", "eligible", "platform", "browser",
-                             "open", "paid", F.col("submit").alias("submitted"))
-    return c.join(a, "checkout_id", "left")
+        (F.col("k") % 3).alias("gateway"), (F.col("k") % 7).alias("error_code"), "arm", "merchant_id")
 
 
 ROWS = """r AS (SELECT c.checkout_id, c.merchant_id, c.device_id, c.arm, c.dt, c.eligible, c.platform, c.browser, c.submit AS submitted,
@@ -38,7 +38,7 @@ def l0_sql(by, src="r"):
 
 @query("d18_l0_metrics", sql("cf", f"{ROWS}, {l0_sql([], '(SELECT * FROM r WHERE eligible)')} SELECT * FROM m"))
 def _(t):
-    m = op.l0_metrics(rows(t).filter("eligible"), "arm")
+    m = op.l0_metrics(checkout_rows(t).filter("eligible"), attempt_rows(t), "arm")
     return m.withColumns({k: rounded(k) for k in op.KPIS})
 
 
@@ -50,15 +50,16 @@ def compare_sql(by):
     return sql("cf", f"{ROWS}, {l0_sql(by)}, w AS (SELECT {names}, {cols} FROM m GROUP BY ALL) SELECT *, {diffs} FROM w")
 
 
-def compare(t, by):
-    m = op.l0_metrics(rows(t), "arm", by).withColumns({k: rounded(k) for k in op.KPIS})
-    out = op.l0_compare(m, by, "arm", ARMS)
+def compare(t, by, attempt_by):
+    m = op.l0_metrics(checkout_rows(t), attempt_rows(t), "arm", by, attempt_by).withColumns({k: rounded(k) for k in op.KPIS})
+    out = op.l0_compare(m, [*by, *attempt_by], "arm", ARMS)
     return out.withColumns({c: rounded(c) for c in out.columns if c.endswith("_diff")})
 
 
-for _slice, _by, _dates in [("date", ["dt"], "dt"), ("merchant", ["merchant_id"], ""), ("platform_browser", ["platform", "browser"], ""),
-                            ("gateway", ["gateway"], "")]:
-    query(f"d19_l0_compare_{_slice}", compare_sql(_by), dates=_dates)(lambda t, by=_by: compare(t, by))
+SLICES = {"date": (["dt"], [], "dt"), "merchant": (["merchant_id"], [], ""), "platform_browser": (["platform", "browser"], [], ""),
+          "gateway": ([], ["gateway"], "")}
+for _slice, (_by, _att, _dates) in SLICES.items():
+    query(f"d19_l0_compare_{_slice}", compare_sql(_by + _att), dates=_dates)(lambda t, by=_by, att=_att: compare(t, by, att))
 
 
 @query("d20_balanced_entities", sql("cf", """
@@ -87,7 +88,7 @@ w AS (SELECT gateway, error_code, CAST(sum(n) FILTER (arm='v1') AS BIGINT) AS n_
   sum(share) FILTER (arm='v1') AS a, sum(share) FILTER (arm='v2') AS b FROM s GROUP BY 1, 2)
 SELECT gateway, error_code, n_v1, n_v2, round(a, 6) AS share_v1, round(b, 6) AS share_v2, round(coalesce(b, 0) - coalesce(a, 0), 6) AS share_diff FROM w"""))
 def _(t):
-    out = op.error_mix(rows(t).filter("attempt_id is not null and not success"), ["gateway", "error_code"], "arm", ARMS, "attempt_id")
+    out = op.error_mix(attempt_rows(t).filter("not success"), ["gateway", "error_code"], "arm", ARMS, "attempt_id")
     return out.withColumns({c: rounded(c) for c in ["share_v1", "share_v2", "share_diff"]})
 
 
@@ -96,7 +97,7 @@ p AS (SELECT checkout_id, max(submitted) AS s, count(DISTINCT attempt_id) AS att
 g AS (SELECT attempts, count(*) AS checkouts FROM p WHERE s = 1 GROUP BY 1)
 SELECT *, round(checkouts::DOUBLE / sum(checkouts) OVER (), 6) AS share FROM g"""))
 def _(t):
-    return op.submit_attempt_ratio(rows(t), "checkout_id", "submitted", "attempt_id").withColumn("share", rounded("share"))
+    return op.submit_attempt_ratio(checkout_rows(t), attempt_rows(t), "checkout_id", "submitted", "attempt_id", "success").withColumn("share", rounded("share"))
 
 
 @query("d68_effect_size", sql("cf", """
@@ -127,7 +128,7 @@ def _(t):
 SELECT merchant_id, arm, count(*) AS attempts, count(*) FILTER (gateway = 0) AS method_attempts,
   round(count(*) FILTER (gateway = 0)::DOUBLE / count(*), 6) AS method_share FROM r WHERE attempt_id IS NOT NULL GROUP BY 1, 2"""))
 def _(t):
-    out = op.method_share_by_arm(rows(t).filter("attempt_id is not null"), "merchant_id", "arm", F.col("gateway") == 0)
+    out = op.method_share_by_arm(attempt_rows(t), "merchant_id", "arm", F.col("gateway") == 0)
     return out.withColumn("method_share", rounded("method_share"))
 
 

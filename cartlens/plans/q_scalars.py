@@ -95,14 +95,14 @@ def _(t):
         F.col("lang").try_cast("bigint").isNull().alias("bad"), F.expr("if(n_chars > 1000, 1, 0)").alias("long_text"))
 
 
-@query("f06_json", sql("ev", """
-SELECT checkout_id, count(*) AS items, CAST(sum(k) AS BIGINT) AS total FROM ev GROUP BY 1"""))
+@query("f06_json", """
+SELECT doc_id, len(string_split(text, ' '))::BIGINT AS items, CAST(list_sum(list_transform(string_split(text, ' '), lambda w: length(w))) AS BIGINT) AS letters FROM documents""")
 def _(t):
-    # the array per checkout holds that checkout's events only
-    docs = t.events().groupBy("checkout_id").agg(F.to_json(F.collect_list(F.struct("k"))).alias("doc"))
-    items = F.from_json("doc", "array<struct<k: bigint>>")
-    return docs.select("checkout_id", F.json_array_length("doc").cast("bigint").alias("items"),
-                       F.aggregate(items, F.lit(0).cast("bigint"), lambda a, b: a + b["k"]).alias("total"))
+    doc = F.to_json(F.split("text", " "))
+    words = F.from_json("doc", "array<string>")
+    return t.raw("documents").select("doc_id", doc.alias("doc")).select(
+        "doc_id", F.json_array_length("doc").cast("bigint").alias("items"),
+        F.aggregate(words, F.lit(0).cast("bigint"), lambda n, w: n + F.length(w)).alias("letters"))
 
 
 @query("f07_array_index", """

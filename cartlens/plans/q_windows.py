@@ -2,7 +2,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio, rounded, sum_money
-from ..functions.grouped import exact_quantiles, exact_rank, latest_per_key, top_n, top_n_with_rest, with_totals
+from ..functions.grouped import exact_quantiles, exact_rank, latest_per_key, top_n, top_n_with_rest, with_report_totals, with_totals
 from ..functions.scan import time_chunk, with_ordinal, with_previous, with_running_sum
 from ..operators import lookup, stats
 from .registry import query
@@ -90,14 +90,18 @@ def daily(t):
     return t.events().groupBy("merchant_id", "dt").agg(F.count("*").alias("n"))
 
 
-BY_DAY = Window.partitionBy("merchant_id").orderBy("dt")   # at most one row per calendar day
+def by_day():
+    """At most one row per calendar day in each group."""
+    return Window.partitionBy("merchant_id").orderBy("dt")
+
+
 DAILY = "g AS (SELECT merchant_id, dt, count(*) AS n FROM ev GROUP BY 1, 2)"
 
 
 @query("w10_cumulative_sum", sql("ev", DAILY + """
 SELECT merchant_id, dt, CAST(sum(n) OVER (PARTITION BY merchant_id ORDER BY dt) AS BIGINT) AS running FROM g"""), dates="dt")
 def _(t):
-    return daily(t).select("merchant_id", "dt", F.sum("n").over(BY_DAY.rowsBetween(Window.unboundedPreceding, 0)).alias("running"))
+    return daily(t).select("merchant_id", "dt", F.sum("n").over(by_day().rowsBetween(Window.unboundedPreceding, 0)).alias("running"))
 
 
 @query("w11_rows_to_threshold", sql("pay", """
@@ -112,19 +116,19 @@ def _(t):
 @query("w12_rolling_mean", sql("ev", DAILY + """
 SELECT merchant_id, dt, round(avg(n) OVER (PARTITION BY merchant_id ORDER BY dt ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS mean4 FROM g"""), dates="dt")
 def _(t):
-    return daily(t).select("merchant_id", "dt", rounded(F.avg("n").over(BY_DAY.rowsBetween(-3, 0))).alias("mean4"))
+    return daily(t).select("merchant_id", "dt", rounded(F.avg("n").over(by_day().rowsBetween(-3, 0))).alias("mean4"))
 
 
 @query("w13_difference", sql("ev", DAILY + """
 SELECT merchant_id, dt, n - lag(n) OVER (PARTITION BY merchant_id ORDER BY dt) AS diff FROM g"""), dates="dt")
 def _(t):
-    return daily(t).select("merchant_id", "dt", (F.col("n") - F.lag("n").over(BY_DAY)).alias("diff"))
+    return daily(t).select("merchant_id", "dt", (F.col("n") - F.lag("n").over(by_day())).alias("diff"))
 
 
 @query("w14_percent_change", sql("ev", DAILY + """
 SELECT merchant_id, dt, round(n / CAST(lag(n) OVER (PARTITION BY merchant_id ORDER BY dt) AS DOUBLE) - 1, 6) AS pct FROM g"""), dates="dt")
 def _(t):
-    return daily(t).select("merchant_id", "dt", rounded(ratio("n", F.lag("n").over(BY_DAY)) - 1).alias("pct"))
+    return daily(t).select("merchant_id", "dt", rounded(ratio("n", F.lag("n").over(by_day())) - 1).alias("pct"))
 
 
 @query("w15_ordinal", sql("ev", """
@@ -137,7 +141,7 @@ def _(t):
 @query("w16_days_since_first", sql("ev", DAILY + """
 SELECT merchant_id, dt, date_diff('day', min(dt) OVER (PARTITION BY merchant_id), dt) AS day_no FROM g"""), dates="dt")
 def _(t):
-    d = with_totals(daily(t), ["merchant_id"], {"first": F.min("dt")})
+    d = with_report_totals(daily(t), ["merchant_id"], {"first": F.min("dt")})
     return d.select("merchant_id", "dt", F.datediff("dt", "first").cast("bigint").alias("day_no"))
 
 
@@ -153,7 +157,7 @@ def _(t):
 SELECT merchant_id, dt, round(n / first_value(n::DOUBLE) OVER (PARTITION BY merchant_id ORDER BY dt), 6) AS to_first,
   round(n / max(n::DOUBLE) OVER (PARTITION BY merchant_id), 6) AS to_max FROM g"""), dates="dt")
 def _(t):
-    d = with_totals(daily(t), ["merchant_id"], {"f": F.min_by("n", "dt"), "m": F.max("n")})
+    d = with_report_totals(daily(t), ["merchant_id"], {"f": F.min_by("n", "dt"), "m": F.max("n")})
     return d.select("merchant_id", "dt", rounded(ratio("n", "f")).alias("to_first"), rounded(ratio("n", "m")).alias("to_max"))
 
 

@@ -51,8 +51,11 @@ class Tables:
     def checkouts(self) -> DataFrame:
         """One row per checkout: funnel flags and attributes."""
         t = F.col("event_type")
-        fact = self.events().groupBy(
-            "checkout_id", "merchant_id", "device_id", "arm", "period", "dt").agg(
+        # Grouped by the key alone (its attributes are constant): joins and
+        # groupings on checkout_id then need no second shuffle.
+        same = ["merchant_id", "device_id", "arm", "period", "dt"]
+        fact = self.events().groupBy("checkout_id").agg(
+            *[F.min(c).alias(c) for c in same],
             F.max(flag(t == "signup")).alias("open"),
             F.max(flag(t == "view")).alias("render"),
             F.max(flag(t == "click")).alias("submit"),
