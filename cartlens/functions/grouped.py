@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from .expr import flag
 
-VALUE_SLOTS = 1024          # power of two
-SPLIT_ABOVE = 4_000_000     # distinct values of a group that one task may order
+SLOTS_PER_OCTAVE = 512
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str] | None = None,
@@ -67,45 +66,35 @@ def with_report_totals(df: DataFrame, within: Sequence[str], totals: Mapping[str
     return df.withColumns({n: t.over(w) for n, t in totals.items()})
 
 
-def with_value_slots(df: DataFrame, by: Sequence[str], value: str, name: str = "__slot", slots: int = VALUE_SLOTS,
-                     split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Number the value range of big groups, in value order, so that one group
-    can be ordered by many tasks. Groups of at most ``split_above`` rows are one
-    slot. Any cut points give right results; the sketch only balances them.
+def value_slot(value: Column | str, per_octave: int = SLOTS_PER_OCTAVE) -> Column:
+    """Slot number of a number, monotone in its value: ``per_octave`` slots between
+    x and 2x on both sides of zero.
+
+    It cuts the value range of a group into pieces that many tasks can order,
+    without looking at the data first. Equal values are always merged before, so a
+    slot holds at most the distinct values of a 1/512 relative range (for amounts
+    in cents: a few thousand). Values around a large offset, such as epochs,
+    should have the offset subtracted first.
     """
-    big = df.groupBy(*by).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > split_above)
-    part = df.join(big.drop("__rows"), list(by), "left_semi") if by else df
-    cuts = part.groupBy(*by).agg(
-        F.percentile_approx(value, [i / slots for i in range(1, slots)], 4 * slots).alias("__cuts"), F.count("*").alias("__rows"))
-    cuts = cuts.filter(F.col("__rows") > split_above).drop("__rows")
-    if by:
-        d = df.join(cuts, list(by), "left")
-    else:
-        d = df.withColumn("__cuts", cuts.scalar())
-    steps = []
-    step = slots // 2
-    while step:
-        steps.append(step)
-        step //= 2
-    # binary search: number of cut points below the value
-    found = F.aggregate(
-        F.array(*[F.lit(x) for x in steps]), F.lit(0),
-        lambda at, step: F.when(F.get("__cuts", at + step - 1) < F.col(value), at + step).otherwise(at))
-    return d.withColumn(name, F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(found)).drop("__cuts")
+    v = F.col(value) if isinstance(value, str) else value
+    v = v.cast("double")
+    size = F.floor(F.log2(F.abs(v)) * per_octave) + 2048 * per_octave
+    return F.when(v > 0, size).when(v < 0, -size).when(v == 0, F.lit(0)).cast("bigint")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
-                    slots: int = VALUE_SLOTS, split_above: int = SPLIT_ABOVE) -> DataFrame:
+                    per_octave: int = SLOTS_PER_OCTAVE) -> DataFrame:
     """Exact interpolated quantiles per group; no group has to fit in one task.
 
-    Equal values are counted first. Big groups are cut into value slots; slot
+    Equal values are counted first and the value range is cut into slots. Slot
     totals give the rank at which each slot starts, so ranks are counted exactly
     inside the slots that hold a wanted rank, and other slots are not ordered.
+    Groups with a NULL key are left out.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    d = with_value_slots(counts, by, "__v", slots=slots, split_above=split_above)
+    d = counts.withColumn("__slot", value_slot("__v", per_octave))
     sizes = d.groupBy(*by, "__slot").agg(F.sum("__n").alias("__size"))
-    group = Window.partitionBy(*by)                    # at most ``slots`` rows per group
+    group = Window.partitionBy(*by)                    # one row per used slot
     before = group.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns({
         "__offset": F.coalesce(F.sum("__size").over(before), F.lit(0)), "__total": F.sum("__size").over(group)})
@@ -150,14 +139,13 @@ def pivot_sum(df: DataFrame, keys: Sequence[str], column: str, values: Sequence,
     return out.select(*keys, *[F.col(f"`{v}_{n}`").alias(f"{n}{sep}{v}") for v in values for n in measures])
 
 
-def exact_rank(df: DataFrame, by: Sequence[str], value: str, name: str, descending: bool = False,
-               slots: int = VALUE_SLOTS, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def exact_rank(df: DataFrame, by: Sequence[str], value: str, name: str, descending: bool = False) -> DataFrame:
     """rank() with shared ranks for ties, without one task per group: equal
     values are counted first, ranks run over value slots, and are joined back."""
     from .scan import chunked_scan
 
     levels = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    levels = with_value_slots(levels, by, value, slots=slots, split_above=split_above)
+    levels = levels.withColumn("__slot", value_slot(value))
     slot = -F.col("__slot") if descending else F.col("__slot")
     order = F.col(value).desc() if descending else F.col(value)
     ranked = chunked_scan(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bands, col, first_match, flag, ratio
-from ..functions.grouped import SPLIT_ABOVE, VALUE_SLOTS, exact_quantiles, with_totals, with_value_slots
+from ..functions.grouped import exact_quantiles, value_slot, with_totals
 from ..functions.scan import chunked_scan
 
 
@@ -95,8 +95,7 @@ def cohens_h(p1: Column, p2: Column) -> Column:
     return F.abs(2 * F.asin(F.sqrt(p1)) - 2 * F.asin(F.sqrt(p2)))
 
 
-def rows_to_reach(df: DataFrame, by: Sequence[str], amount: str, share: float, total: str = "__total",
-                  slots: int = VALUE_SLOTS, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def rows_to_reach(df: DataFrame, by: Sequence[str], amount: str, share: float, total: str = "__total") -> DataFrame:
     """How many rows, taken from the largest contribution down, stay within
     ``share`` of the group's total.
 
@@ -109,7 +108,7 @@ def rows_to_reach(df: DataFrame, by: Sequence[str], amount: str, share: float, t
     signed = with_totals(df, by, {total: F.sum(amount)}).withColumn(
         "__a", F.when(F.col(total) < 0, -F.col(amount)).otherwise(F.col(amount)))
     level = signed.groupBy(*by, F.col("__a")).agg(F.count("*").alias("__n"))
-    level = with_value_slots(level, by, "__a", slots=slots, split_above=split_above)
+    level = level.withColumn("__slot", value_slot("__a"))
     level = level.withColumn("__sum", F.col("__a") * F.col("__n"))
     scanned = chunked_scan(
         level, by, [F.col("__a").desc()], -F.col("__slot"),
