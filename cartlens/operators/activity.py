@@ -19,16 +19,15 @@ def waterfall(df: DataFrame, entity: str, measure: str, period: str, pre: str, p
     p = p.withColumn("change", F.col("b") - F.col("a"))
     top = p.orderBy(F.abs("change").desc(), "label").limit(n)
     # n rows: the ranking window below sees only them
-    rank = F.row_number().over(Window.orderBy(F.abs("change").desc(), "label"))
-    movers = top.select(rank.cast("bigint").alias("seq"), "label", F.col("change").alias("value"))
-    ends = p.agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    moved = movers.agg(F.sum("value").alias("m"))
-    d = ends.withColumn("m", F.coalesce(moved.select("m").scalar(), F.lit(0)))
+    rank = F.row_number().over(Window.orderBy(F.abs("change").desc(), "label")).cast("bigint")
     row = lambda seq, label, value: F.struct(
         F.lit(seq).cast("bigint").alias("seq"), F.lit(label).alias("label"), value.alias("value"))
-    frame = d.select(F.inline(F.array(
-        row(0, pre, F.col("a")), row(n + 1, "Others", F.col("b") - F.col("a") - F.col("m")), row(n + 2, "subtotal", F.col("b")))))
-    return movers.unionByName(frame)
+    # every mover is taken out of the rest, which starts as the whole change
+    movers = top.withColumn("seq", rank).select(F.inline(F.array(
+        F.struct("seq", "label", F.col("change").alias("value")), row(n + 1, "Others", -F.col("change")))))
+    frame = p.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(F.inline(F.array(
+        row(0, pre, F.col("a")), row(n + 1, "Others", F.col("b") - F.col("a")), row(n + 2, "subtotal", F.col("b")))))
+    return movers.unionByName(frame).groupBy("seq", "label").agg(F.sum("value").alias("value"))
 
 
 def active_entities(pay: DataFrame, entity: str, segment: str, period: str) -> DataFrame:
