@@ -36,20 +36,23 @@ def count_ids(df: DataFrame, by: Sequence[str], ident: str, conds: Mapping[str,
     return per_id.groupBy(*by).agg(*[F.sum(n).cast("bigint").alias(n) for n in conds])
 
 
-def with_totals(df: DataFrame, within: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
-    """Add group totals to every row.
+def with_totals(df: DataFrame, within: Sequence[str], totals: Mapping[str, Column], source: DataFrame | None = None) -> DataFrame:
+    """Add group totals to every row. They are taken from ``source`` (default: the
+    rows themselves); naming the base table there keeps chained totals from
+    repeating the joins before them.
 
     Aggregate and join back rather than a window, so a group of any size stays
     spread out; without group columns the totals are scalar subqueries. For
     reports with few rows per group use ``with_report_totals``.
     """
+    source = df if source is None else source
     if not within:
-        agg = df.agg(*[t.alias(n) for n, t in totals.items()])
+        agg = source.agg(*[t.alias(n) for n, t in totals.items()])
         out = df
         for n in totals:
             out = out.withColumn(n, agg.select(n).scalar())
         return out
-    agg = df.groupBy(*within).agg(*[t.alias(n) for n, t in totals.items()])
+    agg = source.groupBy(*within).agg(*[t.alias(n) for n, t in totals.items()])
     cond = None
     for c in within:
         agg = agg.withColumnRenamed(c, f"__w_{c}")
@@ -139,22 +142,28 @@ def pivot_sum(df: DataFrame, keys: Sequence[str], column: str, values: Sequence,
     return out.select(*keys, *[F.col(f"`{v}_{n}`").alias(f"{n}{sep}{v}") for v in values for n in measures])
 
 
-def exact_rank(df: DataFrame, by: Sequence[str], value: str, name: str, descending: bool = False) -> DataFrame:
-    """rank() with shared ranks for ties, without one task per group: equal
-    values are counted first, ranks run over value slots, and are joined back."""
+def exact_rank(df: DataFrame, by: Sequence[str], value: str, up: str | None = None, down: str | None = None) -> DataFrame:
+    """rank() in ascending (``up``) and descending (``down``) order with shared ranks
+    for ties, without one task per group: equal values are counted first, counts run
+    over value slots, and the ranks are joined back to the rows."""
     from .scan import chunked_scan
 
-    levels = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    levels = levels.withColumn("__slot", value_slot(value))
-    slot = -F.col("__slot") if descending else F.col("__slot")
-    order = F.col(value).desc() if descending else F.col(value)
-    ranked = chunked_scan(
-        levels, by, [order], slot,
-        inner={"__in": lambda w: F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))},
+    levels = df.groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__slot", value_slot(value))
+    group = lambda w: Window.partitionBy(*by)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    counted = chunked_scan(
+        levels, by, [F.col(value)], F.col("__slot"),
+        inner={"__in": lambda w: F.sum("__n").over(upto(w))},
         summary={"__tot": F.sum("__n")},
-        carry={"__off": lambda w: F.sum("__tot").over(w.rowsBetween(Window.unboundedPreceding, -1))},
-        result={name: F.col("__in") + F.coalesce(F.col("__off"), F.lit(0)) - F.col("__n") + 1})
-    return df.join(ranked.select(*by, value, name), [*by, value])
+        carry={"__off": lambda w: F.sum("__tot").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+               "__all": lambda w: F.sum("__tot").over(group(w))},
+        result={"__upto": F.col("__in") + F.coalesce(F.col("__off"), F.lit(0)), "__all": F.col("__all")})
+    ranks = {}
+    if up:
+        ranks[up] = F.col("__upto") - F.col("__n") + 1
+    if down:
+        ranks[down] = F.col("__all") - F.col("__upto") + 1
+    return df.join(counted.select(*by, value, *[c.alias(n) for n, c in ranks.items()]), [*by, value])
 
 
 def top_n_with_rest(df: DataFrame, label: str, order: Sequence[Column], n: int, sums: Sequence[str],

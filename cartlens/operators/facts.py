@@ -43,11 +43,18 @@ def normalize_events(raw: DataFrame, keys: DataFrame, order_meta: DataFrame, sta
     key, so no event is repeated.
     """
     e = raw.filter((F.col("source") == source) & F.col("producer_created_date").between(F.lit(start), F.lit(end)))
-    e = e.withColumn("p", F.from_json("properties", PROPERTIES_SCHEMA)).withColumn(
-        "c", F.from_json("context", CONTEXT_SCHEMA))
-    one_click = (F.col("p.data.meta.is_one_click_checkout_enabled_lite").try_cast("boolean")
-                 | (F.col("p.options.one_click_checkout") == "true"))
-    e = e.filter((F.lower(F.col("c.library")) == source) & one_click)
+    # Both documents are parsed exactly once per event. The row test sits inside the
+    # array filter: as a plain filter it would be pushed below the parsing and parse
+    # the documents again for every field it looks at.
+    doc = F.array(F.struct(F.from_json("properties", PROPERTIES_SCHEMA).alias("p"), F.from_json("context", CONTEXT_SCHEMA).alias("c")))
+
+    def wanted(d):
+        one_click = (d["p"]["data"]["meta"]["is_one_click_checkout_enabled_lite"].try_cast("boolean")
+                     | (d["p"]["options"]["one_click_checkout"] == "true"))
+        return (F.lower(d["c"]["library"]) == source) & one_click
+
+    e = e.select("event_name", "event_timestamp", "event_timestamp_raw", "producer_timestamp", "producer_created_date",
+                 F.inline(F.filter(doc, wanted)))
     meta = F.col("p.data.meta")
     disabled = F.col("p.data.disabled")
     flat = e.select(
@@ -159,20 +166,25 @@ def build_checkout_fact(events: DataFrame, flag_spec: Mapping[str, Column], key:
 
 def upsert_fact(existing: DataFrame, delta: DataFrame, key: str, maxes: Sequence[str],
                 mins: Sequence[str]) -> DataFrame:
-    """History with a delta merged in: touched keys are re-reduced together with
-    their old rows, all other rows pass through.
+    """History with a delta merged in: rows of touched keys are re-reduced with the
+    delta, all others pass through.
 
-    Running the same delta again changes nothing. The whole new table is one
-    DataFrame; write it to a staging path and swap, or overwrite only the
-    touched date partitions. Old rows later than every touched key are skipped
-    by the semi join on the delta's keys.
+    The delta is reduced to one row per key and met with the history, which has one
+    row per key, in one full join: both sides are read once. Running the same delta
+    again changes nothing. The whole new table is one DataFrame; write it to a
+    staging path and swap, or overwrite the touched date partitions.
     """
-    touched_keys = delta.select(key).distinct()
-    touched = existing.join(touched_keys, key, "left_semi")
-    untouched = existing.join(touched_keys, key, "left_anti")
-    merged = touched.unionByName(delta).groupBy(key).agg(
-        *[F.max(c).alias(c) for c in maxes], *[F.min(c).alias(c) for c in mins])
-    return untouched.select(key, *maxes, *mins).unionByName(merged)
+    new = delta.groupBy(F.col(key).alias("__key")).agg(
+        *[F.max(c).alias(f"__{c}") for c in maxes], *[F.min(c).alias(f"__{c}") for c in mins])
+    both = existing.select(key, *maxes, *mins).join(new, F.col(key) == F.col("__key"), "full")
+    return both.select(
+        F.coalesce(key, "__key").alias(key), *[F.greatest(c, f"__{c}").alias(c) for c in maxes],
+        *[F.least(c, f"__{c}").alias(c) for c in mins])
+
+
+def touched_rows(existing: DataFrame, delta: DataFrame, key: str) -> DataFrame:
+    """Old rows of the keys a delta touches (what a partition rewrite has to read)."""
+    return existing.join(delta.select(key).distinct(), key, "left_semi")
 
 
 def merge_new_rows(existing: DataFrame, delta: DataFrame, key: str, maxes: Sequence[str],

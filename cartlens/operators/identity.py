@@ -91,6 +91,7 @@ def happiness_index(merchants: DataFrame, fact: DataFrame, orders: DataFrame, as
     """
     base = merchants.select(entity, "live_date", "order_live_date", "pre_cr", "pre_rto")
     f = fact.join(base, entity)
+    f = f.select(*base.columns, *[c for c in fact.columns if c != entity])
     first = f.filter((F.col("dt") >= F.col("live_date")) & (F.col("open") == 1)).groupBy(entity).agg(F.min("dt").alias("first_day"))
     f = f.join(first, entity)
     since, ago = F.datediff("dt", "first_day"), F.datediff(F.lit(as_of), F.col("dt"))
@@ -109,9 +110,10 @@ def happiness_index(merchants: DataFrame, fact: DataFrame, orders: DataFrame, as
     late_o = ago_o.between(15, 44) & (F.col("pre_rto").isNotNull() | (since_o > 20))
     rto = o.groupBy(entity).agg(
         pct(since_o.between(0, 21) & on("rto"), since_o.between(0, 21)).alias("first_rto"), pct(late_o & on("rto"), late_o).alias("recent_rto"))
-    load = exact_quantiles(f.filter(recent), [entity], "load_s", {"p50_load_s": 0.5})
-    done = exact_quantiles(f.filter(recent), [entity], "complete_s", {"p50_completion_s": 0.5})
-    out = base.join(cr, entity, "left").join(rto, entity, "left").join(load, entity, "left").join(done, entity, "left")
+    times = f.filter(recent).unpivot([entity], ["load_s", "complete_s"], "measure", "v")
+    p50 = exact_quantiles(times, [entity, "measure"], "v", {"p50": 0.5}).groupBy(entity).pivot("measure", ["load_s", "complete_s"]).agg(
+        F.max("p50")).toDF(entity, "p50_load_s", "p50_completion_s")
+    out = base.join(cr, entity, "left").join(rto, entity, "left").join(p50, entity, "left")
     return out.select(
         entity, F.coalesce("pre_cr", "first_cr").alias("baseline_cr"), "recent_cr", F.coalesce("pre_rto", "first_rto").alias("baseline_rto"),
         "recent_rto", "p50_load_s", "p50_completion_s", "prefill_pct", "prelogin_pct")

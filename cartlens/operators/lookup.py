@@ -4,52 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import epoch_micros
-from ..functions.scan import first_after, last_before, time_chunk, with_running_sum
+from ..functions.scan import CHUNK, chunked_scan, last_before, time_chunk, with_running_sum
 
 DAY = 86_400
 
 
-def touch_attribution(signups: DataFrame, visits: DataFrame, key: str, signup_ts: str, visit_ts: str, visit_id: str,
-                      take: Sequence[str], days: int = 60, chunk_seconds: int = 6 * 3600) -> DataFrame:
-    """First and last touch in the look-back window before each sign-up.
+def touch_attribution(signups: DataFrame, visits: DataFrame, key: str, signup_id: str, signup_ts: str, visit_ts: str,
+                      visit_id: str, take: Sequence[str], days: int = 60, chunk_seconds: int = 6 * 3600) -> DataFrame:
+    """First and last touch in [sign-up - days, sign-up) of each sign-up.
 
-    Both are as-of look-ups on a shared time axis (last visit before the sign-up;
-    first visit at or after the start of its window), so a person with many
-    visits and sign-ups costs rows, not pairs. All last-touch columns come from
-    the last-touch row.
+    Window starts, sign-ups and visits lie on one time axis per person. Carried
+    forward, a sign-up sees its last visit; carried backward, a window start sees its
+    first one. A person with many visits and sign-ups costs rows, not pairs. All
+    last-touch columns come from the last-touch row.
     """
     cols = [visit_ts, visit_id, *take]
-    v = visits.select(key, *cols)
-    last = last_before(signups, v, [key], signup_ts, visit_ts, {f"last_{c}": c for c in cols}, chunk_seconds,
-                       right_tie=[visit_id])
     start = F.col(signup_ts) - F.expr(f"INTERVAL {days} DAYS")
-    both = first_after(last.withColumn("__from", start), v, [key], "__from", visit_ts,
-                       {f"first_{c}": c for c in cols}, chunk_seconds, allow_equal=True, right_tie=[visit_id])
-    last_ok = F.col(f"last_{visit_ts}") >= F.col("__from")
-    first_ok = F.col(f"first_{visit_ts}") < F.col(signup_ts)
-    out = both
-    for c in cols:
-        out = out.withColumn(f"last_{c}", F.when(last_ok, F.col(f"last_{c}")))
-        out = out.withColumn(f"first_{c}", F.when(first_ok, F.col(f"first_{c}")))
-    return out.drop("__from")
-
-
-def touches_in_window(signups: DataFrame, visits: DataFrame, key: str, signup_ts: str, visit_ts: str, visit_id: str,
+    point = lambda kind, t: F.struct(F.lit(kind).alias("__kind"), t.alias("__t"))
+    s = signups.select(key, signup_id, F.col(signup_ts).alias("__s"), start.alias("__from"),
+                       F.inline(F.array(point(0, start), point(1, F.col(signup_ts)))))
+    v = visits.select(key, F.lit(2).alias("__kind"), F.col(visit_ts).alias("__t"), F.struct(*cols).alias("__v"), F.col(visit_id).alias("__tie"))
+    axis = s.unionByName(v, allowMissingColumns=True)
+    is_visit, when = F.col("__kind") == 2, F.struct("__t", "__tie")
+    # ascending: a sign-up comes before visits at its own instant; descending: a
+    # window start comes after them
+    backward = Window.partitionBy(key, CHUNK).orderBy(F.col("__t").desc(), F.when(is_visit, 0).otherwise(1), F.col("__tie").desc())
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    earlier = (Window.unboundedPreceding, -1)
+    out = chunked_scan(
+        axis, [key], [F.col("__t"), F.when(is_visit, 1).otherwise(0), F.col("__tie")], time_chunk("__t", chunk_seconds),
+        inner={"__l": lambda w: F.last("__v", ignorenulls=True).over(w.rowsBetween(*upto)),
+               "__f": lambda w: F.last("__v", ignorenulls=True).over(backward.rowsBetween(*upto))},
+        summary={"__lv": F.max_by("__v", F.when(is_visit, when)), "__fv": F.min_by("__v", F.when(is_visit, when))},
+        carry={"__lc": lambda w: F.last("__lv", ignorenulls=True).over(w.rowsBetween(*earlier)),
+               "__fc": lambda w: F.last("__fv", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.col(CHUNK).desc()).rowsBetween(*earlier))},
+        result={"__last": F.coalesce(F.col("__l"), F.col("__lc")), "__first": F.coalesce(F.col("__f"), F.col("__fc"))})
+    out = out.filter(~is_visit)
+    last = F.when((F.col("__kind") == 1) & (F.col("__last")[visit_ts] >= F.col("__from")), F.col("__last"))
+    first = F.when((F.col("__kind") == 0) & (F.col("__first")[visit_ts] < F.col("__s")), F.col("__first"))
+    got = out.groupBy(key, signup_id).agg(F.max(first).alias("__f"), F.max(last).alias("__l"))
+    return got.select(key, signup_id, *[F.col("__f")[c].alias(f"first_{c}") for c in cols], *[F.col("__l")[c].alias(f"last_{c}") for c in cols])
+
+
+def touches_in_window(signups: DataFrame, visits: DataFrame, key: str, signup_id: str, signup_ts: str, visit_ts: str,
                       days: int = 60, chunk_seconds: int = 6 * 3600) -> DataFrame:
-    """Number of visits in [sign-up - days, sign-up): difference of two running
-    counts looked up as-of, no pairs."""
-    numbered = with_running_sum(visits.select(key, visit_ts, visit_id), [key], [visit_ts, visit_id],
-                                {"__n": F.lit(1)}, time_chunk(visit_ts, chunk_seconds))
-    s = signups.withColumn("__from", F.col(signup_ts) - F.expr(f"INTERVAL {days} DAYS"))
-    tie = ["__n"]
-    s = last_before(s, numbered, [key], signup_ts, visit_ts, {"__upto": "__n"}, chunk_seconds, right_tie=tie)
-    s = last_before(s, numbered, [key], "__from", visit_ts, {"__before": "__n"}, chunk_seconds, right_tie=tie)
-    n = F.coalesce("__upto", F.lit(0)) - F.coalesce("__before", F.lit(0))
-    return s.withColumn("touches", n).drop("__upto", "__before", "__from")
+    """Number of visits in [sign-up - days, sign-up) of each sign-up: the running
+    visit count at the sign-up less the one at its window start, no pairs."""
+    start = F.col(signup_ts) - F.expr(f"INTERVAL {days} DAYS")
+    point = lambda sign, t: F.struct(F.lit(sign).alias("__sign"), t.alias("__t"))
+    s = signups.select(key, F.col(signup_id), F.inline(F.array(point(-1, start), point(1, F.col(signup_ts)))), F.lit(0).alias("__visit"))
+    v = visits.select(key, F.col(visit_ts).alias("__t"), F.lit(1).alias("__visit"))
+    axis = s.unionByName(v, allowMissingColumns=True)
+    # points come before visits at the same instant: both bounds count visits strictly before them
+    seen = with_running_sum(axis, [key], ["__t", "__visit"], {"__n": F.col("__visit")}, time_chunk("__t", chunk_seconds))
+    return seen.filter("__visit = 0").groupBy(key, signup_id).agg(F.sum(F.col("__n") * F.col("__sign")).alias("touches"))
 
 
 def last_seen_by_channel(anchors: DataFrame, seen: DataFrame, key: str, anchor: str, seen_date: str, channel: str,

@@ -34,9 +34,9 @@ def mix_decompose(leaf: DataFrame, dims: Sequence[str]) -> DataFrame:
     """
     d = leaf
     for i in range(1, len(dims)):
-        d = with_totals(d, list(dims[:i]), {f"__pre{i}": F.sum("open_pre"), f"__post{i}": F.sum("open_post")})
+        d = with_totals(d, list(dims[:i]), {f"__pre{i}": F.sum("open_pre"), f"__post{i}": F.sum("open_post")}, source=leaf)
     n = len(dims)
-    d = with_totals(d, [], {"__npre": F.sum("open_pre"), "__npost": F.sum("open_post")})
+    d = with_totals(d, [], {"__npre": F.sum("open_pre"), "__npost": F.sum("open_post")}, source=leaf)
     dbl = lambda c: F.col(c).cast("double")
     npre, npost, pre, post = dbl("__npre"), dbl("__npost"), dbl("open_pre"), dbl("open_post")
     cr_pre = F.coalesce(ratio("submit_pre", "open_pre"), F.lit(0.0))
@@ -134,9 +134,8 @@ def vol_rate_rollup(leaf: DataFrame, levels: Sequence[Sequence[str]], entity: st
     return out
 
 
-def model_impact(df: DataFrame, group: str, period: str, pre: str, post: str, hits: str, base: str) -> DataFrame:
-    """Two-factor split of a flag rate or precision by model between two periods,
-    in percent points."""
-    leaf = leaf_table(df, [group], period, pre, post, base, hits)
+def model_impact(leaf: DataFrame, group: str) -> DataFrame:
+    """Two-factor split of a flag rate or precision by model between two periods, in
+    percent points. In the leaf table hits stand as submits and the base as opens."""
     out = vol_rate_impact(leaf, [group])
     return out.withColumns({c: F.col(c) * 100 for c in ["vol_impact", "rate_impact", "total_impact"]})

@@ -49,7 +49,7 @@ def chi_square(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """
     cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("n"))
     d = with_totals(cells, [*by, x], {"row_n": F.sum("n")})
-    d = with_totals(d, [*by, y], {"col_n": F.sum("n")})
+    d = with_totals(d, [*by, y], {"col_n": F.sum("n")}, source=cells)
     share = F.col("n").cast("double") * F.col("n") / (F.col("row_n").cast("double") * F.col("col_n"))
     out = d.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum(share).alias("__s"),
@@ -104,29 +104,24 @@ def rows_to_reach(df: DataFrame, by: Sequence[str], amount: str, share: float, t
     value slots, so one group with all rows is still spread over tasks. Amounts
     must be decimal: the sums are exact and the count does not depend on order.
     """
-    totals = df.groupBy(*by).agg(F.sum(amount).alias(total), F.count("*").alias("rows_total"))
-    signed = with_totals(df, by, {total: F.sum(amount)}).withColumn(
-        "__a", F.when(F.col(total) < 0, -F.col(amount)).otherwise(F.col(amount)))
-    level = signed.groupBy(*by, F.col("__a")).agg(F.count("*").alias("__n"))
-    level = level.withColumn("__slot", value_slot("__a"))
-    level = level.withColumn("__sum", F.col("__a") * F.col("__n"))
+    signed = with_totals(df, by, {total: F.sum(amount), "rows_total": F.count("*")})
+    signed = signed.withColumn("__a", F.when(F.col(total) < 0, -F.col(amount)).otherwise(F.col(amount)))
+    level = signed.groupBy(*by, "__a").agg(
+        F.count("*").alias("__n"), F.first(total).alias(total), F.first("rows_total").alias("rows_total"))
+    level = level.withColumns({"__slot": value_slot("__a"), "__sum": F.col("__a") * F.col("__n")})
     scanned = chunked_scan(
         level, by, [F.col("__a").desc()], -F.col("__slot"),
         inner={"__in": lambda w: F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, 0))},
         summary={"__tot": F.sum("__sum")},
         carry={"__off": lambda w: F.sum("__tot").over(w.rowsBetween(Window.unboundedPreceding, -1))},
         result={"__upto": F.col("__in") + F.coalesce(F.col("__off"), F.lit(0))})
-    scanned = scanned.join(totals, list(by)) if by else scanned.withColumn(total, totals.select(total).scalar())
     limit = F.abs(F.col(total)) * F.lit(str(share)).cast("decimal(5,4)")
     before = F.col("__upto") - F.col("__sum")
     # Sorted towards the total, the running sum only falls back below the limit if
     # it never passed it, so levels at or below zero hold no counted row.
     fits = F.floor(F.try_divide(limit - before, F.col("__a")))
     some = F.when(F.col("__a") > 0, F.greatest(F.lit(0), F.least(F.col("__n"), fits))).otherwise(F.lit(0))
-    hits = scanned.groupBy(*by).agg(F.sum(some.cast("bigint")).alias("rows_needed"))
-    if by:
-        return hits.join(totals.drop(total), list(by))
-    return hits.withColumn("rows_total", totals.select("rows_total").scalar())
+    return scanned.groupBy(*by).agg(F.sum(some.cast("bigint")).alias("rows_needed"), F.first("rows_total").alias("rows_total"))
 
 
 def trend_shape(daily: DataFrame, entity: str, day_no: str, value: str, first: int = 7, last: int = 31,

@@ -103,8 +103,7 @@ def upsert_inputs(t):
 @query("d04_upsert_fact", sql("ev", DEVICE_FACT), dates="first_date")
 def _(t):
     history, delta = upsert_inputs(t)
-    once = op.upsert_fact(history, delta, "device_id", KINDS, ["first_date"])
-    return op.upsert_fact(once, delta, "device_id", KINDS, ["first_date"])   # a second identical run changes nothing
+    return op.upsert_fact(history, delta, "device_id", KINDS, ["first_date"])
 
 
 @query("d04_merge_new_rows", sql("ev", DEVICE_FACT), dates="first_date")

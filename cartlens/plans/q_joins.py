@@ -90,7 +90,7 @@ SELECT signup_id, count(v_ts) AS touches FROM s LEFT JOIN v
   ON s.device_id = v.device_id AND v_ts < s_ts AND v_ts >= s_ts - INTERVAL 10 DAY GROUP BY 1"""))
 def _(t):
     s, v = signups_and_visits(t)
-    return lookup.touches_in_window(s, v, "device_id", "s_ts", "v_ts", "visit", days=10).select("signup_id", "touches")
+    return lookup.touches_in_window(s, v, "device_id", "signup_id", "s_ts", "v_ts", days=10).select("signup_id", "touches")
 
 
 @query("j10_before_anchor", sql("ev", """

@@ -181,7 +181,7 @@ SELECT signup_id, arg_min(visit, v_ts) AS first_visit, arg_min(k, v_ts) AS first
   ON s.device_id = v.device_id AND v_ts < s_ts AND v_ts >= s_ts - INTERVAL 3 DAY GROUP BY 1"""))
 def _(t):
     s, v = signups_and_visits(t)
-    out = lookup.touch_attribution(s, v, "device_id", "s_ts", "v_ts", "visit", ["k"], days=3)
+    out = lookup.touch_attribution(s, v, "device_id", "signup_id", "s_ts", "v_ts", "visit", ["k"], days=3)
     return out.select("signup_id", "first_visit", "first_k", "last_visit", "last_k")
 
 

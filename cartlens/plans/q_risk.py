@@ -11,6 +11,7 @@ from .q_aggregates import CHI_SQL
 from .q_facts import rto_fact
 from .q_projection import MODELS, MODELS_SQL
 from ..functions.expr import code_name
+from ..session import materialize
 from .registry import query
 from .views import sql
 
@@ -72,6 +73,10 @@ SELECT model, round(r0, 6) AS cr_pre, round(r1, 6) AS cr_post, round(s0, 6) AS s
   round(s1 * (r1 - r0) * 100, 6) AS rate_impact, round((r0 * (s1 - s0) + s1 * (r1 - r0)) * 100, 6) AS total_impact FROM s"""
 
 
+def model_leaf(t, hits, base):
+    return materialize(mix.leaf_table(model_rows(t), ["model"], "period", "Prev", "Post", base, hits), "models")
+
+
 def model_rows(t):
     risky = ~((F.col("ml_flag") == "green") & (F.col("rule_flag") == "green"))
     back = F.col("status") == "rto"
@@ -84,12 +89,12 @@ IMPACT_OUT = ["cr_pre", "cr_post", "share_pre", "share_post", "vol_impact", "rat
 
 @query("d36_model_precision_impact", sql("rto", impact_sql("risky AND back", "risky")))
 def _(t):
-    return rounded_all(mix.model_impact(model_rows(t), "model", "period", "Prev", "Post", "hit", "risky"), IMPACT_OUT).select("model", *IMPACT_OUT)
+    return rounded_all(mix.model_impact(model_leaf(t, "hit", "risky"), "model"), IMPACT_OUT).select("model", *IMPACT_OUT)
 
 
 @query("d36_model_flag_rate_impact", sql("rto", impact_sql("risky", "TRUE")))
 def _(t):
-    return rounded_all(mix.model_impact(model_rows(t), "model", "period", "Prev", "Post", "risky", "orders"), IMPACT_OUT).select("model", *IMPACT_OUT)
+    return rounded_all(mix.model_impact(model_leaf(t, "risky", "orders"), "model"), IMPACT_OUT).select("model", *IMPACT_OUT)
 
 
 START, END = dt.date(1997, 1, 1), dt.date(1998, 1, 1)
@@ -155,7 +160,7 @@ e AS (SELECT segment, feature, CAST(sum(n) AS BIGINT) AS n, sum(n::DOUBLE * n /
 SELECT segment, feature, round(corr, 6) AS corr, n, round(CASE WHEN v > 0 THEN n * greatest(s - 1, 0) END, 4) AS chi2, round(sqrt(CASE WHEN v > 0 THEN greatest(s - 1, 0) / v END), 6) AS cramers_v
 FROM r JOIN e USING (segment, feature)"""))
 def _(t):
-    out = stats.feature_association(feature_rows(t), "segment", FEATURES, "rto")
+    out = stats.feature_association(materialize(feature_rows(t), "features"), "segment", FEATURES, "rto")
     return out.select("segment", "feature", rounded("corr").alias("corr"), "n", rounded("chi2", 4).alias("chi2"), rounded("cramers_v").alias("cramers_v"))
 
 

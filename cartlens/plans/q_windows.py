@@ -69,8 +69,7 @@ def _(t):
 @query("w07_rank", sql("ev", """
 SELECT event_id, rank() OVER (PARTITION BY merchant_id ORDER BY k) AS up, rank() OVER (PARTITION BY merchant_id ORDER BY k DESC) AS down FROM ev"""))
 def _(t):
-    d = exact_rank(t.events().select("event_id", "merchant_id", "k"), ["merchant_id"], "k", "up")
-    return exact_rank(d, ["merchant_id"], "k", "down", descending=True).select("event_id", "up", "down")
+    return exact_rank(t.events().select("event_id", "merchant_id", "k"), ["merchant_id"], "k", "up", "down").select("event_id", "up", "down")
 
 
 @query("w08_first_contact", sql("ev", "SELECT event_id, min(dt) OVER (PARTITION BY device_id) AS first_date FROM ev"), dates="first_date")

@@ -83,11 +83,12 @@ def test_touches_at_the_edges_of_the_window(spark):
     ago = lambda **k: t - dt.timedelta(**k)
     visits = [("a", ago(days=61), 1), ("a", ago(days=60), 2), ("a", ago(days=3), 3), ("a", t, 4), ("a", t + dt.timedelta(hours=1), 5), ("b", ago(days=61), 6)]
     v = spark.createDataFrame(visits, "id string, v_ts timestamp_ntz, visit long")
-    s = spark.createDataFrame([("a", t), ("b", t), ("c", t)], "id string, s_ts timestamp_ntz")
-    got = {r["id"]: (r["first_visit"], r["last_visit"]) for r in lookup.touch_attribution(s, v, "id", "s_ts", "v_ts", "visit", []).collect()}
-    assert got == {"a": (2, 3), "b": (None, None), "c": (None, None)}
-    n = {r["id"]: r["touches"] for r in lookup.touches_in_window(s, v, "id", "s_ts", "v_ts", "visit").collect()}
-    assert n == {"a": 2, "b": 0, "c": 0}
+    s = spark.createDataFrame([("a", 1, t), ("a", 2, t), ("a", 3, ago(days=58)), ("b", 4, t), ("c", 5, t)], "id string, s_id long, s_ts timestamp_ntz")
+    for chunk in (3600, 10**7):
+        got = {r["s_id"]: (r["first_visit"], r["last_visit"]) for r in lookup.touch_attribution(s, v, "id", "s_id", "s_ts", "v_ts", "visit", [], chunk_seconds=chunk).collect()}
+        assert got == {1: (2, 3), 2: (2, 3), 3: (1, 2), 4: (None, None), 5: (None, None)}
+        n = {r["s_id"]: r["touches"] for r in lookup.touches_in_window(s, v, "id", "s_id", "s_ts", "v_ts", chunk_seconds=chunk).collect()}
+        assert n == {1: 2, 2: 2, 3: 2, 4: 0, 5: 0}
 
 
 def test_last_seen_is_strictly_before(spark, rows):

@@ -111,7 +111,7 @@ def test_exact_quantiles(spark, per_octave):
 def test_exact_rank(data, rows):
     up = exact_rank(data.select("id", "key", "x"), ["key"], "x", "r").select("id", "r")
     assert rows(up) == rows(data.select("id", F.rank().over(Window.partitionBy("key").orderBy("x"))))
-    down = exact_rank(data.select("id", "key", "x"), ["key"], "x", "r", descending=True).select("id", "r")
+    down = exact_rank(data.select("id", "key", "x"), ["key"], "x", down="r").select("id", "r")
     assert rows(down) == rows(data.select("id", F.rank().over(Window.partitionBy("key").orderBy(F.col("x").desc()))))
 
 
