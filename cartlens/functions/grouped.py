@@ -125,6 +125,15 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     return out.select(*by, *final)
 
 
+def left_join_sparse(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+    """Left join on a key that is often NULL on the left. Rows without a key match
+    nothing; a salt out of the ``spread`` columns keeps them from all meeting in the
+    one task that NULL hashes to."""
+    salt = F.when(F.col(key).isNull(), F.xxhash64(*spread)).otherwise(F.lit(0).cast("bigint"))
+    r = right.withColumn("__salt", F.lit(0).cast("bigint"))
+    return left.withColumn("__salt", salt).join(r, [key, "__salt"], "left").drop("__salt")
+
+
 def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """Best n rows per group. Spark prunes to n per group in every map task
     (window group limit) before the shuffle, so hot groups stay small."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import epoch_micros, flag, json_text
-from ..functions.grouped import latest_per_key
+from ..functions.grouped import latest_per_key, left_join_sparse
 from ..functions.scan import chunked_scan, time_chunk
 
 # The event document, parsed once into a struct instead of once per path.
@@ -87,7 +87,7 @@ def normalize_events(raw: DataFrame, keys: DataFrame, order_meta: DataFrame, sta
         F.col("c")["device.id"].alias("device_id"),
         F.timestamp_seconds("producer_timestamp").alias("producer_time"),
         F.lit(source).alias("library"),
-        F.lit(-1).alias("is_magic_x"),
+        F.lit(-1).alias("is_storefront"),
         F.lit("true").alias("is_one_click"),
         F.lit(None).cast("string").alias("customer_id"),
         F.lit(None).cast("string").alias("product_type"),
@@ -100,7 +100,9 @@ def normalize_events(raw: DataFrame, keys: DataFrame, order_meta: DataFrame, sta
         json_text("value", "$.utm_parameters.utm_medium").alias("utm_medium"),
         json_text("value", "$.utm_parameters.utm_campaign").alias("utm_campaign"))
     key_dim = keys.select(F.col("id").alias("__key"), "merchant_id")
-    return flat.join(key_dim, "__key", "left").join(utm, "__order", "left").drop("__key", "__order")
+    where = ["checkout_id", "event_timestamp_raw"]
+    d = left_join_sparse(left_join_sparse(flat, key_dim, "__key", where), utm, "__order", where)
+    return d.drop("__key", "__order")
 
 
 def sessionize(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_seconds: int = 1800,

@@ -37,7 +37,7 @@ def delivery_rate(sms: DataFrame, by: str, message: str, status: str, values: Se
     return out.filter(F.col("total") >= at_least).withColumn("delivered_rate", ratio(f"n_{delivered}", "total"))
 
 
-def journey_paths(events: DataFrame, checkout: str, ts: str, tie: str, event: str, chunk_seconds: int = 3600) -> DataFrame:
+def journey_paths(events: DataFrame, checkout: str, ts: str, tie: str, event: str, chunk_seconds: int = 300) -> DataFrame:
     """Ordered events of a checkout as one text, e.g. 'view,click,purchase'.
 
     Pieces are put together per time chunk first, so a checkout with very many
@@ -50,14 +50,14 @@ def journey_paths(events: DataFrame, checkout: str, ts: str, tie: str, event: st
     return piece.groupBy(checkout).agg(F.array_join(F.transform(pieces, lambda x: x["p"]), ",").alias("path"), F.sum("n").alias("steps"))
 
 
-def event_positions(events: DataFrame, checkout: str, ts: str, tie: str, event: str, chunk_seconds: int = 3600) -> DataFrame:
+def event_positions(events: DataFrame, checkout: str, ts: str, tie: str, event: str, chunk_seconds: int = 300) -> DataFrame:
     """Checkouts and mean position per event."""
     d = with_ordinal(events.select(checkout, ts, tie, event), [checkout], [ts, tie], "__pos", time_chunk(ts, chunk_seconds))
     return d.groupBy(event).agg(F.countDistinct(checkout).alias("checkouts"), ratio(F.sum("__pos"), F.count("*")).alias("mean_position"))
 
 
 def dwell_time(events: DataFrame, checkout: str, ts: str, tie: str, event: str, start: str, probs: Mapping[str, float],
-               chunk_seconds: int = 3600) -> DataFrame:
+               chunk_seconds: int = 300) -> DataFrame:
     """Seconds spent on a screen until the next different event of the checkout:
     next minus current, percentiles over all visits."""
     d = with_next(events.select(checkout, ts, tie, event), [checkout], [ts, tie], {"__e": event, "__t": ts}, time_chunk(ts, chunk_seconds))

@@ -14,7 +14,7 @@ DAY = 86_400
 
 
 def touch_attribution(signups: DataFrame, visits: DataFrame, key: str, signup_id: str, signup_ts: str, visit_ts: str,
-                      visit_id: str, take: Sequence[str], days: int = 60, chunk_seconds: int = 6 * 3600) -> DataFrame:
+                      visit_id: str, take: Sequence[str], days: int = 60, chunk_seconds: int = 600) -> DataFrame:
     """First and last touch in [sign-up - days, sign-up) of each sign-up.
 
     Window starts, sign-ups and visits lie on one time axis per person. Carried
@@ -51,7 +51,7 @@ def touch_attribution(signups: DataFrame, visits: DataFrame, key: str, signup_id
 
 
 def touches_in_window(signups: DataFrame, visits: DataFrame, key: str, signup_id: str, signup_ts: str, visit_ts: str,
-                      days: int = 60, chunk_seconds: int = 6 * 3600) -> DataFrame:
+                      days: int = 60, chunk_seconds: int = 600) -> DataFrame:
     """Number of visits in [sign-up - days, sign-up) of each sign-up: the running
     visit count at the sign-up less the one at its window start, no pairs."""
     start = F.col(signup_ts) - F.expr(f"INTERVAL {days} DAYS")
@@ -65,7 +65,7 @@ def touches_in_window(signups: DataFrame, visits: DataFrame, key: str, signup_id
 
 
 def last_seen_by_channel(anchors: DataFrame, seen: DataFrame, key: str, anchor: str, seen_date: str, channel: str,
-                         channels: Sequence[str], chunk_days: int = 30) -> DataFrame:
+                         channels: Sequence[str], chunk_days: int = 1) -> DataFrame:
     """Per anchor row and channel: the last date strictly before the anchor date.
 
     Sightings are reduced to distinct (key, channel, date) and carried forward

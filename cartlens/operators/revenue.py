@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import first_match, flag, plain_number, ratio, sum_money
+from ..functions.grouped import left_join_sparse
 from ..functions.periods import cutoff_month, month_label
 from .lookup import effective_from
 from .risk import VALID_STATUS
@@ -86,7 +87,7 @@ def prepaid_income(pay: DataFrame, fees: DataFrame, pricing: DataFrame, entity:
     pay: entity, transaction_id, amount;  fees: transaction_id, fee, rule_id
     pricing: rule_id, percent_rate, fixed_rate, min_fee, max_fee (minor units)
     """
-    d = pay.join(fees, "transaction_id", "left").join(pricing, "rule_id", "left")
+    d = left_join_sparse(pay.join(fees, "transaction_id", "left"), pricing, "rule_id", ["transaction_id"])
     pct, fixed, low, high, fee = (F.col(c) for c in ["percent_rate", "fixed_rate", "min_fee", "max_fee", "fee"])
     rules = [((pct == 0) & (fixed > 0), "Flat Pricing", fixed), ((pct == 0) & (fixed == 0) & (low > 0), "Flat Pricing", low),
              (high.isNotNull() & (fee == high), "Flat Pricing", high),
@@ -111,7 +112,7 @@ def payment_type(method: Column, card_type: Column, upi_type: Column, recurring:
 def gmv_by_method(pay: DataFrame, cards: DataFrame, upi: DataFrame, entity: str = "merchant_id") -> DataFrame:
     """COD, other and total amount per entity. Cards and UPI rows are one per
     payment; without a known type the payment's method stands."""
-    d = pay.join(cards, "card_id", "left").join(upi, "payment_id", "left")
+    d = left_join_sparse(pay, cards, "card_id", ["payment_id"]).join(upi, "payment_id", "left")
     d = d.withColumn("payment_type", payment_type(F.col("method"), F.col("card_type"), F.col("upi_type"), F.col("recurring_type")))
     cod = F.col("method") == "cod"
     other = (F.col("payment_type") != "cod") & F.col("authorized") & (F.col("method") != "transfer")

@@ -32,7 +32,8 @@ def _(t):
 SELECT CASE WHEN grouping(segment) = 1 THEN 'Total' ELSE segment END AS segment, month, count(DISTINCT merchant_id) AS active
 FROM (SELECT *, {MONTH_SQL} FROM pay WHERE success) JOIN mer USING (merchant_id) GROUP BY GROUPING SETS ((segment, month), (month))"""), dates="month")
 def _(t):
-    p = monthly(t).filter("success").join(t.merchants().select("merchant_id", "segment"), "merchant_id")
+    active = monthly(t).filter("success").select("merchant_id", "month").distinct()
+    p = active.join(t.merchants().select("merchant_id", "segment"), "merchant_id")
     return op.active_entities(p, "merchant_id", "segment", "month")
 
 
@@ -223,9 +224,10 @@ c AS (SELECT *, CASE WHEN r <= 0.9 THEN 'Decreasing (<= -10%)' WHEN r >= 1.1 THE
 SELECT segment, category, count(*) AS entities, round((sum(o1) - sum(o0))::DOUBLE / nullif(sum(o0), 0), 6) AS volume_change,
   round((sum(g1) - sum(g0))::DOUBLE / nullif(sum(g0), 0)::DOUBLE, 6) AS gmv_change FROM c WHERE category IS NOT NULL GROUP BY 1, 2"""))
 def _(t):
-    p = t.payments().join(t.merchants().select("merchant_id", "segment"), "merchant_id")
-    p = p.select("merchant_id", "segment", "period", F.lit(1).alias("opens"), flag(F.col("success")).alias("paid"),
-                 F.when(F.col("success"), F.col("amount")).otherwise(F.lit(0).cast("decimal(18,2)")).alias("gmv"))
+    p = t.payments().groupBy("merchant_id", "period").agg(
+        F.count("*").alias("opens"), F.sum(flag(F.col("success"))).alias("paid"),
+        F.coalesce(F.sum(F.when(F.col("success"), F.col("amount"))), F.lit(0)).alias("gmv"))
+    p = p.join(t.merchants().select("merchant_id", "segment"), "merchant_id")
     out = op.change_class(p, "merchant_id", "segment", "period", "Prev", "Post")
     return rounded_all(out, ["volume_change", "gmv_change"])
 
@@ -235,7 +237,8 @@ g AS (SELECT segment, month, count(*) AS opens, count(*) FILTER (success) AS pai
 c AS (SELECT *, paid::DOUBLE / opens AS cr FROM g)
 SELECT segment, month, opens, paid, round(cr, 6) AS cr, round(cr - lag(cr) OVER (PARTITION BY segment ORDER BY month), 6) AS cr_delta FROM c"""), dates="month")
 def _(t):
-    p = monthly(t).join(t.merchants().select("merchant_id", "segment"), "merchant_id").withColumns({"o": F.lit(1), "p": flag(F.col("success"))})
+    p = monthly(t).groupBy("merchant_id", "month").agg(F.count("*").alias("o"), F.sum(flag(F.col("success"))).alias("p"))
+    p = p.join(t.merchants().select("merchant_id", "segment"), "merchant_id")
     return rounded_all(op.mom_delta(p, "segment", "month", "o", "p"), ["cr", "cr_delta"])
 
 

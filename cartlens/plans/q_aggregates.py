@@ -123,8 +123,9 @@ def _(t):
 SELECT CASE WHEN grouping(segment) = 1 THEN 'Total' ELSE segment END AS segment, period, count(DISTINCT merchant_id) AS merchants, count(*) AS n
 FROM pay JOIN mer USING (merchant_id) GROUP BY GROUPING SETS ((segment, period), (period))"""))
 def _(t):
-    d = t.payments().join(t.merchants().select("merchant_id", "segment"), "merchant_id")
-    return with_total_row(d, ["segment", "period"], {"merchants": F.countDistinct("merchant_id"), "n": F.count("*")})
+    p = t.payments().groupBy("merchant_id", "period").agg(F.count("*").alias("n"))
+    d = p.join(t.merchants().select("merchant_id", "segment"), "merchant_id")
+    return with_total_row(d, ["segment", "period"], {"merchants": F.countDistinct("merchant_id"), "n": F.sum("n")})
 
 
 @query("a13_share_of_total", """

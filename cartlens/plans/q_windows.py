@@ -10,7 +10,7 @@ from .views import sql
 
 # Windows below run either over (key, time chunk), see functions/scan.py, or over
 # tables already aggregated to one row per key and calendar day.
-CHUNK_S = 6 * 3600
+CHUNK_S = 300
 
 
 @query("w01_latest_per_key", sql("ev", """
@@ -52,7 +52,7 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_su
 def _(t):
     l = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")  # noqa: E741
     d = with_previous(l, ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"], {"prev": "l_shipdate"},
-                      time_chunk("l_shipdate", 365 * 86400))
+                      time_chunk("l_shipdate", 86400))
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.datediff("l_shipdate", "prev").cast("bigint").alias("days"))
 
 

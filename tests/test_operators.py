@@ -238,3 +238,11 @@ def test_dwell_skips_repeats(spark):
     src = [("c", t, 1, "view"), ("c", t + dt.timedelta(seconds=5), 2, "view"), ("c", t + dt.timedelta(seconds=9), 3, "click"), ("d", t, 4, "view")]
     r = journey.dwell_time(spark.createDataFrame(src, "c string, ts timestamp_ntz, i long, e string"), "c", "ts", "i", "e", "view", {"m": 0.5}).first()
     assert r["m"] == 4.0
+
+
+def test_left_join_sparse_keeps_rows_without_key(spark, rows):
+    from cartlens.functions.grouped import left_join_sparse
+    a = spark.createDataFrame([(1, 7), (2, None), (3, None), (4, 8)], "id long, k long")
+    b = spark.createDataFrame([(7, "x"), (None, "never")], "k long, v string")
+    out = left_join_sparse(a, b, "k", ["id"])
+    assert rows(out.select("id", "k", "v")) == [(1, 7, "x"), (2, None, None), (3, None, None), (4, 8, None)]
