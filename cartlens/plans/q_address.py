@@ -139,7 +139,7 @@ r AS (SELECT merchant_id, count(*) FILTER (since BETWEEN 0 AND 21 AND status = '
 SELECT merchant_id, round(coalesce(pre_cr, first_cr), 6) AS baseline_cr, round(recent_cr, 6) AS recent_cr, round(coalesce(pre_rto, first_rto), 6) AS baseline_rto, round(recent_rto, 6) AS recent_rto,
   round(load, 6) AS p50_load_s, round(done, 6) AS p50_completion_s, round(prefill_pct, 6) AS prefill_pct, round(prelogin_pct, 6) AS prelogin_pct FROM m LEFT JOIN c USING (merchant_id) LEFT JOIN r USING (merchant_id)"""))
 def _(t):
-    from .q_facts import rto_fact
+    from .q_facts import order_status
     i = F.col("merchant_id")
     m = t.events().select("merchant_id").distinct().select(
         "merchant_id", F.date_add(F.lit(dt.date(2024, 1, 2)), (i % 3).cast("int")).alias("live_date"), F.date_add(F.lit(dt.date(2001, 3, 1)), i.cast("int")).alias("order_live_date"),
@@ -147,7 +147,7 @@ def _(t):
     f = t.checkouts().select(
         "merchant_id", "dt", "open", "submit", F.col("render").alias("loaded"), flag(F.col("os") != 2).alias("applicable"), flag(F.col("min_k") % 2 == 1).alias("prefilled"),
         flag(F.col("max_k") % 2 == 1).alias("prelogin"), (F.col("max_k") / 10.0).alias("load_s"), F.col("gmv").cast("double").alias("complete_s"))
-    o = rto_fact(t).select((F.col("merchant_id") % 10).alias("merchant_id"), "created_date", flag(F.col("status") == "rto").alias("rto"))
+    o = order_status(t).select((F.col("merchant_id") % 10).alias("merchant_id"), "created_date", flag(F.col("status") == "rto").alias("rto"))
     # the scorecard reads both facts several times: stored facts, as the checkout and
     # return facts are in practice, keep that from reaching the raw tables again
     out = who.happiness_index(m, materialize(f, "checkouts"), materialize(o, "orders"), AS_OF, dt.date(2001, 8, 1))

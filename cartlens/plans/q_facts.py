@@ -124,6 +124,14 @@ def rto_fact(t):
     return op.build_rto_fact(o, t.shipments(), t.risk_scores(), dims, "order_id", SHIP_ORDER, SCORE_ORDER).select(*RTO_COLS)
 
 
+def order_status(t):
+    """Orders with the state of their latest shipment: what needs no risk score does
+    not pay for one."""
+    s = t.latest_shipments().select("order_id", "status")
+    o = t.payments().drop("status").withColumnRenamed("payment_id", "order_id")
+    return o.join(s, "order_id", "left").withColumn("status", F.coalesce("status", F.lit("not_shipped")))
+
+
 @query("d05_rto_fact", sql("rto", """
 SELECT order_id, merchant_id, created_date, CAST(amount AS DOUBLE) AS amount, method, period, status, ship_date, CAST(charge AS DOUBLE) AS charge,
   result_flag, ml_flag, rule_flag, model_code, experimentation, CAST(tier AS BIGINT) AS tier, segment FROM rto"""), dates="created_date ship_date")

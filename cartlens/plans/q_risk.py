@@ -8,7 +8,7 @@ from ..functions.periods import period_start
 from ..operators import mix, risk as op, stats
 from .q_activity import rounded_all
 from .q_aggregates import CHI_SQL
-from .q_facts import rto_fact
+from .q_facts import order_status, rto_fact
 from .q_projection import MODELS, MODELS_SQL
 from ..functions.expr import code_name
 from ..session import materialize
@@ -126,7 +126,7 @@ AGES = [1, 3, 6, 9, 12]
     + " FROM o GROUP BY 1) SELECT *, " + ", ".join(f"round(delivery_{c}::DOUBLE / nullif(orders_{c}, 0), 4) AS delivery_rate_{c}, round(rto_{c}::DOUBLE / nullif(orders_{c}, 0), 4) AS rto_rate_{c}" for c in AGES) + " FROM g"), dates="live_date")
 def _(t):
     live = t.payments().groupBy("merchant_id").agg(F.date_add(F.min("created_date"), 45).alias("live_date"))
-    return op.rto_by_age(rto_fact(t), live, "merchant_id", "created_date", "live_date", "status", AGES)
+    return op.rto_by_age(order_status(t), live, "merchant_id", "created_date", "live_date", "status", AGES)
 
 
 @query("d57_band_coverage", sql("rto", """
@@ -136,7 +136,7 @@ b AS (SELECT CASE WHEN n > 0 AND n <= 8 THEN '(0, 8]' WHEN n > 8 AND n <= 12 THE
 g AS (SELECT band_a, band_b, count(*) AS entities FROM b GROUP BY 1, 2), s AS (SELECT *, entities::DOUBLE / sum(entities) OVER () AS share FROM g)
 SELECT band_a, band_b, entities, round(share, 6) AS share, round(sum(share) OVER (ORDER BY band_a NULLS LAST, band_b NULLS LAST ROWS UNBOUNDED PRECEDING), 6) AS cumulative FROM s"""))
 def _(t):
-    e = rto_fact(t).groupBy("merchant_id").agg(F.count("*").alias("n"), (F.sum(flag(F.col("status").isin(op.VALID_STATUS))) / F.count("*")).alias("d"))
+    e = order_status(t).groupBy("merchant_id").agg(F.count("*").alias("n"), (F.sum(flag(F.col("status").isin(op.VALID_STATUS))) / F.count("*")).alias("d"))
     out = op.band_coverage(e, bands("n", [0, 8, 12, 100000], right_closed=True), bands("d", [0, 0.5, 0.8, 1], right_closed=True))
     return rounded_all(out, ["share", "cumulative"])
 
