@@ -27,7 +27,7 @@ def test_registry_needs_no_session_and_is_complete():
     assert len(q) >= 250 and set(ORACLE) <= set(q)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
