@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, tokens
+from . import html, quality, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op3_shards": sharding.op3_shards,
+    "op4_html": html.op4_html,
     "op9_byte_bpe": tokens.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
