@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, html, neighbours, quality, sharding, tokens
+from . import contamination, html, neighbours, quality, secrets, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op3_shards": sharding.op3_shards,
     "op4_html": html.op4_html,
+    "op5_secrets": secrets.op5_secrets,
     "op6_contamination": contamination.op6_contamination,
     "op9_byte_bpe": tokens.op9_byte_bpe,
     "op10_neighbours": neighbours.op10_neighbours,
