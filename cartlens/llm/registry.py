@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, html, neighbours, quality, secrets, sharding, tokens
+from . import contamination, html, jaccard, neighbours, quality, secrets, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_shards": sharding.op3_shards,
     "op4_html": html.op4_html,
     "op5_secrets": secrets.op5_secrets,
