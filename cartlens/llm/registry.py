@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, html, jaccard, neighbours, quality, secrets, sharding, tokens
+from . import contamination, flat_tokens, html, jaccard, licenses, neighbours, quality, secrets, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": html.op4_html,
     "op5_secrets": secrets.op5_secrets,
     "op6_contamination": contamination.op6_contamination,
+    "op7_licences": licenses.op7_licences,
+    "op8_token_counts": flat_tokens.op8_token_counts,
     "op9_byte_bpe": tokens.op9_byte_bpe,
     "op10_neighbours": neighbours.op10_neighbours,
 }

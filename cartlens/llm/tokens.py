@@ -139,7 +139,7 @@ def encode(docs: DataFrame, text_col: str = "text", chunk: int = CHUNK, overlap:
         long.select(*cols, key).join(ids.withColumnRenamed("key", "__key"), "__key").select(*cols, "ids"))
 
 
-def digests(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
+def digests(encoded: DataFrame, ranks: str = RANKS, keep_ids: bool = False) -> DataFrame:
     """Number of ids, digest of the ids and digest of the decoded bytes, for rows that hold ``ids``."""
 
     @F.pandas_udf("string")
@@ -149,7 +149,7 @@ def digests(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     return encoded.select(
         *[F.col(f"`{c}`") for c in replace_column(encoded, "ids", "n_tokens", "ids_sha256", "decoded_sha256")],
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        decoded("ids").alias("decoded_sha256"))
+        decoded("ids").alias("decoded_sha256"), *(["ids"] if keep_ids else []))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
