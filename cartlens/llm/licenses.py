@@ -18,12 +18,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import replace_column, table, written
+from .common import pieces, replace_column, table, written
 
 # Short notices by which files name common licences; a licence can have several.
 TEMPLATES = [
@@ -67,17 +67,17 @@ def own_licences(files: DataFrame, text_col: str, templates: list[tuple[str, str
     keep = [c for c in replace_column(files, "licence", "cosine") if c != text_col]
     rows = files.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
 
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for b in batches:
-            for text in b["__text"]:
+            for text in b.column("__text").to_pylist():
                 for p in passages(text):
                     held[""] += 1
                     held.update(vocabulary & terms(p).keys())
-        yield pd.DataFrame({"term": list(held), "n": list(held.values())}, columns=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
 
     # At most one row for each template word.
-    found = {r.term: r.n for r in rows.select("__text").mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    found = {r.term: r.n for r in rows.select("__text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = found.pop("", 0)
     weight = {t: math.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in sorted(vocabulary)}
     other = math.log(1 + total) + 1
@@ -98,14 +98,14 @@ def own_licences(files: DataFrame, text_col: str, templates: list[tuple[str, str
                 top = min(top, (-cosine, name))
         return (top[1], -top[0]) if -top[0] >= least else (None, None)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b.drop(columns="__text")
-            out["licence"], out["cosine"] = zip(*map(best, b["__text"])) if len(b) else ([], [])
-            yield out
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "__text"):
+            found = [best(text) for text in b.column("__text").to_pylist()]
+            made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], names=[*keep, "licence", "cosine"])
 
     fields = [*rows.drop("__text").schema.fields, T.StructField("licence", T.StringType()), T.StructField("cosine", T.DoubleType())]
-    return rows.mapInPandas(scored, T.StructType(fields))
+    return rows.mapInArrow(scored, T.StructType(fields))
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
