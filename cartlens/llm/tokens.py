@@ -20,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import replace_column, table
+from .common import pieces, replace_column, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHUNK = 32768
@@ -41,8 +42,8 @@ def encoder(ranks: str = RANKS) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_of, special_tokens={})
 
 
-def to_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+def to_bytes(ids: list[int], width: int = 4) -> bytes:
+    return np.asarray(ids, f"<u{width}").tobytes()
 
 
 def decode(ids: bytes, ranks: str = RANKS) -> bytes:
@@ -55,7 +56,7 @@ def safe_starts(text: str, lo: int, hi: int) -> list[int]:
     return [m.start() for m in _pattern.finditer(text) if lo <= m.start() < hi and m.start() and not text[m.start() - 1].isspace()]
 
 
-def encode_long(df: DataFrame, chunk: int, overlap: int, ranks: str) -> DataFrame:
+def encode_long(df: DataFrame, chunk: int, overlap: int, ranks: str, width: int) -> DataFrame:
     """(key, text) of long texts, to (key, ids): chunks, their stitches, the pieces, and the ids joined again."""
     step = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int")))
     cut = (df.select("key", "text", step.alias("part"))
@@ -87,7 +88,7 @@ def encode_long(df: DataFrame, chunk: int, overlap: int, ranks: str) -> DataFram
                 lo = 0 if part == 0 or pd.isna(first) else int(first)
                 hi = len(text) if end else chunk if pd.isna(last) else chunk + int(last)
                 if (part == 0 or pd.notna(first)) and (end or pd.notna(last)):
-                    rows.append((key, part, True, to_bytes(enc.encode_ordinary(text[lo:hi])), None))
+                    rows.append((key, part, True, to_bytes(enc.encode_ordinary(text[lo:hi]), width), None))
                 else:
                     rows.append((key, part, False, None, text[lo:hi]))
             yield pd.DataFrame(rows, columns=["key", "part", "done", "ids", "text"])
@@ -101,19 +102,20 @@ def encode_long(df: DataFrame, chunk: int, overlap: int, ranks: str) -> DataFram
             if r.done and not rest:
                 out.append(r.ids)
             elif r.done:
-                out += [to_bytes(enc.encode_ordinary("".join(rest))), r.ids]
+                out += [to_bytes(enc.encode_ordinary("".join(rest)), width), r.ids]
                 rest = []
             else:
                 rest.append(r.text)
         if rest:
-            out.append(to_bytes(enc.encode_ordinary("".join(rest))))
+            out.append(to_bytes(enc.encode_ordinary("".join(rest)), width))
         return pd.DataFrame({"key": [key[0]], "ids": [b"".join(out)]})
 
     return done.groupBy("key").applyInPandas(join, "key binary, ids binary")
 
 
-def encode(docs: DataFrame, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, ranks: str = RANKS) -> DataFrame:
-    """``docs`` without its text, plus ``ids``: the token ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, ranks: str = RANKS,
+           width: int = 4) -> DataFrame:
+    """``docs`` without its text, plus ``ids``: the token ids as little-endian unsigned integers of ``width`` bytes."""
     if not 16 <= overlap <= chunk:
         raise ValueError("overlap must lie between 16 and chunk")
     keep = [c for c in replace_column(docs, "ids") if c != text_col]
@@ -123,19 +125,16 @@ def encode(docs: DataFrame, text_col: str = "text", chunk: int = CHUNK, overlap:
     short = docs.filter(~is_long).select(*cols, text.alias("__text"))
     schema = short.drop("__text").schema.add("ids", "binary")
 
-    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
-        for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at:at + 512]
-                out = part.drop(columns="__text")
-                out["ids"] = [to_bytes(enc.encode_ordinary(t)) if t else b"" for t in part["__text"]]
-                yield out
+        for b in pieces(batches, "__text"):
+            ids = pa.array([to_bytes(enc.encode_ordinary(t), width) if t else b"" for t in b.column("__text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], names=[*keep, "ids"])
 
     key = F.unhex(F.sha2(text, 256)).alias("__key")
     long = docs.filter(is_long)
-    ids = encode_long(long.select(key.alias("key"), text.alias("text")), chunk, overlap, ranks)
-    return short.mapInPandas(plain, schema).unionByName(
+    ids = encode_long(long.select(key.alias("key"), text.alias("text")), chunk, overlap, ranks, width)
+    return short.mapInArrow(plain, schema).unionByName(
         long.select(*cols, key).join(ids.withColumnRenamed("key", "__key"), "__key").select(*cols, "ids"))
 
 
