@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .expr import flag
 
 SLOTS_PER_OCTAVE = 512
+#: Distinct values that one task orders at most, for values spread evenly within their slot.
+SLOT_LEVELS = 50_000
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str] | None = None,
@@ -76,13 +78,15 @@ def value_slot(value: Column | str, per_octave: int = SLOTS_PER_OCTAVE) -> Colum
     It cuts the value range of a group into pieces that many tasks can order,
     without looking at the data first. Equal values are always merged before, so a
     slot holds at most the distinct values of a 1/512 relative range (for amounts
-    in cents: a few thousand). Values around a large offset, such as epochs,
-    should have the offset subtracted first.
+    in cents: a few thousand). Both infinities have slots of their own at the ends;
+    NULL and NaN have none.
     """
     v = F.col(value) if isinstance(value, str) else value
     v = v.cast("double")
     size = F.floor(F.log2(F.abs(v)) * per_octave) + 2048 * per_octave
-    return F.when(v > 0, size).when(v < 0, -size).when(v == 0, F.lit(0)).cast("bigint")
+    end, endless = 4096 * per_octave, F.lit(float("inf"))
+    return (F.when(F.isnan(v), F.lit(None)).when(v == endless, F.lit(end)).when(v == -endless, F.lit(-end))
+            .when(v > 0, size).when(v < 0, -size).when(v == 0, F.lit(0)).cast("bigint"))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
@@ -91,11 +95,21 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
 
     Equal values are counted first and the value range is cut into slots. Slot
     totals give the rank at which each slot starts, so ranks are counted exactly
-    inside the slots that hold a wanted rank, and other slots are not ordered.
-    Groups with a NULL key are left out.
+    inside the slots that hold a wanted rank, and other slots are not ordered. A
+    slot with more than ``SLOT_LEVELS`` values is cut again between its least and
+    greatest one, so the work of a task is set by rows, not by how narrow the data are.
+    NULL and NaN values are left out, and groups with a NULL key.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    counts = df.filter(value_slot(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
     d = counts.withColumn("__slot", value_slot("__v", per_octave))
+    if dict(df.dtypes)[value] in ("double", "float"):  # other types hold few values in a slot
+        wide = d.groupBy(*by, "__slot").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__levels"))
+        wide = wide.filter(F.col("__levels") > SLOT_LEVELS)
+        parts = F.ceil(F.col("__levels") / SLOT_LEVELS)
+        place = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+        d = d.join(wide, [*by, "__slot"], "left").withColumn(
+            "__part", F.coalesce(F.least(F.floor(place * parts), parts - 1), F.lit(0))).drop("__lo", "__hi", "__levels")
+        d = d.withColumn("__slot", F.struct("__slot", "__part")).drop("__part")
     sizes = d.groupBy(*by, "__slot").agg(F.sum("__n").alias("__size"))
     group = Window.partitionBy(*by)                    # one row per used slot
     before = group.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,7 +135,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     final = []
     for n, (pos, lo_rank, _) in ranks.items():
         lo, hi = F.col(f"__lo_{n}").cast("double"), F.col(f"__hi_{n}").cast("double")
-        final.append((lo + (hi - lo) * (pos - lo_rank)).alias(n))
+        final.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (pos - lo_rank)).alias(n))
     return out.select(*by, *final)
 
 
@@ -154,10 +168,15 @@ def pivot_sum(df: DataFrame, keys: Sequence[str], column: str, values: Sequence,
 def exact_rank(df: DataFrame, by: Sequence[str], value: str, up: str | None = None, down: str | None = None) -> DataFrame:
     """rank() in ascending (``up``) and descending (``down``) order with shared ranks
     for ties, without one task per group: equal values are counted first, counts run
-    over value slots, and the ranks are joined back to the rows."""
-    from .scan import chunked_scan
-
-    levels = df.groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__slot", value_slot(value))
+    over value slots, and the ranks are joined back to the rows. Rows without a key
+    or a number have no rank."""
+    from .scan import chunked_scan, with_nulls
+
+    known = value_slot(value).isNotNull()
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    ranked = df.filter(known)
+    levels = ranked.groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__slot", value_slot(value))
     group = lambda w: Window.partitionBy(*by)
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     counted = chunked_scan(
@@ -172,7 +191,9 @@ def exact_rank(df: DataFrame, by: Sequence[str], value: str, up: str | None = No
         ranks[up] = F.col("__upto") - F.col("__n") + 1
     if down:
         ranks[down] = F.col("__all") - F.col("__upto") + 1
-    return df.join(counted.select(*by, value, *[c.alias(n) for n, c in ranks.items()]), [*by, value])
+    done = ranked.join(counted.select(*by, value, *[c.alias(n) for n, c in ranks.items()]), [*by, value])
+    done = done.select(*df.columns, *ranks)
+    return done.unionByName(with_nulls(df.filter(~known), done))
 
 
 def top_n_with_rest(df: DataFrame, label: str, order: Sequence[Column], n: int, sums: Sequence[str],

@@ -6,8 +6,8 @@ key is cut into chunks (time slots or value slots). The window runs inside
 carried in from earlier chunks is joined back. The result equals the plain
 window exactly: chunks only split the work, they never cut rows.
 
-Keys and times must not be NULL (a NULL identity has no order to scan): callers
-route such rows around the scan, as ``sessionize`` does.
+A row without a key or without a place on the order axis has nothing before or
+after it: it goes around the scan and comes back with NULL results. No row is lost.
 """
 
 from __future__ import annotations
@@ -47,7 +47,11 @@ def chunked_scan(
     result  final columns out of the row, its inner columns and the carried ones
     """
     row_window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    d = df.withColumn(CHUNK, chunk)
+    placed = df.withColumn(CHUNK, chunk)
+    known = F.col(CHUNK).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    d = placed.filter(known)
     for name, make in inner.items():
         d = d.withColumn(name, make(row_window))
     chunk_window = Window.partitionBy(*keys).orderBy(CHUNK)
@@ -57,8 +61,13 @@ def chunked_scan(
     s = s.select(*keys, CHUNK, *carry)
     # Inner: every (key, chunk) of the rows has its summary row. It also puts the
     # same not-null filters on both branches, so they share scan and shuffle.
-    d = d.join(s, [*keys, CHUNK])
-    return d.select(*df.columns, *[c.alias(n) for n, c in result.items()])
+    done = d.join(s, [*keys, CHUNK]).select(*df.columns, *[c.alias(n) for n, c in result.items()])
+    return done.unionByName(with_nulls(placed.filter(~known).select(*df.columns), done))
+
+
+def with_nulls(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """Adds the columns that only ``like`` has, as NULL."""
+    return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema if f.name not in rows.columns])
 
 
 def with_previous(df, keys, order_by: Sequence[str], take: Mapping[str, str], chunk: Column) -> DataFrame:

@@ -43,16 +43,14 @@ def address_prefill(events: DataFrame, period: str, ident: str, loaded: Column,
 
 def address_inventory(addr: DataFrame, start, period: Column, sources: Sequence[str], source: str = "source_type") -> DataFrame:
     """Addresses added per period and source; everything before ``start`` is one
-    opening row. With row total and running total (one row per period)."""
+    opening row. With row total and running total (one row per period); both hold
+    every source, those without a column too."""
     label = F.when(F.col("created_date") < F.lit(start), SO_FAR).otherwise(period.cast("string"))
     d = addr.select("id", label.alias("added"), label_null(source, "user_saved").alias("s")).distinct()
-    p = d.groupBy("added").pivot("s", list(sources)).agg(F.count("id")).na.fill(0)
-    total = F.col(sources[0])
-    for s in sources[1:]:
-        total = total + F.col(s)
+    p = d.groupBy("added").agg(*[F.sum(flag((F.col("s") == s) & F.col("id").isNotNull())).cast("bigint").alias(s) for s in sources], F.count("id").alias("total"))
     first = F.when(F.col("added") == SO_FAR, 0).otherwise(1)
     w = Window.orderBy(first, "added").rowsBetween(Window.unboundedPreceding, 0)
-    return p.withColumn("total", total).withColumn("running_total", F.sum("total").over(w))
+    return p.withColumn("running_total", F.sum("total").over(w))
 
 
 def address_utilization(used: DataFrame, addr: DataFrame, period: str, end, source: str = "source_type") -> DataFrame:

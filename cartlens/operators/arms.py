@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import first_match, flag, ratio
+from ..functions.expr import flag, ratio
 from ..functions.grouped import pivot_sum, with_report_totals
 from .stats import cohens_h
 
@@ -139,15 +139,13 @@ def ineligible_sessions(df: DataFrame, eligible: Column, reason: str, ident: str
     return with_report_totals(n, [], {"__all": F.sum("sessions")}).select("reason", "sessions", ratio("sessions", "__all").alias("share"))
 
 
-def effective_arm(assigned: Column, flow_seen: Column, changed: Column, arms: Sequence[str]) -> Column:
-    """Arm a checkout really experienced: its assigned arm when the matching flow
-    was shown, the other one when the buyer switched, else 'mixed'."""
-    control, test = arms
-    return first_match([
-        ((assigned == test) & flow_seen, test),
-        ((assigned == control) & ~flow_seen, control),
-        ((assigned == test) & ~flow_seen & changed, control),
-        ((assigned == control) & flow_seen & changed, test)], "mixed")
+def effective_arm(assigned: Column, flow_seen: Column, changed: Column, test: str) -> Column:
+    """What a checkout of the test variant really experienced, by the flow it saw and
+    whether the buyer changed the method. Rows of other variants, and rows of which
+    the flow is not known, keep the assigned value."""
+    in_test = assigned == test
+    return (F.when(in_test & flow_seen & changed, "test_change_method_clicked").when(in_test & flow_seen, "test")
+            .when(in_test & ~flow_seen & changed, "control_change_method_clicked").when(in_test & ~flow_seen, "control").otherwise(assigned))
 
 
 def variant_cr(df: DataFrame, variant: str, slices: Mapping[str, Column], opened: str, paid: str,

@@ -60,8 +60,6 @@ def rampup_cumulative(sheet: DataFrame, entity: str, day: str, blocked: Column)
 def null_variants(df: DataFrame, cols: Sequence[str], k: int, tag: str = "variant") -> DataFrame:
     """Every row as it is ('base') and once per 1..k columns blanked, tagged with
     the columns. The masks are a literal array exploded per row: no join."""
-    if len(cols) > 12:
-        raise ValueError("too many columns to blank in combination")
     masks = [("base", ())] + [("_".join(c) + "_null", c) for n in range(1, k + 1) for c in combinations(cols, n)]
     m = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(x) for x in c]).cast("array<string>").alias("cols")) for name, c in masks]))
     d = df.withColumn("__m", m)

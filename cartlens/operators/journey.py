@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import bands, code_name, first_match, flag, json_text, ratio, sum_money
-from ..functions.grouped import count_ids, exact_quantiles, latest_per_key, pivot_sum, with_totals
+from ..functions.grouped import count_ids, exact_quantiles, latest_per_key, with_totals
 from ..functions.scan import CHUNK, time_chunk, with_next, with_ordinal
 from .lookup import seconds_between
 
@@ -29,11 +29,10 @@ def delivery_latency(sms: DataFrame, message: str, template: str, ts: str, creat
 
 def delivery_rate(sms: DataFrame, by: str, message: str, status: str, values: Sequence[str], delivered: str,
                   at_least: int = 1) -> DataFrame:
-    """Messages per delivery status, delivered share; entities above a volume."""
-    p = pivot_sum(sms, [by], status, values, {"n": F.count(message)})
-    z = {v: F.coalesce(F.col(f"n_{v}"), F.lit(0)) for v in values}
-    total = sum(z.values(), F.lit(0))
-    out = p.select(by, *[c.alias(f"n_{v}") for v, c in z.items()], total.alias("total"))
+    """Messages per delivery status, delivered share of all messages whatever their
+    status; entities above a volume."""
+    held = F.col(message).isNotNull()
+    out = sms.groupBy(by).agg(*[F.sum(flag(held & (F.col(status) == v))).cast("bigint").alias(f"n_{v}") for v in values], F.count(message).alias("total"))
     return out.filter(F.col("total") >= at_least).withColumn("delivered_rate", ratio(f"n_{delivered}", "total"))
 
 
@@ -51,9 +50,9 @@ def journey_paths(events: DataFrame, checkout: str, ts: str, tie: str, event: st
 
 
 def event_positions(events: DataFrame, checkout: str, ts: str, tie: str, event: str, chunk_seconds: int = 300) -> DataFrame:
-    """Checkouts and mean position per event."""
+    """Checkouts and mean position per event; an event without checkout or time has no position."""
     d = with_ordinal(events.select(checkout, ts, tie, event), [checkout], [ts, tie], "__pos", time_chunk(ts, chunk_seconds))
-    return d.groupBy(event).agg(F.countDistinct(checkout).alias("checkouts"), ratio(F.sum("__pos"), F.count("*")).alias("mean_position"))
+    return d.groupBy(event).agg(F.countDistinct(checkout).alias("checkouts"), ratio(F.sum("__pos"), F.count("__pos")).alias("mean_position"))
 
 
 def dwell_time(events: DataFrame, checkout: str, ts: str, tie: str, event: str, start: str, probs: Mapping[str, float],
@@ -65,10 +64,6 @@ def dwell_time(events: DataFrame, checkout: str, ts: str, tie: str, event: str,
     return exact_quantiles(d, [], "dwell", probs)
 
 
-def load_time_percentiles(events: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    return exact_quantiles(events, by, value, probs)
-
-
 # Page-load bands in milliseconds and order-value bands
 LOAD_EDGES = [0, 150, 500, 1000, 5000, 10000, 60000]
 AOV_EDGES = [0, 500, 1000, 2000, 3500, 5000, 100000]

@@ -15,15 +15,17 @@ DAY = 86_400
 
 def touch_attribution(signups: DataFrame, visits: DataFrame, key: str, signup_id: str, signup_ts: str, visit_ts: str,
                       visit_id: str, take: Sequence[str], days: int = 60, chunk_seconds: int = 600) -> DataFrame:
-    """First and last touch in [sign-up - days, sign-up) of each sign-up.
+    """First and last touch of each sign-up: before it, and at most ``days`` whole days
+    before it (a visit 60 days and 23 hours back is 60 whole days back).
 
     Window starts, sign-ups and visits lie on one time axis per person. Carried
     forward, a sign-up sees its last visit; carried backward, a window start sees its
     first one. A person with many visits and sign-ups costs rows, not pairs. All
-    last-touch columns come from the last-touch row.
+    last-touch columns come from the last-touch row. Sign-ups without a person or time have no touch.
     """
     cols = [visit_ts, visit_id, *take]
-    start = F.col(signup_ts) - F.expr(f"INTERVAL {days} DAYS")
+    # the first instant that is fewer than days + 1 whole days back
+    start = F.col(signup_ts) - F.expr(f"INTERVAL {days + 1} DAYS") + F.expr("INTERVAL 1 MICROSECOND")
     point = lambda kind, t: F.struct(F.lit(kind).alias("__kind"), t.alias("__t"))
     s = signups.select(key, signup_id, F.col(signup_ts).alias("__s"), start.alias("__from"),
                        F.inline(F.array(point(0, start), point(1, F.col(signup_ts)))))
@@ -52,16 +54,17 @@ def touch_attribution(signups: DataFrame, visits: DataFrame, key: str, signup_id
 
 def touches_in_window(signups: DataFrame, visits: DataFrame, key: str, signup_id: str, signup_ts: str, visit_ts: str,
                       days: int = 60, chunk_seconds: int = 600) -> DataFrame:
-    """Number of visits in [sign-up - days, sign-up) of each sign-up: the running
-    visit count at the sign-up less the one at its window start, no pairs."""
-    start = F.col(signup_ts) - F.expr(f"INTERVAL {days} DAYS")
+    """Number of visits before each sign-up and at most ``days`` whole days before it: the
+    running visit count at the sign-up less the one at its window start, no pairs.
+    Sign-ups without a person or time have none."""
+    start = F.col(signup_ts) - F.expr(f"INTERVAL {days + 1} DAYS") + F.expr("INTERVAL 1 MICROSECOND")
     point = lambda sign, t: F.struct(F.lit(sign).alias("__sign"), t.alias("__t"))
     s = signups.select(key, F.col(signup_id), F.inline(F.array(point(-1, start), point(1, F.col(signup_ts)))), F.lit(0).alias("__visit"))
     v = visits.select(key, F.col(visit_ts).alias("__t"), F.lit(1).alias("__visit"))
     axis = s.unionByName(v, allowMissingColumns=True)
     # points come before visits at the same instant: both bounds count visits strictly before them
     seen = with_running_sum(axis, [key], ["__t", "__visit"], {"__n": F.col("__visit")}, time_chunk("__t", chunk_seconds))
-    return seen.filter("__visit = 0").groupBy(key, signup_id).agg(F.sum(F.col("__n") * F.col("__sign")).alias("touches"))
+    return seen.filter("__visit = 0").groupBy(key, signup_id).agg(F.coalesce(F.sum(F.col("__n") * F.col("__sign")), F.lit(0)).alias("touches"))
 
 
 def last_seen_by_channel(anchors: DataFrame, seen: DataFrame, key: str, anchor: str, seen_date: str, channel: str,

@@ -65,12 +65,15 @@ def _(t):
     return rounded_all(summary(t), ["cod_share", "non_cod_share", "non_cod_sr", "overall_sr"])
 
 
+#: Every month of the orders.
+MONTHS = [dt.date(1992 + i // 12, i % 12 + 1, 1) for i in range(12 * 10)]
+
+
 @query("d27_payment_table_transposed", sql("pay", SUMMARY_SQL + """,
 l AS (SELECT month, unnest(['attempts', 'successes', 'gmv']) AS measure, unnest([attempts::DOUBLE, successes::DOUBLE, gmv]) AS v FROM g)
-SELECT measure, max(v) FILTER (month = DATE '1998-01-01') AS "1998-01-01", max(v) FILTER (month = DATE '1998-02-01') AS "1998-02-01" FROM l GROUP BY 1"""))
+SELECT measure, """ + ", ".join(f"max(v) FILTER (month = DATE '{m}') AS \"{m}\"" for m in MONTHS) + " FROM l GROUP BY 1"))
 def _(t):
-    months = [dt.date(1998, 1, 1), dt.date(1998, 2, 1)]
-    return op.transpose_measures(summary(t).filter(F.col("month").isin(months)), "month", months, ["attempts", "successes", "gmv"])
+    return op.transpose_measures(summary(t), "month", MONTHS, ["attempts", "successes", "gmv"])
 
 
 @query("d28_method_share_top", sql("pay", """

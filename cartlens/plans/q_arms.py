@@ -142,10 +142,12 @@ def _(t):
 
 
 @query("d108_effective_arm", sql("cf", """
-SELECT CASE WHEN arm = 'v2' AND render = 1 THEN 'v2' WHEN arm = 'v1' AND render = 0 THEN 'v1' WHEN arm = 'v2' AND render = 0 AND failed = 1 THEN 'v1'
-  WHEN arm = 'v1' AND render = 1 AND failed = 1 THEN 'v2' ELSE 'mixed' END AS effective, arm, count(*) AS n FROM cf GROUP BY 1, 2"""))
+f AS (SELECT arm, failed, CASE WHEN max_k % 10 <> 0 THEN render = 1 END AS flow FROM cf)
+SELECT CASE WHEN arm <> 'v2' OR flow IS NULL THEN arm ELSE (CASE WHEN flow THEN 'test' ELSE 'control' END) || (CASE WHEN failed = 1 THEN '_change_method_clicked' ELSE '' END) END AS effective,
+  arm, count(*) AS n FROM f GROUP BY 1, 2"""))
 def _(t):
-    e = op.effective_arm(F.col("arm"), F.col("render") == 1, F.col("failed") == 1, ARMS)
+    flow = F.when(F.col("max_k") % 10 != 0, F.col("render") == 1)
+    e = op.effective_arm(F.col("arm"), flow, F.col("failed") == 1, "v2")
     return t.checkouts().groupBy(e.alias("effective"), "arm").agg(F.count("*").alias("n"))
 
 

@@ -80,27 +80,27 @@ def _(t):
 
 
 def signups_and_visits(t):
-    e = t.events().select("device_id", "ts", "event_id", "event_type", "k")
+    e = t.gappy_events().select("device_id", "ts", "event_id", "event_type", "k")
     s = e.filter("event_type = 'signup'").select("device_id", F.col("ts").alias("s_ts"), F.col("event_id").alias("signup_id"))
     return s, e.filter("event_type = 'view'").select("device_id", F.col("ts").alias("v_ts"), F.col("event_id").alias("visit"), "k")
 
 
-@query("j09_touches_before_signup", sql("ev", """
-s AS (SELECT device_id, ts AS s_ts, event_id AS signup_id FROM ev WHERE event_type = 'signup'),
-v AS (SELECT device_id, ts AS v_ts FROM ev WHERE event_type = 'view')
+@query("j09_touches_before_signup", sql("gaps", """
+s AS (SELECT device_id, ts AS s_ts, event_id AS signup_id FROM gaps WHERE event_type = 'signup'),
+v AS (SELECT device_id, ts AS v_ts FROM gaps WHERE event_type = 'view')
 SELECT signup_id, count(v_ts) AS touches FROM s LEFT JOIN v
-  ON s.device_id = v.device_id AND v_ts < s_ts AND v_ts >= s_ts - INTERVAL 10 DAY GROUP BY 1"""))
+  ON s.device_id = v.device_id AND v_ts < s_ts AND floor((epoch_us(s_ts) - epoch_us(v_ts)) / 86400000000) <= 10 GROUP BY 1"""))
 def _(t):
     s, v = signups_and_visits(t)
     return lookup.touches_in_window(s, v, "device_id", "signup_id", "s_ts", "v_ts", days=10).select("signup_id", "touches")
 
 
-@query("j10_before_anchor", sql("ev", """
-a AS (SELECT device_id, max(dt) AS anchor FROM ev WHERE event_type = 'purchase' GROUP BY 1)
-SELECT a.device_id, anchor, max(e.dt) AS last_error FROM a LEFT JOIN ev e
+@query("j10_before_anchor", sql("gaps", """
+a AS (SELECT device_id, max(dt) AS anchor FROM gaps WHERE event_type = 'purchase' GROUP BY 1)
+SELECT a.device_id, anchor, max(e.dt) AS last_error FROM a LEFT JOIN gaps e
   ON e.device_id = a.device_id AND e.event_type = 'error' AND e.dt < anchor GROUP BY 1, 2"""), dates="anchor last_error")
 def _(t):
-    e = t.events().select("device_id", "dt", "event_type")
+    e = t.gappy_events().select("device_id", "dt", "event_type")
     a = e.filter("event_type = 'purchase'").groupBy("device_id").agg(F.max("dt").alias("anchor"))
     err = e.filter("event_type = 'error'").select("device_id", "dt").distinct()
     return lookup.last_before(a, err, ["device_id"], "anchor", "dt", {"last_error": "dt"}, 86400)
@@ -141,13 +141,13 @@ def _(t):
 
 
 @query("j14_first_last_self", sql("ev", """
-SELECT device_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(event_type, ts) AS first_type, arg_max(event_type, ts) AS last_type
+SELECT device_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type
 FROM ev GROUP BY 1""").replace("SELECT device_id, min(ts) AS first_ts, max(ts) AS last_ts", """SELECT device_id,
   strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_ts"""))
 def _(t):
     return t.events().groupBy("device_id").agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        F.min_by("event_type", "ts").alias("first_type"), F.max_by("event_type", "ts").alias("last_type"))
+        F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
 
 
 @query("j15_join_aggregates", sql("cf pay", """

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.expr import flag, money, rounded
-from ..functions.grouped import with_totals
+from ..functions.grouped import exact_quantiles, with_totals
 from ..functions.periods import period_start
 from ..operators import journey as op
 from ..operators import lookup, stats
@@ -33,7 +33,7 @@ def _(t):
 
 @query("d48_delivery_rate", sql("ev", """
 SELECT merchant_id, count(*) FILTER (event_type='purchase') AS n_purchase, count(*) FILTER (event_type='error') AS n_error, count(*) FILTER (event_type='view') AS n_view, count(*) AS total,
-  round(count(*) FILTER (event_type='purchase')::DOUBLE / count(*), 6) AS delivered_rate FROM ev WHERE event_type IN ('purchase','error','view') GROUP BY 1 HAVING count(*) >= 600"""))
+  round(count(*) FILTER (event_type='purchase')::DOUBLE / count(*), 6) AS delivered_rate FROM ev GROUP BY 1 HAVING count(*) >= 600"""))
 def _(t):
     return rounded_all(op.delivery_rate(t.events(), "merchant_id", "event_id", "event_type", ["purchase", "error", "view"], "purchase", 600), ["delivered_rate"])
 
@@ -43,18 +43,18 @@ def _(t):
     return op.journey_paths(t.events(), "checkout_id", "ts", "event_id", "event_type")
 
 
-@query("d49_event_positions", sql("ev", """
-r AS (SELECT *, row_number() OVER (PARTITION BY checkout_id ORDER BY ts, event_id) AS pos FROM ev)
-SELECT event_type, count(DISTINCT checkout_id) AS checkouts, round(sum(pos)::DOUBLE / count(*), 6) AS mean_position FROM r GROUP BY 1"""))
+@query("d49_event_positions", sql("gaps", """
+r AS (SELECT *, CASE WHEN checkout_id IS NOT NULL AND ts IS NOT NULL THEN row_number() OVER (PARTITION BY checkout_id, ts IS NULL ORDER BY ts, event_id) END AS pos FROM gaps)
+SELECT event_type, count(DISTINCT checkout_id) AS checkouts, round(sum(pos)::DOUBLE / count(pos), 6) AS mean_position FROM r GROUP BY 1"""))
 def _(t):
-    return rounded_all(op.event_positions(t.events(), "checkout_id", "ts", "event_id", "event_type"), ["mean_position"])
+    return rounded_all(op.event_positions(t.gappy_events(), "checkout_id", "ts", "event_id", "event_type"), ["mean_position"])
 
 
-@query("d50_dwell_time", sql("ev", f"""
-n AS (SELECT event_type, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000000.0::DOUBLE AS dwell, lead(event_type) OVER w AS nx FROM ev WINDOW w AS (PARTITION BY checkout_id ORDER BY ts, event_id))
+@query("d50_dwell_time", sql("gaps", f"""
+n AS (SELECT event_type, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000000.0::DOUBLE AS dwell, lead(event_type) OVER w AS nx FROM gaps WHERE checkout_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY checkout_id ORDER BY ts, event_id))
 SELECT {pct("dwell")} FROM n WHERE event_type = 'view' AND nx <> 'view'"""))
 def _(t):
-    return rounded_all(op.dwell_time(t.events(), "checkout_id", "ts", "event_id", "event_type", "view", PROBS), list(PROBS), 9)
+    return rounded_all(op.dwell_time(t.gappy_events(), "checkout_id", "ts", "event_id", "event_type", "view", PROBS), list(PROBS), 9)
 
 
 TREND_DAYS = 28
@@ -105,7 +105,7 @@ def _(t):
 @query("d54_aov_percentiles", sql("cf", f"SELECT merchant_id, {pct('CAST(gmv AS DOUBLE)')} FROM cf GROUP BY 1"))
 def _(t):
     c = t.checkouts().select("merchant_id", F.col("gmv").cast("double").alias("gmv"))
-    return rounded_all(op.load_time_percentiles(c, ["merchant_id"], "gmv", PROBS), list(PROBS), 9)
+    return rounded_all(exact_quantiles(c, ["merchant_id"], "gmv", PROBS), list(PROBS), 9)
 
 
 # the load time in ms stands on the checkout's amount
@@ -116,7 +116,7 @@ LOAD_SQL = "CAST(gmv AS DOUBLE) * 100"
 w AS (SELECT CAST(date_trunc('week', dt) AS DATE) AS week, {LOAD_SQL} AS ms FROM cf) SELECT week, count(*) AS loads, {pct("ms")} FROM w GROUP BY 1"""), dates="week")
 def _(t):
     c = t.checkouts().select(period_start("dt", "week").alias("week"), (F.col("gmv").cast("double") * 100).alias("ms"))
-    out = c.groupBy("week").agg(F.count("*").alias("loads")).join(op.load_time_percentiles(c, ["week"], "ms", PROBS), "week")
+    out = c.groupBy("week").agg(F.count("*").alias("loads")).join(exact_quantiles(c, ["week"], "ms", PROBS), "week")
     return rounded_all(out, list(PROBS), 9)
 
 
@@ -174,11 +174,11 @@ def _(t):
                              {"initiated": e == "signup", "address_done": e.isin("view", "click")}, "ts", "checkout_id", 4)
 
 
-@query("d75_touch_attribution", sql("ev", """
-s AS (SELECT device_id, ts AS s_ts, event_id AS signup_id FROM ev WHERE event_type = 'signup'),
-v AS (SELECT device_id, ts AS v_ts, event_id AS visit, k FROM ev WHERE event_type = 'view')
-SELECT signup_id, arg_min(visit, v_ts) AS first_visit, arg_min(k, v_ts) AS first_k, arg_max(visit, v_ts) AS last_visit, arg_max(k, v_ts) AS last_k FROM s LEFT JOIN v
-  ON s.device_id = v.device_id AND v_ts < s_ts AND v_ts >= s_ts - INTERVAL 3 DAY GROUP BY 1"""))
+@query("d75_touch_attribution", sql("gaps", """
+s AS (SELECT device_id, ts AS s_ts, event_id AS signup_id FROM gaps WHERE event_type = 'signup'),
+v AS (SELECT device_id, ts AS v_ts, event_id AS visit, k FROM gaps WHERE event_type = 'view')
+SELECT signup_id, arg_min(visit, (v_ts, visit)) AS first_visit, arg_min(v, (v_ts, visit)).k AS first_k, arg_max(visit, (v_ts, visit)) AS last_visit, arg_max(v, (v_ts, visit)).k AS last_k FROM s LEFT JOIN v
+  ON s.device_id = v.device_id AND v_ts < s_ts AND floor((epoch_us(s_ts) - epoch_us(v_ts)) / 86400000000) <= 3 GROUP BY 1"""))
 def _(t):
     s, v = signups_and_visits(t)
     out = lookup.touch_attribution(s, v, "device_id", "signup_id", "s_ts", "v_ts", "visit", ["k"], days=3)

@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
 from ..operators import mix as op
-from ..session import materialize
 from .registry import query
 from .views import sql
 
@@ -15,7 +14,7 @@ def leaf(t, dims=DIMS):
     # carts do not count as won, which gives the analysis a real drop to explain.
     counts = (F.col("period") == "Prev") | (F.col("max_k") < 60)
     c = t.checkouts().withColumn("won", F.when(counts, F.col("open") * F.col("paid")).otherwise(0))
-    return materialize(op.leaf_table(c, dims, "period", "Prev", "Post", "open", "won"), "leaf")
+    return op.leaf_table(c, dims, "period", "Prev", "Post", "open", "won")
 
 
 def leaf_sql(dims):
@@ -68,7 +67,7 @@ SELECT array_to_string(list_filter([{", ".join(f"CASE WHEN (gid // {2 ** (len(DI
   rows_needed, rows_total, round(rows_needed::DOUBLE / rows_total, 6) AS share_needed, round(rows_needed * (rows_needed::DOUBLE / rows_total), 6) AS weight
 FROM n WHERE rows_needed NOT IN (0, 1) AND rows_needed <> rows_total"""))
 def _(t):
-    parts = materialize(op.mix_decompose(leaf(t), DIMS).select(*DIMS, "conversion_impact"), "parts")
+    parts = op.mix_decompose(leaf(t), DIMS).select(*DIMS, "conversion_impact")
     out = op.explain_impact(parts, DIMS)
     return out.withColumns({"share_needed": rounded("share_needed"), "weight": rounded("weight")})
 

@@ -213,7 +213,7 @@ def _(t):
 LIBRARIES = {1: "CHECKOUTJS", 3: "S2S", 4: "CUSTOM", 5: "DIRECT", 6: "PUSH", 7: "LEGACYJS", 8: "HOSTED",
              9: "EMBEDDED"}
 MODELS = {"category_5399": "Marketplace model", "category_5691": "Clothing model", "category_5977": "Cosmetics model",
-          "category_infrequent_mcc_group": "Generic RTO model", "acm": "Address model", "merchant_boltt": "Boltt model"}
+          "category_infrequent_mcc_group": "Generic RTO model", "acm": "Address model", "merchant_own": "Merchant model"}
 LIBRARIES_SQL = "CASE {c} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in LIBRARIES.items()) + " ELSE 'UNKNOWN' END"
 MODELS_SQL = "CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MODELS.items()) + " ELSE 'Other' END"
 
@@ -267,10 +267,8 @@ def _(t):
 
 
 @query("p21_complete_keys", sql("ev", """
-SELECT device_id, event_type, count(*) AS n FROM ev WHERE device_id IN (SELECT device_id FROM ev WHERE dt < DATE '2024-01-04'
-  GROUP BY 1 HAVING count(DISTINCT event_type) = 5) AND dt < DATE '2024-01-04' GROUP BY 1, 2"""))
+SELECT device_id, event_type, count(*) AS n FROM ev WHERE device_id IN (SELECT device_id FROM ev
+  GROUP BY 1 HAVING count(DISTINCT event_type) = 5) GROUP BY 1, 2"""))
 def _(t):
-    import datetime as dt
-    cells = t.events().filter(F.col("dt") < F.lit(dt.date(2024, 1, 4))).groupBy("device_id", "event_type").agg(
-        F.count("*").alias("n"))
+    cells = t.events().groupBy("device_id", "event_type").agg(F.count("*").alias("n"))
     return complete_keys(cells, "device_id", "event_type", 5)

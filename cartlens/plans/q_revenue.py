@@ -7,7 +7,6 @@ from ..operators import coverage as cov
 from ..operators import revenue as op
 from ..operators import text
 from .q_activity import rounded_all
-from ..session import materialize
 from .registry import query
 from .views import sql
 
@@ -68,7 +67,7 @@ def _(t):
 SELECT route, order_id, w.status, CAST(owed AS DOUBLE) AS reimbursement FROM w JOIN rt ON strftime(created_date, '%Y-%m') = rt.month AND w.merchant_id = rt.merchant_id
 WHERE route <> 'open' AND CASE route WHEN 'Successful' THEN w.status = 'rto' AND owed <> 0 WHEN 'Pending status' THEN w.status NOT IN ('delivered', 'rto') ELSE TRUE END"""))
 def _(t):
-    w = materialize(owed(t), "owed")
+    w = owed(t)
     routed = op.reimbursement_status(op.reimbursement_summary(w), AS_OF)
     return op.settlement_details(w, routed).select("route", "order_id", "status", "reimbursement")
 

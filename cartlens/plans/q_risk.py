@@ -11,7 +11,6 @@ from .q_aggregates import CHI_SQL
 from .q_facts import order_status, rto_fact
 from .q_projection import MODELS, MODELS_SQL
 from ..functions.expr import code_name
-from ..session import materialize
 from .registry import query
 from .views import sql
 
@@ -74,7 +73,7 @@ SELECT model, round(r0, 6) AS cr_pre, round(r1, 6) AS cr_post, round(s0, 6) AS s
 
 
 def model_leaf(t, hits, base):
-    return materialize(mix.leaf_table(model_rows(t), ["model"], "period", "Prev", "Post", base, hits), "models")
+    return mix.leaf_table(model_rows(t), ["model"], "period", "Prev", "Post", base, hits)
 
 
 def model_rows(t):
@@ -160,7 +159,7 @@ e AS (SELECT segment, feature, CAST(sum(n) AS BIGINT) AS n, sum(n::DOUBLE * n /
 SELECT segment, feature, round(corr, 6) AS corr, n, round(CASE WHEN v > 0 THEN n * greatest(s - 1, 0) END, 4) AS chi2, round(sqrt(CASE WHEN v > 0 THEN greatest(s - 1, 0) / v END), 6) AS cramers_v
 FROM r JOIN e USING (segment, feature)"""))
 def _(t):
-    out = stats.feature_association(materialize(feature_rows(t), "features"), "segment", FEATURES, "rto")
+    out = stats.feature_association(feature_rows(t), "segment", FEATURES, "rto")
     return out.select("segment", "feature", rounded("corr").alias("corr"), "n", rounded("chi2", 4).alias("chi2"), rounded("cramers_v").alias("cramers_v"))
 
 

@@ -52,13 +52,9 @@ def _(t):
     head = t.spark.createDataFrame([("Price list", None, None, None), ("Part ID", "Brand!", "Price (INR)", "Notes")],
                                    "a string, b string, c string, d string")
     # an exported sheet: a title line, the header line, then the data
-    head.coalesce(1).write.option("sep", ";").csv(path)
-    p.write.mode("append").option("sep", ";").csv(path)
-    names = ["a", "b", "c", "d"]
-    first = t.spark.read.option("sep", ";").schema(", ".join(f"{n} string" for n in names)).csv(path)
-    title = first.filter(F.col("a").isin("Price list", "Part ID")).orderBy(F.col("a").desc())
-    ordered = title.unionByName(first.filter(~F.col("a").isin("Price list", "Part ID")))
-    out = io.clean_sheet(ordered, 1, drop=["notes"], numbers=["price_inr"])
+    head.coalesce(1).write.option("sep", ";").csv(f"{path}/0_head")
+    p.write.option("sep", ";").csv(f"{path}/1_data")
+    out = io.clean_sheet(io.read_lines(t.spark, f"{path}/*", 4, sep=";"), 1, drop=["notes"], numbers=["price_inr"])
     return out.withColumn("part_id", F.col("part_id").cast("bigint"))
 
 
@@ -87,10 +83,10 @@ def _fact_table(t, extra=""):
     return name
 
 
-@query("s09_create_partitioned", sql("cf", "SELECT dt, sum(open)::BIGINT AS opens FROM cf WHERE dt <= DATE '2024-01-10' GROUP BY 1"), dates="dt")
+@query("s09_create_partitioned", sql("cf", "SELECT dt, sum(open)::BIGINT AS opens FROM cf GROUP BY 1"), dates="dt")
 def _(t):
     name = _fact_table(t)
-    io.insert_select(t.checkouts().filter(F.col("dt") <= F.lit(dt.date(2024, 1, 10))), name)
+    io.insert_select(t.checkouts(), name)
     return t.spark.table(name).groupBy("dt").agg(F.sum("open").alias("opens"))
 
 
@@ -110,8 +106,9 @@ def _(t):
     last = F.lit(dt.date(2024, 1, 30))
     history = e.filter(F.col("dt") < last)
     stale_today = e.filter((F.col("dt") == last) & (F.col("event_id") % 2 == 0))   # yesterday's partial run
-    out = io.rebuild_with_today(t.spark, history.unionByName(stale_today), e.filter(F.col("dt") == last), "dt",
-                                scratch_dir(t.spark, "rebuild"))
+    name, path = table_name(), scratch_dir(t.spark, "rebuild")
+    history.unionByName(stale_today).write.option("path", f"{path}/first").saveAsTable(name)
+    out = io.rebuild_with_today(t.spark, name, e.filter(F.col("dt") == last), "dt", path)
     return out.groupBy("dt").agg(F.count("*").alias("n"), F.countDistinct("checkout_id").alias("checkouts"))
 
 

@@ -19,38 +19,42 @@ def _(t):
     return latest_per_key(t.events(), ["checkout_id"], ["ts", "event_id"], ["event_id", "event_type"])
 
 
-@query("w02_gap_to_previous", sql("ev", """
-SELECT event_id, round((epoch_us(ts) - epoch_us(lead(ts) OVER (PARTITION BY device_id ORDER BY ts DESC, event_id DESC))) / 1000000, 3) AS gap FROM ev"""))
+@query("w02_gap_to_previous", sql("gaps", """
+SELECT event_id, CASE WHEN device_id IS NOT NULL THEN round((epoch_us(ts) - epoch_us(lead(ts) OVER (PARTITION BY device_id, ts IS NULL ORDER BY ts DESC, event_id DESC))) / 1000000, 3) END AS gap FROM gaps"""))
 def _(t):
-    d = with_previous(t.events().select("device_id", "ts", "event_id"), ["device_id"], ["ts", "event_id"], {"prev_ts": "ts"},
+    d = with_previous(t.gappy_events().select("device_id", "ts", "event_id"), ["device_id"], ["ts", "event_id"], {"prev_ts": "ts"},
                       time_chunk("ts", CHUNK_S))
     return d.select("event_id", rounded(lookup.seconds_between("prev_ts", "ts"), 3).alias("gap"))
 
 
-@query("w03_previous_label", sql("ev", """
-p AS (SELECT event_id, event_type, k, lag(event_type) OVER w AS prev, lag(k) OVER w AS pk FROM ev WINDOW w AS (PARTITION BY device_id ORDER BY ts, event_id))
+@query("w03_previous_label", sql("gaps", """
+p AS (SELECT event_id, event_type, k, CASE WHEN device_id IS NOT NULL AND ts IS NOT NULL THEN lag(event_type) OVER w END AS prev, lag(k) OVER w AS pk FROM gaps
+  WINDOW w AS (PARTITION BY device_id, ts IS NULL ORDER BY ts, event_id))
 SELECT event_id, CASE WHEN prev <> event_type THEN prev END AS from_type, CASE WHEN prev <> event_type THEN pk END AS from_k FROM p"""))
 def _(t):
-    d = with_previous(t.events().select("device_id", "ts", "event_id", "event_type", "k"), ["device_id"], ["ts", "event_id"],
+    d = with_previous(t.gappy_events().select("device_id", "ts", "event_id", "event_type", "k"), ["device_id"], ["ts", "event_id"],
                       {"prev": "event_type", "pk": "k"}, time_chunk("ts", CHUNK_S))
     changed = F.col("prev") != F.col("event_type")
     return d.select("event_id", F.when(changed, F.col("prev")).alias("from_type"), F.when(changed, F.col("pk")).alias("from_k"))
 
 
-@query("w04_running_flag_sum", sql("ev", """
-SELECT event_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY merchant_id ORDER BY ts, event_id
-  ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block_no FROM ev"""))
+@query("w04_running_flag_sum", sql("gaps", """
+SELECT event_id, CASE WHEN merchant_id IS NOT NULL AND ts IS NOT NULL THEN CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (
+  PARTITION BY merchant_id, ts IS NULL ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS block_no FROM gaps"""))
 def _(t):
-    d = with_running_sum(t.events().select("merchant_id", "ts", "event_id", "event_type"), ["merchant_id"], ["ts", "event_id"],
+    d = with_running_sum(t.gappy_events().select("merchant_id", "ts", "event_id", "event_type"), ["merchant_id"], ["ts", "event_id"],
                          {"block_no": F.when(F.col("event_type") == "signup", 1).otherwise(0)}, time_chunk("ts", CHUNK_S))
     return d.select("event_id", "block_no")
 
 
 @query("w05_lag_in_message", """
-SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, date_diff('day', lag(l_shipdate) OVER (PARTITION BY l_orderkey
-  ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey), l_shipdate) AS days FROM lineitem""")
+WITH l AS (SELECT * REPLACE (CASE WHEN l_partkey % 13 <> 0 THEN l_shipdate END AS l_shipdate, CASE WHEN l_suppkey % 11 <> 0 THEN l_orderkey END AS l_orderkey) FROM lineitem)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey IS NOT NULL THEN date_diff('day', lag(l_shipdate) OVER (
+  PARTITION BY l_orderkey, l_shipdate IS NULL ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey), l_shipdate) END AS days FROM l""")
 def _(t):
-    l = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")  # noqa: E741
+    l = t.raw("lineitem").select(  # noqa: E741
+        F.when(F.col("l_suppkey") % 11 != 0, F.col("l_orderkey")).alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey",
+        F.when(F.col("l_partkey") % 13 != 0, F.col("l_shipdate")).alias("l_shipdate"))
     d = with_previous(l, ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"], {"prev": "l_shipdate"},
                       time_chunk("l_shipdate", 86400))
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.datediff("l_shipdate", "prev").cast("bigint").alias("days"))
@@ -66,10 +70,11 @@ def _(t):
     return a.join(b, "dt").select("merchant_id", "dt", rounded("p50").alias("p50"), rounded("day_p50").alias("day_p50"))
 
 
-@query("w07_rank", sql("ev", """
-SELECT event_id, rank() OVER (PARTITION BY merchant_id ORDER BY k) AS up, rank() OVER (PARTITION BY merchant_id ORDER BY k DESC) AS down FROM ev"""))
+@query("w07_rank", sql("gaps", """
+SELECT event_id, CASE WHEN merchant_id IS NOT NULL AND k IS NOT NULL THEN rank() OVER (PARTITION BY merchant_id, k IS NULL ORDER BY k) END AS up,
+  CASE WHEN merchant_id IS NOT NULL AND k IS NOT NULL THEN rank() OVER (PARTITION BY merchant_id, k IS NULL ORDER BY k DESC) END AS down FROM gaps"""))
 def _(t):
-    return exact_rank(t.events().select("event_id", "merchant_id", "k"), ["merchant_id"], "k", "up", "down").select("event_id", "up", "down")
+    return exact_rank(t.gappy_events().select("event_id", "merchant_id", "k"), ["merchant_id"], "k", "up", "down").select("event_id", "up", "down")
 
 
 @query("w08_first_contact", sql("ev", "SELECT event_id, min(dt) OVER (PARTITION BY device_id) AS first_date FROM ev"), dates="first_date")
@@ -130,10 +135,10 @@ def _(t):
     return daily(t).select("merchant_id", "dt", rounded(ratio("n", F.lag("n").over(by_day())) - 1).alias("pct"))
 
 
-@query("w15_ordinal", sql("ev", """
-SELECT event_id, row_number() OVER (PARTITION BY merchant_id ORDER BY ts, event_id) AS ordinal FROM ev"""))
+@query("w15_ordinal", sql("gaps", """
+SELECT event_id, CASE WHEN merchant_id IS NOT NULL AND ts IS NOT NULL THEN row_number() OVER (PARTITION BY merchant_id, ts IS NULL ORDER BY ts, event_id) END AS ordinal FROM gaps"""))
 def _(t):
-    return with_ordinal(t.events().select("merchant_id", "ts", "event_id"), ["merchant_id"], ["ts", "event_id"], "ordinal",
+    return with_ordinal(t.gappy_events().select("merchant_id", "ts", "event_id"), ["merchant_id"], ["ts", "event_id"], "ordinal",
                         time_chunk("ts", CHUNK_S)).select("event_id", "ordinal")
 
 

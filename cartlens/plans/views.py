@@ -22,7 +22,7 @@ STEPS = {"signup": "1_open", "view": "2_render", "click": "3_submit", "purchase"
 AOV_CUTS = [20.0, 50.0, 100.0, 200.0]
 AOV_LABELS = ["a_lt_20", "b_20_50", "c_50_100", "d_100_200", "e_200_up"]
 MODEL_CODES = ["category_5399", "category_5691", "category_5977", "category_infrequent_mcc_group", "acm",
-               "merchant_boltt", "unlisted"]
+               "merchant_own", "unlisted"]
 
 
 class Tables:
@@ -48,6 +48,12 @@ class Tables:
             F.when(day <= F.lit(EVENTS_CUT), "Prev").otherwise("Post").alias("period"),
         )
 
+    def gappy_events(self) -> DataFrame:
+        """Events in which ids, times and numbers are missing here and there, as in real click-streams."""
+        gap = lambda c, n: F.when(F.col("event_id") % n != 0, F.col(c)).alias(c)
+        holes = {"device_id": 17, "merchant_id": 19, "ts": 23, "checkout_id": 29, "k": 13}
+        return self.events().select(*[gap(c, holes[c]) if c in holes else c for c in self.events().columns])
+
     def checkouts(self) -> DataFrame:
         """One row per checkout: funnel flags and attributes."""
         t = F.col("event_type")
@@ -134,6 +140,9 @@ _EV = """ev AS (
     CASE WHEN user_id % 10 = 9 OR (user_id // 10) % 2 = 0 THEN 'v1' ELSE 'v2' END AS arm,
     CASE WHEN CAST(ts AS DATE) <= DATE '2024-01-15' THEN 'Prev' ELSE 'Post' END AS period
   FROM events)"""
+_GAPS = """gaps AS (
+  SELECT * REPLACE (CASE WHEN event_id % 17 <> 0 THEN device_id END AS device_id, CASE WHEN event_id % 19 <> 0 THEN merchant_id END AS merchant_id,
+    CASE WHEN event_id % 23 <> 0 THEN ts END AS ts, CASE WHEN event_id % 29 <> 0 THEN checkout_id END AS checkout_id, CASE WHEN event_id % 13 <> 0 THEN k END AS k) FROM ev)"""
 _CF = """cf0 AS (
   SELECT checkout_id, merchant_id, device_id, arm, period, dt,
     CAST(max(CASE WHEN event_type='signup' THEN 1 ELSE 0 END) AS BIGINT) AS open,
@@ -178,7 +187,7 @@ _SCORE = """score AS (
     CASE WHEN CAST(l_tax AS DECIMAL(4,2)) = 0.08 THEN NULL
          WHEN CAST(l_discount AS DECIMAL(4,2)) <= 0.07 THEN 'green' ELSE 'red' END AS rule_flag,
     (['category_5399', 'category_5691', 'category_5977', 'category_infrequent_mcc_group', 'acm',
-      'merchant_boltt', 'unlisted'])[CAST(l_suppkey % 7 + 1 AS INTEGER)] AS model_code,
+      'merchant_own', 'unlisted'])[CAST(l_suppkey % 7 + 1 AS INTEGER)] AS model_code,
     l_partkey % 5 = 0 AS experimentation
   FROM lineitem),
 lscore AS (
@@ -197,7 +206,7 @@ _RTO = """rto AS (
     LEFT JOIN mer m ON p.merchant_id = m.merchant_id)"""
 
 _NEEDS = {
-    "ev": (_EV, []), "cf": (_CF, ["ev"]), "pay": (_PAY, []), "mer": (_MER, []), "ship": (_SHIP, []),
+    "ev": (_EV, []), "gaps": (_GAPS, ["ev"]), "cf": (_CF, ["ev"]), "pay": (_PAY, []), "mer": (_MER, []), "ship": (_SHIP, []),
     "lship": (_LSHIP, ["ship"]), "lscore": (_SCORE, []), "rto": (_RTO, ["pay", "lship", "lscore", "mer"]),
 }
 

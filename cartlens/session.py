@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+
+#: Folder for written intermediates of a session that runs on one machine.
+LOCAL_DIR = "/tmp/cartlens"
 
 
 def build_session(cpus: str | int = "*", app: str = "cartlens") -> SparkSession:
@@ -36,18 +39,13 @@ def build_session(cpus: str | int = "*", app: str = "cartlens") -> SparkSession:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for written intermediates.
 
-    Uses the cluster's shared ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a local temporary folder stands in for it.
+    It lies under ``spark.checkpoint.dir``, which driver and executors share. Where
+    that is unset, only a session on one machine has a folder to fall back on; on a
+    cluster a folder of one machine would give the others' readers nothing or part.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.startswith("local["):
+        shared = LOCAL_DIR
     if not shared:
-        shared = tempfile.mkdtemp(prefix="cartlens-")
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a reduced table once and read it back, where a plan uses it many
-    times. Written files survive a lost executor, unlike a cache."""
-    path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -56,25 +56,35 @@ def import_jdbc(spark: SparkSession, target: str, properties: Mapping[str, str]
     reader.options(**(properties or {})).load().write.mode("overwrite").saveAsTable(target)
 
 
+LINE = "__line"
+
+
+def read_lines(spark: SparkSession, path: str, columns: int, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """Header-less sheet as text columns, with the place of each line: file, offset of
+    the block and number within it. Files are in the order of their names."""
+    names = [f"c{i}" for i in range(columns)]
+    lines = spark.read.option("sep", sep).option("encoding", encoding).schema(", ".join(f"{n} string" for n in names)).csv(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("line"))
+    return lines.select(*names, place.alias(LINE))
+
+
 def promote_header(df: DataFrame, row: int) -> DataFrame:
-    """Use the row-th line of a header-less file as column names.
+    """Use the row-th line of a sheet from ``read_lines`` as column names.
 
-    Lines up to it are preamble and are dropped by value. Only those row + 1
-    lines come to the driver; names are made column-safe and unique.
+    Lines up to it are preamble and are dropped by their place, so a data line that
+    repeats one of them stays. Only those row + 1 lines come to the driver; names
+    are made column-safe and unique.
     """
-    head = df.take(row + 1)
+    head = df.orderBy(LINE).limit(row + 1).collect()
     names, seen = [], {}
-    for i, v in enumerate(head[row]):
+    for i, v in enumerate(head[row][:-1]):
         s = slug(v) if v else f"col_{i}"
         seen[s] = seen.get(s, 0) + 1
         names.append(s if seen[s] == 1 else f"{s}_{seen[s]}")
-    preamble = F.lit(False)
-    for r in head:
-        same = F.lit(True)
-        for c, v in zip(df.columns, r):
-            same = same & F.col(c).eqNullSafe(F.lit(v))
-        preamble = preamble | same
-    return df.filter(~preamble).toDF(*names)
+    last = head[row][LINE]
+    data = df.filter(F.col(LINE) > F.struct(F.lit(last["file"]).alias("file"), F.lit(last["block"]).alias("block"), F.lit(last["line"]).alias("line")))
+    return data.drop(LINE).toDF(*names)
 
 
 def clean_sheet(df: DataFrame, header_row: int, drop: Sequence[str] = (), rename: Mapping[str, str] | None = None,
@@ -93,22 +103,17 @@ def json_map_rows(df: DataFrame, doc: str, attributes: str, key_name: str = "key
 
 
 def append_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """Append Parquet by date; rows are gathered per partition value and spread
-    by a salt, so no value turns into one huge file or thousands of small ones."""
-    _spread(df, [by]).write.mode("append").partitionBy(by).parquet(path)
+    """Append Parquet by date; rows are gathered per partition value and large values
+    are split by size, so none turns into one huge file or thousands of small ones."""
+    df.hint("rebalance", by).write.mode("append").partitionBy(by).parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
     """Replace only the date partitions present in ``df``; safe to run again."""
-    writer = _spread(df, [by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(by).parquet(path)
 
 
-def _spread(df: DataFrame, by: Sequence[str], ways: int = 8) -> DataFrame:
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(ways))
-    return df.repartition(*[F.col(c) for c in by], salt)
-
-
 def create_partitioned_table(spark: SparkSession, name: str, columns: str, by: str, location: str | None = None) -> None:
     where = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({by}){where}")
@@ -132,12 +137,21 @@ def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def rebuild_with_today(spark: SparkSession, history: DataFrame, today: DataFrame, day_col: str, staging: str) -> DataFrame:
-    """History plus today's rows written to a staging path first: readers swap to
-    it only when it is complete, and the old copy stays as the backup."""
+def rebuild_with_today(spark: SparkSession, table: str, today: DataFrame, day_col: str, location: str) -> DataFrame:
+    """Back up a table, then rebuild it as its rows of other days and today's rows.
+
+    ``<table>_backup`` keeps the rows as they were. The new rows are written under
+    ``location`` first; the name is switched to them only when they are complete.
+    """
+    spark.sql(f"DROP TABLE IF EXISTS {table}_backup")
+    spark.table(table).write.option("path", f"{location}/backup").saveAsTable(f"{table}_backup")
     days = today.select(day_col).distinct()
-    history.join(days, day_col, "left_anti").unionByName(today).write.mode("errorifexists").parquet(staging)
-    return spark.read.parquet(staging)
+    rows = spark.table(f"{table}_backup").join(days, day_col, "left_anti").unionByName(today)
+    rows.select(*spark.table(table).columns).write.option("path", f"{location}/data").saveAsTable(f"{table}_next")
+    spark.sql(f"ALTER TABLE {table} RENAME TO {table}_old")
+    spark.sql(f"ALTER TABLE {table}_next RENAME TO {table}")
+    spark.sql(f"DROP TABLE {table}_old")
+    return spark.table(table)
 
 
 def publish_view(df: DataFrame, name: str) -> DataFrame:

@@ -69,9 +69,10 @@ def test_effect_size_zero_and_full_arms(spark):
 
 
 @pytest.mark.parametrize("assigned,seen,changed,arm", [
-    ("v2", True, False, "v2"), ("v1", False, False, "v1"), ("v2", False, True, "v1"), ("v1", True, True, "v2"), ("v2", False, False, "mixed"), ("v1", True, False, "mixed")])
+    ("on", True, True, "test_change_method_clicked"), ("on", True, False, "test"), ("on", False, True, "control_change_method_clicked"), ("on", False, False, "control"),
+    ("on", None, True, "on"), ("on", True, None, "test"), ("off", True, True, "off"), ("off", False, False, "off"), (None, True, True, None)])
 def test_effective_arm(spark, assigned, seen, changed, arm):
-    e = arms.effective_arm(F.lit(assigned), F.lit(seen), F.lit(changed), ["v1", "v2"])
+    e = arms.effective_arm(F.lit(assigned), F.lit(seen).cast("boolean"), F.lit(changed).cast("boolean"), "on")
     assert spark.range(1).select(e.alias("x")).first()["x"] == arm
 
 

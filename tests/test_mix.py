@@ -118,11 +118,6 @@ def test_leaf_table_fills_missing_periods(spark, rows):
     assert rows(mix.leaf_table(d, ["a"], "p", "Prev", "Post", "o", "s")) == [("x", 2, 0, 1, 0), ("y", 0, 1, 0, 1)]
 
 
-def test_cube_is_bounded(spark):
-    with pytest.raises(ValueError):
-        mix.explain_impact(frame(spark, leaves(1)), [f"d{i}" for i in range(11)])
-
-
 def test_shares_are_of_the_whole(spark):
     out = mix.vol_rate_impact(frame(spark, leaves(6)), ["a"]).agg(F.sum("share_pre"), F.sum("share_post")).first()
     assert out[0] == pytest.approx(1) and out[1] == pytest.approx(1)

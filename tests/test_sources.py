@@ -42,10 +42,13 @@ def test_scan_is_pruned_on_partition_column(spark, tmp_path):
     assert io.scan_events(text_day, "day", dt.date(2024, 1, 5), dt.date(2024, 1, 6)).count() == 2
 
 
-def test_clean_sheet(spark, rows):
-    d = spark.createDataFrame([("Report", None, None), ("Item Name", "Price (INR)", "Price (INR)"), ("a", "1,200", "x"), ("b", "3", "y")], "a string, b string, c string").coalesce(1)
-    out = io.clean_sheet(d, 1, drop=["price_inr_2"], rename={"item_name": "item"}, numbers=["price_inr"])
-    assert out.columns == ["item", "price_inr"] and rows(out) == [("a", 1200.0), ("b", 3.0)]
+def test_clean_sheet(spark, rows, tmp_path):
+    lines = ["Report;;", "Item Name;Price (INR);Price (INR)", "a;1,200;x", "b;3;y", "Report;;", "Item Name;Price (INR);Price (INR)"]
+    (tmp_path / "a.csv").write_text("\n".join(lines[:3]))
+    (tmp_path / "b.csv").write_text("\n".join(lines[3:] + ["c;4;z"] * 5000))
+    out = io.clean_sheet(io.read_lines(spark, str(tmp_path), 3, ";"), 1, drop=["price_inr_2"], rename={"item_name": "item"}, numbers=["price_inr"])
+    assert out.columns == ["item", "price_inr"] and out.count() == 5004
+    assert rows(out.filter("item <> 'c' or item is null").select("item")) == [("Item Name",), ("Report",), ("a",), ("b",)]
 
 
 def test_json_map_rows(spark, rows):
@@ -81,10 +84,27 @@ def test_scratch_dir_uses_the_shared_folder(spark, tmp_path):
     assert session.scratch_dir(Session(), "x").startswith(f"{tmp_path}/x-")
 
 
-def test_materialize_keeps_schema_and_rows(spark, rows):
-    d = spark.createDataFrame([(1, "a"), (2, None)], "i long, s string")
-    m = session.materialize(d, "test")
-    assert m.dtypes == d.dtypes and rows(m) == rows(d)
+def test_scratch_dir_needs_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        session.scratch_dir(Session(), "x")
+
+
+def test_rebuild_keeps_a_backup_and_switches_names(spark, rows, tmp_path):
+    name = "t_rebuild_" + tmp_path.name.replace("-", "_")
+    old = spark.createDataFrame([(1, "mon"), (2, "tue")], "v long, day string")
+    old.write.option("path", str(tmp_path / "old")).saveAsTable(name)
+    out = io.rebuild_with_today(spark, name, spark.createDataFrame([(3, "tue"), (4, "tue")], "v long, day string"), "day", str(tmp_path / "new"))
+    assert rows(out) == [(1, "mon"), (3, "tue"), (4, "tue")] and rows(spark.table(name)) == rows(out)
+    assert rows(spark.table(f"{name}_backup")) == rows(old)
+    for t in (name, f"{name}_backup"):
+        spark.sql(f"DROP TABLE {t}")
 
 
 def test_days_between(spark):
