@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,14 +30,9 @@ BLOCK = 1 << 18
 
 def write(docs: DataFrame, path: str, text_col: str = "text") -> str:
     """Flat files of ``docs``, one for each partition."""
-
-    @F.pandas_udf("binary")
-    def narrow(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: np.frombuffer(x, "<u4").astype("<u2").tobytes())
-
     end = int(END).to_bytes(WIDTH, "little").decode("latin-1")
-    ids = tokens.encode(docs.select(text_col), text_col)
-    ids.select(narrow("ids").cast("string").alias("value")).write.option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
+    ids = tokens.encode(docs.select(text_col), text_col, width=WIDTH)
+    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
     return path
 
 
