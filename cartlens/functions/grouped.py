@@ -50,10 +50,8 @@ def with_totals(df: DataFrame, within: Sequence[str], totals: Mapping[str, Colum
     source = df if source is None else source
     if not within:
         agg = source.agg(*[t.alias(n) for n, t in totals.items()])
-        out = df
-        for n in totals:
-            out = out.withColumn(n, agg.select(n).scalar())
-        return out
+        out = df.withColumn("__totals", agg.select(F.struct(*totals)).scalar())
+        return out.withColumns({n: F.col("__totals")[n] for n in totals}).drop("__totals")
     agg = source.groupBy(*within).agg(*[t.alias(n) for n, t in totals.items()])
     cond = None
     for c in within:

@@ -34,13 +34,13 @@ struct<
 
 
 def normalize_events(raw: DataFrame, keys: DataFrame, order_meta: DataFrame, start, end,
-                     source: str = "checkoutjs") -> DataFrame:
+                     source: str = "checkoutjs", version: str = "updated_at") -> DataFrame:
     """Client events with JSON documents -> typed columns, one row per event.
 
     Keeps one-click events of the source and date range (compared on the
     partition column's own type so partitions are pruned), looks the merchant
-    up by API key and the UTM fields by order. Both look-ups are unique per
-    key, so no event is repeated.
+    up by API key and the UTM fields by order. An order's document of the greatest
+    ``version`` counts, and of several merchants of a key the least, so no event is repeated.
     """
     e = raw.filter((F.col("source") == source) & F.col("producer_created_date").between(F.lit(start), F.lit(end)))
     # Both documents are parsed exactly once per event. The row test sits inside the
@@ -94,12 +94,13 @@ def normalize_events(raw: DataFrame, keys: DataFrame, order_meta: DataFrame, sta
         F.substring("p.options.key", 10, 14).alias("__key"),
         F.expr("substring(c.order_id, 7)").alias("__order"),
     )
-    utm = order_meta.filter(F.col("type") == "one_click_checkout").select(
+    documents = order_meta.filter((F.col("type") == "one_click_checkout") & F.col("order_id").isNotNull())
+    utm = latest_per_key(documents, ["order_id"], [version, "value"], ["value"]).select(
         F.col("order_id").alias("__order"),
         json_text("value", "$.utm_parameters.utm_source").alias("utm_source"),
         json_text("value", "$.utm_parameters.utm_medium").alias("utm_medium"),
         json_text("value", "$.utm_parameters.utm_campaign").alias("utm_campaign"))
-    key_dim = keys.select(F.col("id").alias("__key"), "merchant_id")
+    key_dim = keys.filter("id is not null").groupBy(F.col("id").alias("__key")).agg(F.min("merchant_id").alias("merchant_id"))
     where = ["checkout_id", "event_timestamp_raw"]
     d = left_join_sparse(left_join_sparse(flat, key_dim, "__key", where), utm, "__order", where)
     return d.drop("__key", "__order")
@@ -154,6 +155,19 @@ def event_flags(df: DataFrame, spec: Mapping[str, Column]) -> DataFrame:
     return df.select("*", *[flag(c).alias(n) for n, c in spec.items()])
 
 
+# Events of the checkout and the fact's flag for each.
+CHECKOUT_FLAGS = {
+    "open": "open", "render:complete": "checkout_render_complete", "render:contact_page": "contact_page_rendered",
+    "render:1cc_payment_home_screen_loaded": "payment_screen_loaded", "behav:contact:fill": "contact_filled",
+    "behav:continue:click": "contact_page_cta_clicked", "instrument:selected": "instrument_selected", "submit": "submit",
+    "oncomplete": "payment_completed", "method:selected": "method_selected"}
+
+
+def checkout_flags(event: str = "event_name") -> dict[str, Column]:
+    """Conditions of the checkout fact's named flags."""
+    return {flag_name: F.col(event) == name for name, flag_name in CHECKOUT_FLAGS.items()}
+
+
 def build_checkout_fact(events: DataFrame, flag_spec: Mapping[str, Column], key: str = "checkout_id",
                         carried: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per checkout: 'ever happened' flags plus carried aggregates.
@@ -189,6 +203,34 @@ def touched_rows(existing: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     return existing.join(delta.select(key).distinct(), key, "left_semi")
 
 
+def upsert_partitions(table: str, delta: DataFrame, key: str, maxes: Sequence[str], day: str, look_back: int) -> list:
+    """Merge a delta into a table partitioned by ``day`` (a key's first day), rewriting
+    only the days that hold touched keys; returns these days.
+
+    A key's row is at most ``look_back`` days older than the delta, so older
+    partitions are neither read nor written. Running the same delta again changes
+    nothing. Only dates come to the driver.
+    """
+    spark = delta.sparkSession
+    new = delta.groupBy(key).agg(*[F.max(c).alias(c) for c in maxes], F.min(day).alias(day))
+    first = new.agg(F.min(day)).head()[0]
+    if first is None:
+        return []
+    recent = spark.table(table).filter(F.col(day) >= F.lit(first) - F.expr(f"INTERVAL {look_back} DAYS"))
+    old = touched_rows(recent, new, key)
+    merged = merge_new_rows(old, new, key, maxes, [day])
+    days = sorted(r[0] for r in old.select(day).unionByName(merged.select(day)).distinct().collect())
+    rest = recent.filter(F.col(day).isin(days)).join(new.select(key), key, "left_anti")
+    rows = rest.select(key, *maxes, day).unionByName(merged.select(key, *maxes, day))
+    left = {r[0] for r in rows.select(day).distinct().collect()}
+    columns = spark.table(table).columns
+    rows.select(*columns).hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    for d in days:
+        if d not in left:  # all its keys moved to an earlier day
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({day} = DATE '{d}')")
+    return days
+
+
 def merge_new_rows(existing: DataFrame, delta: DataFrame, key: str, maxes: Sequence[str],
                    mins: Sequence[str]) -> DataFrame:
     """Same table as ``upsert_fact`` in one aggregate and no join: every row is
@@ -206,27 +248,33 @@ def combined_flag(ml: Column, rule: Column) -> Column:
 
 def build_rto_fact(orders: DataFrame, shipments: DataFrame, scores: DataFrame, dims: DataFrame | None = None,
                    order_id: str = "order_id", ship_order: Sequence[str] = (), score_order: Sequence[str] = (),
-                   dim_key: str = "merchant_id") -> DataFrame:
+                   dim_key: str = "merchant_id", ship_cols: Sequence[str] = (), score_cols: Sequence[str] = (),
+                   ship_count: str | None = None, prior: DataFrame | None = None) -> DataFrame:
     """One row per order: latest shipment, latest risk score, combined flag.
 
-    Latest rows come from max-by aggregates that reduce before the shuffle, so
-    the joins are one row per order on both sides.
+    ``ship_cols`` and ``score_cols`` are carried besides the state and the flags, and
+    ``ship_count`` names the number of an order's shipments. Latest rows are aggregates
+    over only these columns, so both joins meet one narrow row per order. Orders of
+    ``prior`` (an earlier state of the fact) that are not among ``orders`` are kept.
     """
-    ship = latest_per_key(shipments, [order_id], ship_order)
-    score = latest_per_key(scores, [order_id], score_order,
-                           ["ml_flag", "rule_flag", "model_code", "experimentation", *score_order])
-    s = ship.select(order_id, "status", "ship_date", "charge")
-    r = score.select(order_id, "ml_flag", "rule_flag", "model_code", "experimentation")
+    s = latest_per_key(shipments, [order_id], ship_order, ["status", *ship_cols])
+    if ship_count:
+        s = s.join(shipments.groupBy(order_id).agg(F.count("*").alias(ship_count)), order_id)
+    r = latest_per_key(scores, [order_id], score_order, ["ml_flag", "rule_flag", "model_code", "experimentation", *score_cols])
     out = orders.join(s, order_id, "left").join(r, order_id, "left")
     if dims is not None:
         out = out.join(dims, dim_key, "left")
     ml, rule = F.col("ml_flag"), F.col("rule_flag")
-    return out.withColumn("result_flag", combined_flag(ml, rule)).withColumns({
+    out = out.withColumn("result_flag", combined_flag(ml, rule)).withColumns({
         "status": F.coalesce("status", F.lit("not_shipped")),
         "ml_flag": F.coalesce(ml, F.lit("missing")),
         "rule_flag": F.coalesce(rule, F.lit("missing")),
         "model_code": F.coalesce("model_code", F.lit("none")),
         "experimentation": F.coalesce("experimentation", F.lit(False))})
+    if prior is None:
+        return out
+    kept = prior.join(orders.select(order_id), order_id, "left_anti")
+    return out.unionByName(kept.select(*out.columns))
 
 
 def explode_experiments(events: DataFrame, arms: str, keys: Sequence[str]) -> DataFrame:

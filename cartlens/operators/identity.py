@@ -90,27 +90,29 @@ def happiness_index(merchants: DataFrame, fact: DataFrame, orders: DataFrame, as
     orders:    entity, created_date, rto
     """
     base = merchants.select(entity, "live_date", "order_live_date", "pre_cr", "pre_rto")
-    f = fact.join(base, entity)
-    f = f.select(*base.columns, *[c for c in fact.columns if c != entity])
-    first = f.filter((F.col("dt") >= F.col("live_date")) & (F.col("open") == 1)).groupBy(entity).agg(F.min("dt").alias("first_day"))
-    f = f.join(first, entity)
+    on = lambda c: F.col(c) == 1
+    count = lambda c: F.sum(flag(c))
+    pct = lambda hit, of, when: ratio(F.sum(F.when(when, F.col(hit)).otherwise(0)) * 100, F.sum(F.when(when, F.col(of)).otherwise(0)))
+    # First days and rates come from counts per entity and day; only the medians need rows.
+    days = fact.groupBy(entity, "dt").agg(
+        count(on("open")).alias("opens"), count(on("submit")).alias("submits"), count(on("loaded")).alias("loads"),
+        count(on("loaded") & on("applicable")).alias("fillable"), count(on("loaded") & on("applicable") & on("prefilled")).alias("filled"),
+        count(on("loaded") & on("prelogin")).alias("known")).join(base, entity)
+    live = (F.col("dt") >= F.col("live_date")) & (F.col("opens") > 0)
+    days = with_report_totals(days, [entity], {"first_day": F.min(F.when(live, F.col("dt")))}).filter("first_day is not null")
     since, ago = F.datediff("dt", "first_day"), F.datediff(F.lit(as_of), F.col("dt"))
     early, recent = since.between(0, 20), ago.between(1, 31)
     late = recent & (F.col("pre_cr").isNotNull() | (since > 20))
-    pct = lambda hit, of: ratio(F.sum(flag(hit)) * 100, F.sum(flag(of)))
-    on = lambda c: F.col(c) == 1
-    cr = f.groupBy(entity).agg(
-        pct(early & on("submit"), early & on("open")).alias("first_cr"), pct(late & on("submit"), late & on("open")).alias("recent_cr"),
-        pct(recent & on("loaded") & on("applicable") & on("prefilled"), recent & on("loaded") & on("applicable")).alias("prefill_pct"),
-        pct(recent & on("loaded") & on("prelogin"), recent & on("loaded")).alias("prelogin_pct"))
-    o = orders.join(base, entity)
-    first_o = o.filter(F.col("created_date") >= F.col("order_live_date")).groupBy(entity).agg(F.min("created_date").alias("first_order"))
-    o = o.join(first_o, entity)
+    cr = days.groupBy(entity).agg(
+        pct("submits", "opens", early).alias("first_cr"), pct("submits", "opens", late).alias("recent_cr"),
+        pct("filled", "fillable", recent).alias("prefill_pct"), pct("known", "loads", recent).alias("prelogin_pct"))
+    o = orders.groupBy(entity, "created_date").agg(F.count("*").alias("n"), count(on("rto")).alias("back")).join(base, entity)
+    first_o = F.min(F.when(F.col("created_date") >= F.col("order_live_date"), F.col("created_date")))
+    o = with_report_totals(o, [entity], {"first_order": first_o}).filter("first_order is not null")
     since_o, ago_o = F.datediff("created_date", "first_order"), F.datediff(F.lit(orders_as_of), F.col("created_date"))
     late_o = ago_o.between(15, 44) & (F.col("pre_rto").isNotNull() | (since_o > 20))
-    rto = o.groupBy(entity).agg(
-        pct(since_o.between(0, 21) & on("rto"), since_o.between(0, 21)).alias("first_rto"), pct(late_o & on("rto"), late_o).alias("recent_rto"))
-    times = f.filter(recent).unpivot([entity], ["load_s", "complete_s"], "measure", "v")
+    rto = o.groupBy(entity).agg(pct("back", "n", since_o.between(0, 21)).alias("first_rto"), pct("back", "n", late_o).alias("recent_rto"))
+    times = fact.filter(recent).join(cr.select(entity), entity, "left_semi").unpivot([entity], ["load_s", "complete_s"], "measure", "v")
     p50 = exact_quantiles(times, [entity, "measure"], "v", {"p50": 0.5}).groupBy(entity).pivot("measure", ["load_s", "complete_s"]).agg(
         F.max("p50")).toDF(entity, "p50_load_s", "p50_completion_s")
     out = base.join(cr, entity, "left").join(rto, entity, "left").join(p50, entity, "left")

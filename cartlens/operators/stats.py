@@ -159,13 +159,10 @@ def quantile_tag(df: DataFrame, value: str, probs: Sequence[float], labels: Sequ
     """Label rows by where the value falls among exact quantiles of the column:
     below the first, between, at or above the last."""
     names = {f"q{i}": p for i, p in enumerate(probs)}
-    q = exact_quantiles(df, [], value, names)
-    out = df
-    for n in names:
-        out = out.withColumn(f"__{n}", q.select(n).scalar())
-    rules = [(F.col(value) < F.col(f"__{n}"), lab) for n, lab in zip(names, labels)]
-    out = out.withColumn(tag, first_match(rules + [(F.col(value).isNotNull(), labels[-1])]))
-    return out.drop(*[f"__{n}" for n in names])
+    # one scalar with all quantiles: the quantile run is planned once
+    out = df.withColumn("__q", exact_quantiles(df, [], value, names).select(F.struct(*names)).scalar())
+    rules = [(F.col(value) < F.col("__q")[n], lab) for n, lab in zip(names, labels)]
+    return out.withColumn(tag, first_match(rules + [(F.col(value).isNotNull(), labels[-1])])).drop("__q")
 
 
 def volume_buckets(df: DataFrame, volume: str, edges: Sequence[float], labels: Sequence[str], metric: str,

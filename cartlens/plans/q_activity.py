@@ -320,7 +320,7 @@ SELECT date_trunc('week', created_date)::DATE AS period_start, count(DISTINCT pa
   round(count(DISTINCT payment_id) FILTER (success)::DOUBLE / count(DISTINCT payment_id), 6) AS sr FROM pay WHERE merchant_id % 9 IN (1, 8) GROUP BY 1"""), dates="period_start")
 def _(t):
     from ..functions.expr import code_name
-    from .q_projection import LIBRARIES
+    from ..operators.labels import LIBRARIES
     lib = code_name((F.col("merchant_id") % 9).cast("int"), LIBRARIES, "UNKNOWN")
     out = op.category_sr(t.payments(), period_start("created_date", "week"), "payment_id", F.col("success"), lib.isin("CHECKOUTJS", "HOSTED"))
     return rounded_all(out, ["sr"])

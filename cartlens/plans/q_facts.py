@@ -1,9 +1,12 @@
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.expr import flag
 from ..operators import facts as op
+from ..session import scratch_dir
+from ..sources.io import create_partitioned_table, insert_select
 from .registry import query
 from .views import sql
 
@@ -43,7 +46,11 @@ def key_table(t):
 
 def order_meta(t):
     doc = F.to_json(F.struct(F.struct(F.concat(F.lit("src"), F.col("k") % 4).alias("utm_source"), F.lit("ads").alias("utm_medium")).alias("utm_parameters")))
-    return t.events().filter("event_id % 2 = 0").select(F.col("event_id").cast("string").alias("order_id"), F.lit("one_click_checkout").alias("type"), doc.alias("value"))
+    now = t.events().filter("event_id % 2 = 0").select(F.col("event_id").cast("string").alias("order_id"), F.lit("one_click_checkout").alias("type"),
+                                                       F.lit(2).alias("updated_at"), doc.alias("value"))
+    # every third order had a document before, which its update replaces
+    before = now.filter("cast(order_id as bigint) % 3 = 0").withColumns({"updated_at": F.lit(1), "value": F.lit('{"utm_parameters": {"utm_source": "old"}}')})
+    return now.unionByName(before)
 
 
 @query("d01_normalize_events", sql("ev", f"""
@@ -78,12 +85,18 @@ KINDS = ["signup", "view", "click", "purchase", "error"]
 FLAGS = [(f"{e}_{b}", e, b) for e in KINDS for b in range(12)]
 
 
+NAMED = {n: e for e, n in op.CHECKOUT_FLAGS.items()}
+
+
 @query("d03_checkout_fact", sql("ev", "SELECT checkout_id, " + ", ".join(
+    f"CAST(max(CASE WHEN {NAME_SQL} = '{e}' THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n, e in NAMED.items()) + ", " + ", ".join(
     f"CAST(max(CASE WHEN event_type = '{e}' AND k % 12 = {b} THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n, e, b in FLAGS)
     + ", min(dt) AS first_date, count(*) AS events FROM ev GROUP BY 1"), dates="first_date")
 def _(t):
     spec = {n: (F.col("event_type") == e) & (F.col("k") % 12 == b) for n, e, b in FLAGS}
-    return op.build_checkout_fact(t.events(), spec, carried={"first_date": F.min("dt"), "events": F.count("*")})
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), F.col("event_type"))
+    events = t.events().withColumn("event_name", name)
+    return op.build_checkout_fact(events, {**op.checkout_flags(), **spec}, carried={"first_date": F.min("dt"), "events": F.count("*")})
 
 
 DEVICE_FACT = """SELECT device_id, """ + ", ".join(f"CAST(max(CASE WHEN event_type = '{e}' THEN 1 ELSE 0 END) AS BIGINT) AS {e}" for e in KINDS) \
@@ -94,6 +107,10 @@ def device_fact(df):
     return op.build_checkout_fact(df, {e: F.col("event_type") == e for e in KINDS}, "device_id", {"first_date": F.min("dt")})
 
 
+def table_name():
+    return "t_" + uuid.uuid4().hex
+
+
 def upsert_inputs(t):
     e = t.events()
     return (device_fact(e.filter(F.col("dt") <= F.lit(dt.date(2024, 1, 20)))),
@@ -101,6 +118,19 @@ def upsert_inputs(t):
 
 
 @query("d04_upsert_fact", sql("ev", DEVICE_FACT), dates="first_date")
+def _(t):
+    """Through the partitions of a table: the delta's days are merged twice, which must change nothing the second time."""
+    history, delta = upsert_inputs(t)
+    name = table_name()
+    columns = ", ".join(f"{k} bigint" for k in KINDS)
+    create_partitioned_table(t.spark, name, f"device_id bigint, {columns}, first_date date", "first_date", scratch_dir(t.spark, "fact"))
+    insert_select(history, name)
+    for _ in range(2):
+        op.upsert_partitions(name, delta, "device_id", KINDS, "first_date", look_back=31)
+    return t.spark.table(name)
+
+
+@query("d04_upsert_whole", sql("ev", DEVICE_FACT), dates="first_date")
 def _(t):
     history, delta = upsert_inputs(t)
     return op.upsert_fact(history, delta, "device_id", KINDS, ["first_date"])
@@ -115,28 +145,47 @@ def _(t):
 SHIP_ORDER = ["ship_date", "line", "part_id", "supplier_id"]
 SCORE_ORDER = ["scored_date", "line", "part_id", "supplier_id"]
 RTO_COLS = ["order_id", "merchant_id", "created_date", "amount", "method", "period", "status", "ship_date", "charge", "result_flag",
-            "ml_flag", "rule_flag", "model_code", "experimentation", "tier", "segment"]
+            "ml_flag", "rule_flag", "model_code", "experimentation"]
 
 
-def rto_fact(t):
-    o = t.payments().drop("status").withColumnRenamed("payment_id", "order_id")
-    dims = t.merchants().select("merchant_id", "tier", "segment")
-    return op.build_rto_fact(o, t.shipments(), t.risk_scores(), dims, "order_id", SHIP_ORDER, SCORE_ORDER).select(*RTO_COLS)
+def rto_orders(t):
+    return t.payments().drop("status").withColumnRenamed("payment_id", "order_id")
+
+
+def rto_fact(t, dims=False):
+    """The risk fact; merchant columns only where a query asks for them."""
+    who = t.merchants().select("merchant_id", "tier", "segment") if dims else None
+    out = op.build_rto_fact(rto_orders(t), t.shipments(), t.risk_scores(), who, "order_id", SHIP_ORDER, SCORE_ORDER, ship_cols=["ship_date", "charge"])
+    return out.select(*RTO_COLS, *(["tier", "segment"] if dims else []))
 
 
 def order_status(t):
     """Orders with the state of their latest shipment: what needs no risk score does
     not pay for one."""
-    s = t.latest_shipments().select("order_id", "status")
+    s = t.latest_shipments("status")
     o = t.payments().drop("status").withColumnRenamed("payment_id", "order_id")
     return o.join(s, "order_id", "left").withColumn("status", F.coalesce("status", F.lit("not_shipped")))
 
 
 @query("d05_rto_fact", sql("rto", """
-SELECT order_id, merchant_id, created_date, CAST(amount AS DOUBLE) AS amount, method, period, status, ship_date, CAST(charge AS DOUBLE) AS charge,
-  result_flag, ml_flag, rule_flag, model_code, experimentation, CAST(tier AS BIGINT) AS tier, segment FROM rto"""), dates="created_date ship_date")
+SELECT r.order_id, merchant_id, created_date, CAST(amount AS DOUBLE) AS amount, method, period, r.status, r.ship_date, CAST(r.charge AS DOUBLE) AS charge,
+  r.result_flag, r.ml_flag, r.rule_flag, r.model_code, r.experimentation, CAST(tier AS BIGINT) AS tier, segment, s.supplier_id AS shipping_provider, CAST(s.line AS BIGINT) AS awb_line, s.part_id,
+  CAST(s.price AS DOUBLE) AS price, s.quantity, l.scored_date, n.shipments
+FROM rto r LEFT JOIN lship s ON r.order_id = s.order_id LEFT JOIN lscore l ON r.order_id = l.order_id LEFT JOIN (SELECT order_id, count(*) AS shipments FROM ship GROUP BY 1) n ON r.order_id = n.order_id"""),
+       dates="created_date ship_date scored_date")
 def _(t):
-    return rto_fact(t)
+    """Rebuilt for the orders of the last period; the earlier state of the fact keeps the others."""
+    dims = t.merchants().select("merchant_id", "tier", "segment")
+    ships = t.shipments().withColumnRenamed("supplier_id", "shipping_provider").withColumnRenamed("line", "awb_line")
+    order = ["ship_date", "awb_line", "part_id", "shipping_provider"]
+
+    def build(orders, prior=None):
+        return op.build_rto_fact(orders, ships, t.risk_scores(), dims, "order_id", order, SCORE_ORDER,
+                                 ship_cols=["ship_date", "charge", "shipping_provider", "awb_line", "part_id", "price", "quantity"], score_cols=["scored_date"],
+                                 ship_count="shipments", prior=prior)
+
+    post = F.col("period") == "Post"
+    return build(rto_orders(t).filter(post), build(rto_orders(t).filter(~post))).drop("priority", "success")
 
 
 EXP = """e AS (SELECT DISTINCT checkout_id, 'arm' AS experiment_name, arm AS experiment_value FROM ev
@@ -187,7 +236,8 @@ g AS (SELECT dt, event_type, count(DISTINCT old_id) AS old_ids, count(DISTINCT n
 SELECT *, round((new_ids - old_ids) / old_ids::DOUBLE, 6) AS diff_pct FROM g"""), dates="dt")
 def _(t):
     from ..operators.identity import session_reconcile
-    a = sessions(t).select("event_id", "dt", "event_type", F.col("session_id").alias("old_id"))
-    b = sessions(t, 4 * 3600).select("event_id", F.col("session_id").alias("new_id"))
-    out = session_reconcile(a.join(b, "event_id"), "old_id", "new_id", ["dt", "event_type"])
+    keys = ["merchant_id", "dt", "device_id"]
+    a = sessions(t).select(*keys, "ts", "event_id", "event_type", F.col("session_id").alias("old_id"))
+    b = op.sessionize(a, keys, "ts", "event_id", 4 * 3600).withColumnRenamed("session_id", "new_id")
+    out = session_reconcile(b, "old_id", "new_id", ["dt", "event_type"])
     return out.withColumn("diff_pct", F.round("diff_pct", 6))

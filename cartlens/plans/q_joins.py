@@ -75,7 +75,7 @@ def _(t):
 @query("j08_latest_row", sql("pay lship", """
 SELECT p.payment_id, p.method, s.status, s.ship_date FROM pay p LEFT JOIN lship s ON p.payment_id = s.order_id"""), dates="ship_date")
 def _(t):
-    s = t.latest_shipments().select(F.col("order_id").alias("payment_id"), F.col("status"), "ship_date")
+    s = t.latest_shipments("status", "ship_date").select(F.col("order_id").alias("payment_id"), F.col("status"), "ship_date")
     return t.payments().select("payment_id", "method").join(s, "payment_id", "left")
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as x
 from ..functions.grouped import complete_keys, latest_per_key
 from ..operators.facts import event_flags
+from ..operators.labels import LIBRARIES, MODELS, platform, upi_app
 from .registry import query
 from .views import sql
 
@@ -134,14 +135,6 @@ def _(t):
         (F.col("experimentation"), "safe")], "risky").alias("label"))
 
 
-def platform(kind, mobile):
-    """Device platform: SDK, mobile web, desktop, else NA."""
-    return x.first_match([
-        (kind == "mobile_sdk", "mobile_sdk"),
-        ((kind == "browser") & (mobile == "true"), "mweb"),
-        ((kind == "browser") & (mobile.isNull() | (mobile == "false")), "desktop_browser")], "NA")
-
-
 @query("p13_platform", sql("ev", """
 SELECT event_id, CASE WHEN k % 4 = 0 THEN 'mobile_sdk' WHEN k % 4 = 3 THEN 'NA' WHEN k % 3 = 0 THEN 'mweb'
   ELSE 'desktop_browser' END AS platform FROM ev"""))
@@ -160,29 +153,6 @@ def _(t):
         F.count("*").alias("n"))
 
 
-# Payment handle and package -> app
-HANDLES = {"Phonepe": ["ybl", "ibl", "axl"], "Paytm": ["paytm", "pthdfc", "ptsbi", "ptaxis", "ptyes"], "BHIM": ["upi"],
-           "Amazon Pay": ["apl"], "GooglePay": ["oksbi", "okhdfcbank", "okicici", "okaxis"]}
-PACKAGES = {"com.phonepe.app": "Phonepe", "net.one97.paytm": "Paytm", "in.org.npci.upiapp": "BHIM",
-            "com.google.android.apps.nbu.paisa.user": "GooglePay"}
-LATE_HANDLES = {"Phonepe": ["ybl", "ibl", "axl"], "GooglePay": ["oksbi", "okhdfcbank", "okicici", "okaxis"],
-                "Paytm": ["Paytm", "pthdfc", "ptsbi", "ptaxis", "ptyes"], "Cred": ["axisb"], "Axis Bank": ["axisbank"],
-                "BHIM": ["upi"], "Amazon Pay": ["apl", "yapl", "rapl"]}
-
-
-def upi_app(kind, handle, package, library):
-    """Payment app from type x provider handle x package; the first rule wins."""
-    kind = F.lower(kind)
-    pay = kind == "pay"
-    rules = [((kind == "collect") & handle.isin(h), app) for app, h in HANDLES.items()]
-    rules += [(pay & F.lower(package).contains("amazon"), "Amazon Pay")]
-    rules += [(pay & (package == p), app) for p, app in PACKAGES.items()]
-    late = [(handle.isin(h), app) for app, h in LATE_HANDLES.items()]
-    rules += late[:1] + [(pay & package.contains("dreamplug"), "Cred")] + late[1:]
-    rules += [(pay & (library != 1), "NA")]
-    return x.first_match(rules, "Others")
-
-
 @query("p15_rule_table", """
 t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'Collect' ELSE 'pay' END AS kind,
   (['ybl', 'paytm', 'upi', 'apl', 'okaxis', 'Paytm', 'axisb', 'axisbank', 'rapl', 'zzz'])[o_custkey % 10 + 1] AS handle,
@@ -208,12 +178,6 @@ def _(t):
     return d.select("id", upi_app(F.col("kind"), F.col("handle"), F.col("package"), F.col("library")).alias("app"))
 
 
-# Library and model codes. Code 2 is a vendor's own name: callers
-# that need it add it to the mapping; here it shows as UNKNOWN.
-LIBRARIES = {1: "CHECKOUTJS", 3: "S2S", 4: "CUSTOM", 5: "DIRECT", 6: "PUSH", 7: "LEGACYJS", 8: "HOSTED",
-             9: "EMBEDDED"}
-MODELS = {"category_5399": "Marketplace model", "category_5691": "Clothing model", "category_5977": "Cosmetics model",
-          "category_infrequent_mcc_group": "Generic RTO model", "acm": "Address model", "merchant_own": "Merchant model"}
 LIBRARIES_SQL = "CASE {c} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in LIBRARIES.items()) + " ELSE 'UNKNOWN' END"
 MODELS_SQL = "CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MODELS.items()) + " ELSE 'Other' END"
 

@@ -15,7 +15,7 @@ AS_OF = dt.date(1998, 3, 10)   # before the 14th: January is the last settled mo
 
 def insured_orders(t):
     """Orders with their latest shipment; rules derived from the order's columns."""
-    s = t.latest_shipments().select(F.col("order_id").alias("payment_id"), F.col("status").alias("ship_status"), "charge", "tax")
+    s = t.latest_shipments("status", "charge", "tax").select(F.col("order_id").alias("payment_id"), F.col("status").alias("ship_status"), "charge", "tax")
     o = t.payments().drop("status").join(s, "payment_id")
     i = F.col("payment_id")
     return o.select(

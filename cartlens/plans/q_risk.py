@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from ..functions.expr import bands, flag, rounded
 from ..functions.periods import period_start
 from ..operators import mix, risk as op, stats
+from ..operators.labels import MODELS
 from .q_activity import rounded_all
 from .q_aggregates import CHI_SQL
 from .q_facts import order_status, rto_fact
-from .q_projection import MODELS, MODELS_SQL
+from .q_projection import MODELS_SQL
 from ..functions.expr import code_name
 from .registry import query
 from .views import sql
@@ -38,7 +39,7 @@ def _(t):
 
 @query("d33_risky_rate_by_tier_model", sql("rto", risky_sql(["period", "tier", "model"], "REPLACE (CAST(tier AS BIGINT) AS tier)")))
 def _(t):
-    d = rto_fact(t).withColumn("model", code_name("model_code", MODELS, "Other"))
+    d = rto_fact(t, dims=True).withColumn("model", code_name("model_code", MODELS, "Other"))
     return rounded_all(op.risky_rate(d, ["period", "tier", "model"]), ["risky_rate"])
 
 
@@ -105,7 +106,7 @@ AVAIL = """g AS (SELECT CAST(date_trunc('month', created_date) AS DATE) AS perio
 @query("d37_shipping_availability", sql("rto", AVAIL.format(e="segment") + """
 SELECT period_start, e AS segment, orders, with_status, delivered, round(with_status::DOUBLE / orders, 6) AS availability FROM a"""), dates="period_start")
 def _(t):
-    out = op.shipping_availability(rto_fact(t), period_start("created_date", "month"), ["segment"], START, END)
+    out = op.shipping_availability(rto_fact(t, dims=True), period_start("created_date", "month"), ["segment"], START, END)
     return rounded_all(out, ["availability"])
 
 
@@ -144,7 +145,7 @@ FEATURES = ["is_cod", "tier", "big_amount"]
 
 
 def feature_rows(t):
-    return rto_fact(t).select(
+    return rto_fact(t, dims=True).select(
         "segment", flag(F.col("method") == "cod").alias("is_cod"), F.col("tier").cast("int").alias("tier"), flag(F.col("amount") > 250000).alias("big_amount"),
         flag(F.col("status") == "rto").alias("rto"))
 

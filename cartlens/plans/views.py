@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import flag, money, open_bands
@@ -25,6 +25,15 @@ MODEL_CODES = ["category_5399", "category_5691", "category_5977", "category_infr
                "merchant_own", "unlisted"]
 
 
+def arm_of(device: str) -> Column:
+    u = F.col(device)
+    return F.when((u % 10 == 9) | (F.floor(u / 10) % 2 == 0), "v1").otherwise("v2")
+
+
+def period_of(day: Column | str) -> Column:
+    return F.when((F.col(day) if isinstance(day, str) else day) <= F.lit(EVENTS_CUT), "Prev").otherwise("Post")
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -37,15 +46,14 @@ class Tables:
     def events(self) -> DataFrame:
         u = F.col("user_id")
         merchant = u % 10
-        group = F.floor(u / 10) % 2
         day = F.to_date("ts")
         return self.raw("events").select(
             "event_id", "ts", day.alias("dt"), merchant.alias("merchant_id"), u.alias("device_id"),
             F.concat(u.cast("string"), F.lit("-"), day.cast("string")).alias("checkout_id"),
             "event_type", "value",
             F.get_json_object("props", "$.k").try_cast("bigint").alias("k"),
-            F.when((merchant == 9) | (group == 0), "v1").otherwise("v2").alias("arm"),
-            F.when(day <= F.lit(EVENTS_CUT), "Prev").otherwise("Post").alias("period"),
+            arm_of("user_id").alias("arm"),
+            period_of(day).alias("period"),
         )
 
     def gappy_events(self) -> DataFrame:
@@ -59,7 +67,9 @@ class Tables:
         t = F.col("event_type")
         # Grouped by the key alone (its attributes are constant): joins and
         # groupings on checkout_id then need no second shuffle.
-        same = ["merchant_id", "device_id", "arm", "period", "dt"]
+        # Arm and period follow from device and day; as texts they would turn the
+        # aggregate into a sort.
+        same = ["merchant_id", "device_id", "dt"]
         fact = self.events().groupBy("checkout_id").agg(
             *[F.min(c).alias(c) for c in same],
             F.max(flag(t == "signup")).alias("open"),
@@ -73,7 +83,7 @@ class Tables:
             F.sum(money("value")).alias("gmv"),
         )
         return fact.select(
-            "*",
+            "*", arm_of("device_id").alias("arm"), period_of("dt").alias("period"),
             (F.col("max_k") < 50).alias("eligible"),
             (F.col("max_k") % 3).alias("platform"),
             (F.col("min_k") % 4).alias("browser"),
@@ -113,8 +123,9 @@ class Tables:
             money("l_extendedprice").alias("price"),
             F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
 
-    def latest_shipments(self) -> DataFrame:
-        return latest_per_key(self.shipments(), ["order_id"], ["ship_date", "line", "part_id", "supplier_id"])
+    def latest_shipments(self, *cols: str) -> DataFrame:
+        """Columns ``cols`` of each order's latest shipment; no other column is sorted or moved."""
+        return latest_per_key(self.shipments(), ["order_id"], ["ship_date", "line", "part_id", "supplier_id"], cols)
 
     def risk_scores(self) -> DataFrame:
         """Score events per order: two flags, either may be missing."""
