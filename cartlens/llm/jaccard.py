@@ -36,6 +36,8 @@ DEPTHS = 4
 SKETCH_BITS = 20
 SLICES = 64
 HUBS = 3
+#: A hub is compared if one in so many of the set's tokens is shared within the prefixes by the hub's order.
+FEWEST = 64
 BROADCAST_BYTES = 8 << 20
 
 _random = random.Random(1)
@@ -187,32 +189,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  pa.array([m[2].view(np.int64) for m in made], pa.list_(pa.int64()))], names=["key", "digest", "depth", "tokens"])
 
     chosen = rows.select("key", "text").mapInArrow(prefixes, "key long, digest binary, depth int, tokens array<long>").dropDuplicates(["key", "digest"])
-    prefix = written(chosen.join(classes, ["key", "digest"]).select("c", F.col("n").cast("int").alias("n"), "depth", "tokens"), "prefixes")
-
-    postings = prefix.select("c", "n", "depth", F.explode("tokens").alias("token"))
+    # The exchange of the prefixes is read twice: to count each token, and to keep the tokens that two classes or more have.
+    postings = chosen.join(classes, ["key", "digest"]).select("c", F.col("depth").cast("tinyint").alias("depth"), F.posexplode("tokens").alias("pos", "token"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token")
+    kept = written(postings.join(shared, "token"), "kept")
+    # Tokens of a prefix that no other class has can be in no overlap: ``alone`` of them.
+    each = kept.groupBy("c").agg(F.count("*").alias("known"), F.first("depth").alias("depth"))
+    each = each.join(classes.select("c", F.col("n").cast("int").alias("n")), "c").select(
+        "c", "n", "depth", (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("depth") - F.col("known")).cast("int").alias("alone"))
+    live = written(kept.select("c", "pos", "token").join(each, "c"), "live")
+
+    # First the hubs that share most tokens with a class, if they are not too few for a near copy; what this passes over is left to the pairs below.
+    # The hub of a token is a set with the fewest tokens of its own: in a group of near copies one that little was changed in.
     mask = F.element_at(F.lit(MASKS), (F.col("token").bitwiseAND(F.lit(7)) + 1).cast("int"))
-    shared = (postings.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.col("c").bitwiseXOR(mask)).alias("hub"))
-              .filter("lo < hi").select("token", F.col("hub").bitwiseXOR(mask).alias("hub")))
-    live = written(postings.join(shared, "token"), "live")
-
-    # First the hubs that share most tokens with a class.
-    met = live.filter("hub <> c").groupBy("c", "hub").agg(F.count("*").alias("m"))
+    hubs = live.groupBy("token").agg(F.min(F.struct("alone", F.col("c").bitwiseXOR(mask).alias("c"))).alias("hub")).select(
+        "token", F.col("hub.c").bitwiseXOR(mask).alias("hub"))
+    met = live.join(hubs, "token").filter("hub <> c").groupBy("c", "n", "hub").agg(F.count("*").alias("m")).filter(f"m * {FEWEST} >= n")
     best = met.withColumn("nth", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("m"), "hub"))).filter(F.col("nth") <= HUBS)
     stars = written(_verified(best.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")), classes, rows, width, percent), "stars")
     joined = components(stars)
 
     # Then every pair between different components that shares enough of both prefixes.
     root = F.coalesce("r", "c")
-    rooted = live.drop("hub").join(joined.withColumnRenamed("v", "c"), "c", "left").withColumn("root", root).drop("r")
+    rooted = live.join(joined.withColumnRenamed("v", "c"), "c", "left").withColumn("root", root).drop("r")
     apart = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     left = written(rooted.join(apart, "token", "left_semi"), "apart")
+    # A pair needs ``overlap`` tokens in common. The first of them lies where both sets have room for that many from there on, and tokens of its own leave a set
+    # less room. Such pairs must then share, in both prefixes, what the lower depth asks for and what the tokens behind the prefixes leave open.
     x, y = left.alias("x"), left.alias("y")
-    near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root"))
-                  & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
-    behind = lambda s: F.ceil(F.col(f"{s}.n") * percent / 100) - F.col(f"{s}.depth")  # noqa: E731  tokens after the prefix
     overlap = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent) - 1e-6)
+    room = lambda s: (F.col(f"{s}.pos") <= F.col(f"{s}.n") - overlap) & (F.col(f"{s}.n") - F.col(f"{s}.alone") >= overlap)
+    behind = lambda s: F.ceil(F.col(f"{s}.n") * percent / 100) - F.col(f"{s}.depth")
     least = F.greatest(F.least("x.depth", "y.depth"), overlap - F.greatest(behind("x"), behind("y")))
-    pairs = near.groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b"), least.alias("least")).agg(F.count("*").alias("m")).filter("m >= least")
+    near = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root")) & room("x") & room("y"))
+            .select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), least.alias("least")).distinct())
+    prefix = live.groupBy("c").agg(F.collect_list("token").alias("tokens"))  # no longer than the prefix of one text
+    shares = (near.join(prefix.select(F.col("c").alias("a"), F.col("tokens").alias("p")), "a")
+              .join(prefix.select(F.col("c").alias("b"), F.col("tokens").alias("q")), "b"))
+    pairs = shares.filter(F.size(F.array_intersect("p", "q")) >= F.col("least"))
     bridges = _verified(pairs, classes, rows, width, percent)
     final = components(stars.unionByName(bridges))
 
