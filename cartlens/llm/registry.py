@@ -21,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": neighbours.op10_neighbours,
 }
 ORACLES: dict[str, str] = {
+    "op2_jaccard": jaccard.OP2_SQL,
     "op6_contamination": contamination.OP6_SQL,
 }

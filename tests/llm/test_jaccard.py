@@ -102,3 +102,14 @@ def test_prefix_rule():
         need = -(-(len(x) + len(y)) * 75 // 175)
         least = max(min(dx, dy), need - max(len(x) - len(px), len(y) - len(py)))
         assert len(np.intersect1d(px, py)) >= least
+
+
+def test_query_matches_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    rel = con.sql(jaccard.OP2_SQL)
+    got = jaccard.op2_jaccard(spark, sf).select(*rel.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall())
