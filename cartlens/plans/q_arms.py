@@ -16,11 +16,12 @@ def attempt_rows(t):
     """Payment attempts: purchase and error events; a purchase succeeds."""
     return t.events().filter(F.col("event_type").isin("purchase", "error")).select(
         "checkout_id", F.col("event_id").alias("attempt_id"), (F.col("event_type") == "purchase").alias("success"),
-        (F.col("k") % 3).alias("gateway"), (F.col("k") % 7).alias("error_code"), "arm", "merchant_id")
+        (F.col("k") % 3).alias("gateway"), (F.col("k") % 7).alias("error_code"),
+        (F.col("k") % 2).alias("section"), (F.col("k") % 5).alias("app"), "arm", "merchant_id")
 
 
-ROWS = """r AS (SELECT c.checkout_id, c.merchant_id, c.device_id, c.arm, c.dt, c.eligible, c.platform, c.browser, c.submit AS submitted,
-    c.open, c.paid, e.event_id AS attempt_id, e.event_type = 'purchase' AS success, e.k % 3 AS gateway, e.k % 7 AS error_code
+ROWS = """r AS (SELECT c.checkout_id, c.merchant_id, c.device_id, c.arm, c.dt, c.eligible, c.platform, c.browser, c.os, c.submit AS submitted,
+    c.open, c.paid, e.event_id AS attempt_id, e.event_type = 'purchase' AS success, e.k % 3 AS gateway, e.k % 7 AS error_code, e.k % 2 AS section, e.k % 5 AS app
   FROM cf c LEFT JOIN ev e ON c.checkout_id = e.checkout_id AND e.event_type IN ('purchase', 'error'))"""
 
 
@@ -57,7 +58,7 @@ def compare(t, by, attempt_by):
 
 
 SLICES = {"date": (["dt"], [], "dt"), "merchant": (["merchant_id"], [], ""), "platform_browser": (["platform", "browser"], [], ""),
-          "gateway": ([], ["gateway"], "")}
+          "os": (["os"], [], ""), "gateway": ([], ["gateway"], ""), "method_section": ([], ["gateway", "section"], ""), "app": ([], ["app"], "")}
 for _slice, (_by, _att, _dates) in SLICES.items():
     query(f"d19_l0_compare_{_slice}", compare_sql(_by + _att), dates=_dates)(lambda t, by=_by, att=_att: compare(t, by, att))
 

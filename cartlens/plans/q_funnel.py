@@ -59,13 +59,20 @@ def with_reason(fact):
     return fact.withColumn("reason", op.dropoff_reason(is1("open"), is1("paid"), is1("submit"), is1("failed"), is1("render")))
 
 
-@query("d12_dropoff_mix", sql("cf", f"""
-r AS (SELECT platform, {REASON_SQL} AS reason, count(DISTINCT checkout_id) AS checkouts FROM cf GROUP BY 1, 2)
+# In this query it is not known of some checkouts whether contact or coupons were touched.
+@query("d12_dropoff_mix", sql("cf", """
+f AS (SELECT *, CASE WHEN max_k % 7 <> 0 THEN submit END AS contact, CASE WHEN max_k % 5 <> 0 THEN failed END AS coupon FROM cf),
+r AS (SELECT platform, CASE WHEN paid = 1 THEN 'Summary Screen CTA clicked' WHEN open = 0 THEN 'Summary Screen did not load'
+    WHEN contact = 1 AND coupon = 0 THEN 'Interacted w contact but not coupons' WHEN contact = 0 AND coupon = 1 THEN 'Interacted w coupons but not contact'
+    WHEN contact = 1 AND coupon = 1 THEN 'Interacted w both coupons and contact' WHEN contact = 0 AND coupon = 0 THEN 'Bounced w/o any interaction'
+    WHEN render = 1 THEN 'Exited to Edit Address' ELSE 'Others' END AS reason, count(DISTINCT checkout_id) AS checkouts FROM f GROUP BY 1, 2)
 SELECT platform, reason, checkouts, CAST(sum(checkouts) OVER (PARTITION BY platform) AS BIGINT) AS slice_total,
   round(CAST(checkouts AS DOUBLE) / sum(checkouts) OVER (PARTITION BY platform), 6) AS share FROM r"""))
 def _(t):
-    out = op.reason_mix(with_reason(t.checkouts()), ["platform"], "reason", "checkout_id")
-    return out.withColumn("share", rounded("share"))
+    known = lambda c, n: F.when(F.col("max_k") % n != 0, F.col(c) == 1)
+    c = t.checkouts()
+    reason = op.dropoff_reason(F.col("open") == 1, F.col("paid") == 1, known("submit", 7), known("failed", 5), F.col("render") == 1)
+    return op.reason_mix(c.withColumn("reason", reason), ["platform"], "reason", "checkout_id").withColumn("share", rounded("share"))
 
 
 METHODS = ["cod", "card", "upi"]
