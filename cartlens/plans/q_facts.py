@@ -53,18 +53,25 @@ def order_meta(t):
     return now.unionByName(before)
 
 
+#: Columns that no generated document fills.
+UNSET = ["is_mandatory_signup", "is_coupons_enabled", "available_coupons_count", "is_address_enabled", "address_screen_type", "saved_address_count", "shown_p13n",
+         "otp_reason", "opted_to_save_address", "is_new_address_saved", "is_saved_address", "address_id", "customer_id", "product_type", "utm_campaign"]
+
+
 @query("d01_normalize_events", sql("ev", f"""
 SELECT checkout_id, 'order_' || event_id AS order_id, CASE WHEN merchant_id <> 8 THEN merchant_id END AS merchant_id, event_id AS event_timestamp_raw,
   {NAME_SQL} AS event_name, epoch(ts)::BIGINT - (CASE WHEN epoch(ts)::BIGINT > epoch(ts) THEN 1 ELSE 0 END) AS event_timestamp,
   'browser' AS platform, 'Chrome' AS browser_name, CASE WHEN k % 3 = 0 THEN 'cod' WHEN k % 3 = 1 THEN 'card' END AS method,
   CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS logged_in, CAST(k AS VARCHAR) AS count_saved_cards, CAST(device_id AS VARCHAR) AS device_id,
   CASE WHEN event_type = 'purchase' AND k % 4 <> 0 THEN 'yes' ELSE 'no' END AS is_order_cod_eligible,
-  CASE WHEN event_id % 2 = 0 THEN 'src' || (k % 4) END AS utm_source, CASE WHEN event_id % 2 = 0 THEN 'ads' END AS utm_medium, dt AS producer_created_date
+  CASE WHEN event_id % 2 = 0 THEN 'src' || (k % 4) END AS utm_source, CASE WHEN event_id % 2 = 0 THEN 'ads' END AS utm_medium, dt AS producer_created_date,
+  'key_live_' || lpad(CAST(merchant_id AS VARCHAR), 14, '0') AS merchant_key, epoch_us(ts) // 1000000 AS producer_timestamp,
+  strftime(make_timestamp(epoch_us(ts) // 1000000 * 1000000), '%Y-%m-%d %H:%M:%S.%f') AS producer_time, 'home' AS first_screen_name, 'Android' AS device_os, 'live' AS is_test_mode,
+  'checkoutjs' AS library, CAST(-1 AS BIGINT) AS is_storefront, 'true' AS is_one_click, {", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in UNSET)}
 FROM ev WHERE dt BETWEEN DATE '2024-01-02' AND DATE '2024-01-28' AND k < 95 AND (k % 5 <> 0 OR k % 10 = 0)"""), dates="producer_created_date")
 def _(t):
     d = op.normalize_events(raw_events(t), key_table(t), order_meta(t), dt.date(2024, 1, 2), dt.date(2024, 1, 28))
-    return d.select("checkout_id", "order_id", "merchant_id", "event_timestamp_raw", "event_name", "event_timestamp", "platform", "browser_name", "method",
-                    "logged_in", "count_saved_cards", "device_id", "is_order_cod_eligible", "utm_source", "utm_medium", "producer_created_date")
+    return d
 
 
 SESSIONS = """s0 AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 1800000000 THEN 0 ELSE 1 END AS starts FROM ev
