@@ -100,12 +100,9 @@ def partner_orders(orders: DataFrame, meta: DataFrame, pay: DataFrame, order_id:
     tags = ["source", "medium", "campaign"]
     m = meta.select(order_id, *[json_text("value", f"$.utm_parameters.utm_{u}").alias(f"utm_{u}") for u in tags],
                     F.json_array_length(F.get_json_object("value", "$.line_items")).alias("line_items"))
-    d = orders.join(m, order_id, "left")
-    known = d.filter("in_range")
-    a = known.join(paid, order_id, "left")
-    b = paid.join(known.select(order_id), order_id, "left_anti").join(d, order_id, "left")
-    cols = [order_id, "receipt", *[f"utm_{u}" for u in tags], "line_items", "order_gmv"]
-    out = a.select(*cols).unionByName(b.select(*cols))
+    met = orders.join(m, order_id, "left").join(paid, order_id, "full")
+    out = met.filter(F.coalesce("in_range", F.lit(False)) | F.col("order_gmv").isNotNull()).select(
+        order_id, "receipt", *[f"utm_{u}" for u in tags], "line_items", "order_gmv")
     return out.withColumns({"placed": flag(F.col("order_gmv").isNotNull()), "order_gmv": F.coalesce("order_gmv", F.lit(0.0))})
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
-from ..functions.grouped import pivot_sum, with_totals
+from ..functions.grouped import pivot_sum, with_report_totals, with_totals
 from .stats import rows_to_reach
 
 
@@ -115,21 +115,16 @@ def vol_rate_impact(leaf: DataFrame, by: Sequence[str], within: Sequence[str] =
 def vol_rate_rollup(leaf: DataFrame, levels: Sequence[Sequence[str]], entity: str) -> DataFrame:
     """The two-factor split at the finest level, summed up to coarser levels, with
     each row's share of its entity's total impact. One row set per level."""
-    fine = vol_rate_impact(leaf, list(levels[-1]))
-    out = None
     every = list(levels[-1])
-    for level in levels:
-        g = fine.groupBy(*level).agg(*[F.sum(c).alias(c) for c in ["vol_impact", "rate_impact", "total_impact"]])
-        if entity in level:
-            g = with_totals(g, [entity], {"__e": F.sum("total_impact")})
-        else:
-            g = with_totals(g, [], {"__e": F.sum("total_impact")})
-        g = g.select(
-            F.lit("+".join(level)).alias("level"),
-            *[(F.col(c).cast("string") if c in level else F.lit(None).cast("string")).alias(c) for c in every],
-            "vol_impact", "rate_impact", "total_impact", ratio("total_impact", "__e").alias("entity_share"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    fine = vol_rate_impact(leaf, every)
+    sums = [F.sum(c).alias(c) for c in ["vol_impact", "rate_impact", "total_impact"]]
+    sets = fine.groupingSets([[F.col(c) for c in level] for level in levels], *every).agg(*sums, F.grouping_id().alias("__set"))
+    code = {"+".join(level): sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c not in level) for level in levels}
+    name = F.element_at(F.create_map(*[F.lit(x) for n, k in code.items() for x in (k, n)]), F.col("__set").cast("int"))
+    # a level without the entity has one total, as its entity is NULL throughout
+    totals = with_report_totals(sets, ["__set", entity], {"__e": F.sum("total_impact")})
+    return totals.select(name.alias("level"), *[F.col(c).cast("string").alias(c) for c in every], "vol_impact", "rate_impact", "total_impact",
+                         ratio("total_impact", "__e").alias("entity_share"))
 
 
 def model_impact(leaf: DataFrame, group: str) -> DataFrame:
