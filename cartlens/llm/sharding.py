@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import replace_column, shared_folder, table, written
 
-#: Bytes that a range should hold, and the fewest ranges for each shard.
-RANGE_BYTES = 32 << 20
+#: Bytes of text that a range should hold (its rows are sorted without their texts), and the fewest ranges for each shard.
+RANGE_BYTES = 512 << 20
 RANGES_PER_SHARD = 4
 #: Keys drawn for each range; a range with this many times its share is subdivided.
 DRAWN = 32
