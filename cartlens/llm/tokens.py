@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding in overlapping chunks.
 
 Texts of at most ``CHUNK`` characters are encoded as they are. A longer text is cut into chunks of ``CHUNK`` characters
-that each run ``OVERLAP`` characters into the next one. Every chunk is pre-tokenised on its own, in a task of its own.
+that each run ``OVERLAP`` characters into the next one. Every chunk is a row and is pre-tokenised on its own.
 A place where the pre-token starts of both neighbours agree in the overlap is where they have resynchronised: the pattern looks only
 forward, so from there on both give the same pre-tokens. The pieces between such places are encoded alone and their ids joined.
 A cut is made only after a character that is not white space; then the pattern's look-ahead sees the same in the piece as in the text.
@@ -26,11 +26,14 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, replace_column, table
+from .common import pieces, replace_column, table, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-CHUNK = 32768
+CHUNK = 65536
 OVERLAP = 2048
+#: The seams of all chunks are broadcast if they take no more than this, at so many bytes for each; beyond that the join shuffles.
+BROADCAST_BYTES = 16 << 20
+SEAM_BYTES = 80
 _pattern = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -57,28 +60,31 @@ def safe_starts(text: str, lo: int, hi: int) -> list[int]:
 
 
 def encode_long(df: DataFrame, chunk: int, overlap: int, ranks: str, width: int) -> DataFrame:
-    """(key, text) of long texts, to (key, ids): chunks, their stitches, the pieces, and the ids joined again."""
+    """(key, text) of long texts, to (key, ids): chunks, their stitches, the pieces, and the ids joined again.
+
+    Only the places of pre-token starts in the overlaps are exchanged between tasks, not the texts.
+    """
     step = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int")))
     cut = (df.select("key", "text", step.alias("part"))
-           .select("key", "part", F.expr(f"substring(text, part * {chunk} + 1, {chunk + overlap})").alias("text"))
-           .dropDuplicates(["key", "part"])
-           .repartition("key", "part"))
+           .select("key", "part", F.expr(f"substring(text, part * {chunk} + 1, {chunk + overlap})").alias("text")))
 
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [safe_starts(t, 0, len(t) - overlap // 4 if len(t) == chunk + overlap else len(t)) for t in b.text]
             yield pd.DataFrame({
-                "key": b.key, "part": b.part, "text": b.text,
+                "key": b.key, "part": b.part,
                 "head": [[x for x in f if x < overlap] if p else [] for p, f in zip(b.part, found)],
                 "tail": [[x - chunk for x in f if x >= chunk] for f in found]})
 
-    # Both neighbours name the starts in their common characters, counted from the later chunk's first one.
-    marked = cut.mapInPandas(starts, "key binary, part int, text string, head array<int>, tail array<int>")
-    before = marked.select("key", (F.col("part") + 1).alias("part"), F.col("tail").alias("before"))
-    after = marked.select("key", (F.col("part") - 1).alias("part"), F.col("head").alias("after"))
-    joined = marked.join(before, ["key", "part"], "left").join(after, ["key", "part"], "left")
-    ready = joined.select("key", "part", "text", F.expr("array_min(array_intersect(head, before))").alias("first"),
-                          F.expr("array_min(array_intersect(tail, after))").alias("last"), F.col("after").isNull().alias("end"))
+    # Both neighbours name the starts in their common characters, counted from the later chunk's first one; copies of a text name the same.
+    marks = written(cut.mapInPandas(starts, "key binary, part int, head array<int>, tail array<int>").dropDuplicates(["key", "part"]), "marks")
+    before = marks.select("key", (F.col("part") + 1).alias("part"), F.col("tail").alias("before"))
+    after = marks.select("key", (F.col("part") - 1).alias("part"), F.col("head").alias("after"))
+    seams = marks.join(before, ["key", "part"], "left").join(after, ["key", "part"], "left").select(
+        "key", "part", F.expr("array_min(array_intersect(head, before))").alias("first"),
+        F.expr("array_min(array_intersect(tail, after))").alias("last"), F.col("after").isNull().alias("end"))
+    seams = F.broadcast(seams) if marks.count() * SEAM_BYTES <= BROADCAST_BYTES else seams
+    ready = cut.join(seams, ["key", "part"]).select("key", "part", "text", "first", "last", "end")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(ranks)
@@ -93,7 +99,7 @@ def encode_long(df: DataFrame, chunk: int, overlap: int, ranks: str, width: int)
                     rows.append((key, part, False, None, text[lo:hi]))
             yield pd.DataFrame(rows, columns=["key", "part", "done", "ids", "text"])
 
-    done = ready.mapInPandas(encode, "key binary, part int, done boolean, ids binary, text string")
+    done = ready.mapInPandas(encode, "key binary, part int, done boolean, ids binary, text string").dropDuplicates(["key", "part"])
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         # Pieces that found no stitch at one side are neighbours: their texts are put together and encoded as one.
