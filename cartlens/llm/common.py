@@ -51,7 +51,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with at most ``most`` bytes in ``column`` (a longer row comes alone), so that the
     work arrays of a task stay small."""
     for batch in batches:
@@ -66,11 +66,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             at = to
 
 
+def in_pieces(column: pa.Array, make) -> pa.Array:
+    """``make`` of slices of a string column, put together again."""
+    whole = pa.RecordBatch.from_arrays([column], names=["x"])
+    return pa.concat_arrays([make(b.column("x")) for b in pieces(iter([whole]), "x")] or [make(column)])
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, 1 << 18), base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.multiply.accumulate(steps)
     return have[:n]

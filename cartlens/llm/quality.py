@@ -14,7 +14,6 @@ Rows without an id are never trained on. Without labelled rows every score is 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, replace_column, runs, span_hashes, table, utf8
+from .common import in_pieces, mix, replace_column, runs, span_hashes, table, utf8
 
 SCALE = 10.0
 FAMILIES = 3
@@ -152,16 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 16
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) and ``score``."""
     keep = replace_column(docs.select(*[f"`{c}`" for c in keep]) if keep is not None else docs, "score")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    schema = rows.drop("__text").schema.add("score", "double")
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "__text"):
-            data, bounds = utf8(b.column("__text"))
-            cols = [b.column(i) for i, name in enumerate(b.schema.names) if name != "__text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(data, bounds))], names=[*keep, "score"])
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return in_pieces(text, lambda part: pa.array(model.score(*utf8(part))))
 
-    return rows.mapInArrow(scored, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], score(F.col(f"`{text_col}`")).alias("score"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

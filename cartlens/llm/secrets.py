@@ -24,9 +24,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import mix, pieces, replace_column, runs, span_hashes, table, utf8
+from .common import in_pieces, mix, replace_column, runs, span_hashes, table, utf8
 from .quality import BYTE_CLASS
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -263,54 +262,52 @@ def field_spans(field: Field, data: np.ndarray, bounds: np.ndarray) -> dict[int,
     return found
 
 
+def all_spans(field: Field | None, texts: pa.Array) -> list[list[tuple[int, str, int]]]:
+    """(start, kind, end) of every span of each text, in code points, by start and kind."""
+    more = field_spans(field, *utf8(texts)) if field else {}
+    out = []
+    for i, text in enumerate(texts.to_pylist()):
+        spans = [(s, k, e) for s, k, e, _ in base_spans(text)] if text else []
+        if i in more:
+            raw, base = text.encode(), list(spans)
+            for lo, hi in more[i]:
+                lo, hi = len(raw[:lo].decode(errors="ignore")), len(raw[:hi].decode(errors="ignore"))
+                if hi > lo and not any(s < hi and lo < e for s, _, e in base):
+                    spans.append((lo, "crf", hi))
+            spans.sort(key=lambda s: (s[0], KINDS.index(s[1])))
+        out.append(spans)
+    return out
+
+
 def scan(docs: DataFrame, field: Field | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) and ``found``: (kind, start, end) of every span in code points, end exclusive."""
     keep = replace_column(docs.select(*[f"`{c}`" for c in keep]) if keep is not None else docs, "found")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "__text"):
-            data, bounds = utf8(b.column("__text"))
-            more = field_spans(field, data, bounds) if field else {}
-            out = []
-            for i, text in enumerate(b.column("__text").to_pylist()):
-                spans = [(s, k, e) for s, k, e, _ in base_spans(text)] if text else []
-                if i in more:
-                    raw, base = text.encode(), list(spans)
-                    for lo, hi in more[i]:
-                        lo, hi = len(raw[:lo].decode(errors="ignore")), len(raw[:hi].decode(errors="ignore"))
-                        if hi > lo and not any(s < hi and lo < e for s, _, e in base):
-                            spans.append((lo, "crf", hi))
-                    spans.sort(key=lambda s: (s[0], KINDS.index(s[1])))
-                out.append([{"kind": k, "start": s, "end": e} for s, k, e in spans])
-            cols = [b.column(j) for j, c in enumerate(b.schema.names) if c != "__text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, kind)], names=[*keep, "found"])
-
-    return rows.mapInArrow(find, T.StructType([*rows.drop("__text").schema.fields, T.StructField("found", span)]))
+    @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
+    def find(text: pa.Array) -> pa.Array:
+        return in_pieces(text, lambda part: pa.array([[{"kind": k, "start": s, "end": e} for s, k, e in x] for x in all_spans(field, part)], kind))
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], find(F.col(f"`{text_col}`")).alias("found"))
 
 
 def masked(docs: DataFrame, field: Field | None, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mask`` (overlapping spans by one); rows and columns stay."""
 
-    @F.pandas_udf("string")
-    def cover(text: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, spans in zip(text, found):
-            at, parts = 0, []
-            for s in sorted(spans, key=lambda s: (s["start"], -s["end"])) if t else ():
-                if s["start"] >= at:
-                    parts += [t[at:s["start"]], mask]
-                at = max(at, s["end"])
-            out.append(t if not parts else "".join(parts) + t[at:])
-        return pd.Series(out)
-
-    names = [c for c in docs.columns]
-    hit = F.size("found") > 0
+    def covered(text: str | None, spans: list[tuple[int, str, int]]) -> str | None:
+        at, parts = 0, []
+        for s, _, e in sorted(spans, key=lambda s: (s[0], -s[2])):
+            if s >= at:
+                parts += [text[at:s], mask]
+            at = max(at, e)
+        return "".join(parts) + text[at:] if parts else text
+
+    @F.arrow_udf("string")
+    def cover(text: pa.Array) -> pa.Array:
+        return in_pieces(text, lambda part: pa.array([covered(t, s) for t, s in zip(part.to_pylist(), all_spans(field, part))], pa.string()))
+
     text = F.col(f"`{text_col}`")
-    return scan(docs, field, text_col).select(
-        *[(F.when(hit, cover(text, F.col("found"))).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in names if c != "found"])
+    return docs.select(*[cover(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
