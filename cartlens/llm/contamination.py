@@ -113,14 +113,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     items, terms = vocabulary(benchmark, id_col, benchmark_text)
     hits = written(occurrences(items, terms, build_index(keyed(docs, text_col), terms), window).distinct(), "hits")
     n_hit = hits.select("key", "pos").distinct().groupBy("key").agg(F.count("*").alias("__hit"))
-    found = hits.select("key", "item_id").distinct().groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("__items"))
+    listed = hits.select("key", "item_id").distinct().groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    # One row of fixed width for each text that is hit: texts are moved only if these are too many to send round.
+    result = written(n_hit.join(listed, "key", "left").select(
+        "key", "__hit", F.size(F.coalesce("ids", F.array().cast("array<string>"))).alias("__n"),
+        F.sha2(F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ","), 256).alias("__sha")), "result")
     own = [F.col(f"`{c}`") for c in replace_column(docs, *RESULTS) if keep_text or c != text_col]
     text = F.col(f"`{text_col}`")
     rows = docs.select(*own, F.unhex(F.md5(text)).alias("key"), F.size(words(text)).cast("long").alias("n_words"))
-    ids = F.coalesce("__items", F.array().cast("array<string>"))
     hit = F.coalesce("__hit", F.lit(0)).cast("long")
-    return rows.join(n_hit.join(found, "key", "left"), "key", "left").select(
-        *own, "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+    return rows.join(small(result, 160), "key", "left").select(
+        *own, "n_words", hit.alias("n_hit"), F.coalesce("__n", F.lit(0)).cast("long").alias("n_items"), F.coalesce("__sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((hit > 0) & (hit * share >= F.col("n_words"))).alias("contaminated"))
 
 

@@ -189,8 +189,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  pa.array([m[2].view(np.int64) for m in made], pa.list_(pa.int64()))], names=["key", "digest", "depth", "tokens"])
 
     chosen = rows.select("key", "text").mapInArrow(prefixes, "key long, digest binary, depth int, tokens array<long>").dropDuplicates(["key", "digest"])
-    # The exchange of the prefixes is read twice: to count each token, and to keep the tokens that two classes or more have.
-    postings = chosen.join(classes, ["key", "digest"]).select("c", F.col("depth").cast("tinyint").alias("depth"), F.posexplode("tokens").alias("pos", "token"))
+    prefixed = written(chosen.join(classes, ["key", "digest"]).select("c", F.col("depth").cast("tinyint").alias("depth"), "tokens"), "prefixes")
+    # Read twice: to count each token, and to keep the tokens that two classes or more have.
+    postings = prefixed.select("c", "depth", F.posexplode("tokens").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token")
     kept = written(postings.join(shared, "token"), "kept")
     # Tokens of a prefix that no other class has can be in no overlap: ``alone`` of them.
@@ -239,3 +240,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM doc),
+size AS (SELECT r, count(*) AS n FROM shingle GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS o FROM shingle a JOIN shingle b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+link AS (SELECT x, y FROM shared JOIN size p ON p.r = x JOIN size q ON q.r = y WHERE 100 * o >= 75 * (p.n + q.n - o)),
+reach(r, t) AS (SELECT r, r FROM doc UNION SELECT reach.r, y FROM reach JOIN link ON t = x)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(e.doc_id) AS component_id
+FROM doc d JOIN reach USING (r) JOIN doc e ON e.r = t LEFT JOIN size ON size.r = d.r GROUP BY d.r, d.doc_id
+"""

@@ -14,7 +14,6 @@ Null and empty texts have no spans. Repeated rows and ids each get a row. Clashi
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass

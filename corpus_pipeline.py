@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.llm import contamination, jaccard, quality, secrets, tokens
-from cartlens.llm.common import table, written
+from cartlens.llm.common import small_batches, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,6 +24,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id (rows without an id last); documents without words stay."""
+    small_batches(spark)
     tagged = docs.withColumn("__row", F.xxhash64(*docs.columns))
     found = written(jaccard.near_duplicates(tagged, tag=F.col("__row")), "groups")
     # Equal rows share the tag: of those that stay, one is kept.
@@ -32,8 +33,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     wordless = found.filter("n_shingles = 0").select("tag").distinct()
     copies = found.filter("n_shingles > 0").groupBy("tag").agg(F.count("*").alias("copies"))
     stay = written(wordless.withColumn("copies", F.lit(1)).unionByName(first.distinct().join(copies, "tag")).withColumnRenamed("tag", "__row"), "stay")
-    once = tagged.join(stay.filter("copies = 1").select("__row"), "__row", "left_semi")
-    more = tagged.join(stay.filter("copies > 1").select("__row"), "__row", "left_semi").dropDuplicates(["__row"])
+    # Whole rows are moved only if the tags are too many to send round.
+    once = tagged.join(jaccard.small(stay.filter("copies = 1").select("__row"), 16), "__row", "left_semi")
+    more = tagged.join(jaccard.small(stay.filter("copies > 1").select("__row"), 16), "__row", "left_semi").dropDuplicates(["__row"])
     return once.unionByName(more).select(docs.columns)
 
 
@@ -44,13 +46,15 @@ def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret span masked and ``n_chars`` counted anew where the text changed."""
-    clean = secrets.masked(docs.withColumn("__n", F.length("text")), secrets.train(docs))
-    n = F.when(F.length("text") == F.col("__n"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    small_batches(spark)
+    clean = secrets.masked(docs.withColumn("__text", F.col("text")), secrets.train(docs))
+    n = F.when(F.col("text").eqNullSafe(F.col("__text")), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return clean.withColumn("n_chars", n).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text with their digests, beside the other columns."""
+    small_batches(spark)
     return tokens.digests(tokens.encode(docs), keep_ids=True)
 
 
