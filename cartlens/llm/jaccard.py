@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = prefixed.select("c", "depth", F.posexplode("tokens").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token")
     kept = written(postings.join(shared, "token"), "kept")
-    # Tokens of a prefix that no other class has can be in no overlap: ``alone`` of them.
+    # ``alone`` tokens of a prefix are in no other prefix. Such a token can still lie behind the end of another set's prefix.
     each = kept.groupBy("c").agg(F.count("*").alias("known"), F.first("depth").alias("depth"))
     each = each.join(classes.select("c", F.col("n").cast("int").alias("n")), "c").select(
         "c", "n", "depth", (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("depth") - F.col("known")).cast("int").alias("alone"))
@@ -215,14 +215,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = live.join(joined.withColumnRenamed("v", "c"), "c", "left").withColumn("root", root).drop("r")
     apart = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     left = written(rooted.join(apart, "token", "left_semi"), "apart")
-    # A pair needs ``overlap`` tokens in common. The first of them lies where both sets have room for that many from there on, and tokens of its own leave a set
-    # less room. Such pairs must then share, in both prefixes, what the lower depth asks for and what the tokens behind the prefixes leave open.
+    # A pair needs ``overlap`` tokens in common. The first of them lies where both sets have room for that many from there on. Of the set whose prefix ends first in
+    # the order, what the other has of that prefix is in the other's prefix too: there, tokens alone are in no overlap. Which of the two that is, is not known here, so
+    # one set with room for the overlap besides its tokens alone is enough.
+    # Such pairs must then share, in both prefixes, what the lower depth asks for and what the tokens behind the prefixes leave open.
     x, y = left.alias("x"), left.alias("y")
     overlap = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent) - 1e-6)
-    room = lambda s: (F.col(f"{s}.pos") <= F.col(f"{s}.n") - overlap) & (F.col(f"{s}.n") - F.col(f"{s}.alone") >= overlap)
+    early = lambda s: F.col(f"{s}.pos") <= F.col(f"{s}.n") - overlap
+    room = lambda s: F.col(f"{s}.n") - F.col(f"{s}.alone") >= overlap
     behind = lambda s: F.ceil(F.col(f"{s}.n") * percent / 100) - F.col(f"{s}.depth")
     least = F.greatest(F.least("x.depth", "y.depth"), overlap - F.greatest(behind("x"), behind("y")))
-    near = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root")) & room("x") & room("y"))
+    apart_now = (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root"))
+    near = (x.join(y, (F.col("x.token") == F.col("y.token")) & apart_now & early("x") & early("y") & (room("x") | room("y")))
             .select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), least.alias("least")).distinct())
     prefix = live.groupBy("c").agg(F.collect_list("token").alias("tokens"))  # no longer than the prefix of one text
     shares = (near.join(prefix.select(F.col("c").alias("a"), F.col("tokens").alias("p")), "a")

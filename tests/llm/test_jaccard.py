@@ -113,3 +113,30 @@ def test_query_matches_sql(spark):
     rel = con.sql(jaccard.OP2_SQL)
     got = jaccard.op2_jaccard(spark, sf).select(*rel.columns).collect()
     assert sorted(map(tuple, got)) == sorted(rel.fetchall())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_nested_texts_and_growing_chains(spark, seed):
+    """A long text within a longer one shares few tokens of the longer prefix; most of its own prefix lies behind that one's end."""
+    rng = random.Random(seed)
+    fresh = iter(range(10 ** 6))
+
+    def words(n):
+        return [f"v{next(fresh)}" for _ in range(n)]
+
+    rows, start = [], words(304)
+    rows += [start, start + words(100)]
+    for n in (304, 340, 600, 1204):
+        text, more = words(n), words((n - 4) // 3 - rng.choice([0, 1, 4]))
+        at = rng.randrange(n)
+        rows += [text, rng.choice([more + text, text + more, text[:at] + more[4:] + text[at:]])]
+    for _ in range(3):
+        text = start[:200] + words(140)
+        for _ in range(4):
+            rows.append(text)
+            text = text + words((len(text) - 4) // 3 - rng.choice([0, 2]))
+    rows.append(start[:200] + words(30))
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    got, want = both(spark, [(i, " ".join(t)) for i, t in zip(ids, rows)])
+    assert got == want and got[0][1] == got[1][1]
