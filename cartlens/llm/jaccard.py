@@ -149,7 +149,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None, width: int = WIDTH,
                     percent: int = PERCENT) -> DataFrame:
-    """(id, tag, n_shingles, component_id) of each row; ``tag`` is a long column of ``docs`` that is handed on."""
+    """(id, tag, n_shingles, component_id, root) of each row; ``tag`` is a long column of ``docs`` that is handed on.
+
+    ``root`` is unique for each component, also where ids are missing or repeat (null without a set); its values differ from run to run.
+    """
     ident = F.col(f"`{id_col}`").cast("long")
     rows = docs.select(ident.alias("id"), F.coalesce(ident, F.lit(-(1 << 63))).alias("key"), (tag if tag is not None else F.lit(0)).cast("long").alias("tag"),
                        F.col(f"`{text_col}`").alias("text"))
@@ -237,9 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = classes.join(final.withColumnRenamed("v", "c"), "c", "left").withColumn("root", root)
     least_id = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_digest = named.join(least_id, "root").select("digest", "component_id", F.lit(True).alias("has"))
+    of_digest = named.join(least_id, "root").select("digest", "component_id", "root")
     return members.join(of_digest, "digest", "left").select(
-        "id", "tag", F.col("n").alias("n_shingles"), F.when(F.col("has"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        "id", "tag", F.col("n").alias("n_shingles"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "root")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,12 +23,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id (rows without an id last); documents without words stay."""
+    """Of each group of near copies the document with the smallest id (rows without an id last); documents without words stay.
+
+    Groups are those of the texts: unlinked texts that carry one id stay apart, and near copies without an id are a group like any other.
+    """
     small_batches(spark)
     tagged = docs.withColumn("__row", F.xxhash64(*docs.columns))
     found = written(jaccard.near_duplicates(tagged, tag=F.col("__row")), "groups")
     # Equal rows share the tag: of those that stay, one is kept.
-    first = found.filter("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("tag")).alias("own")).agg(
+    first = found.filter("n_shingles > 0").groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "tag")).alias("f")).select("f.tag")
     wordless = found.filter("n_shingles = 0").select("tag").distinct()
     copies = found.filter("n_shingles > 0").groupBy("tag").agg(F.count("*").alias("copies"))

@@ -95,3 +95,14 @@ def test_empty_documents(spark, tmp_path):
         os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
     pq.write_table(pq.read_table(f"{SF}/documents.parquet").slice(0, 0), tmp_path / "documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_groups_do_not_hang_on_ids(spark):
+    """Unlinked texts with one id all stay; of near copies none of which has an id one stays."""
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = [(5, " ".join(f"t{k}w{i}" for i in range(20))) for k in range(4)] + [(None, near), (None, near + " end"), (None, near), (None, "alone " * 6), (8, ""), (5, "x y z"), (6, "x y z"), (None, "x y z")]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r[0] or 0, r[1]) for r in rows_of(pipeline.one_of_each(spark, docs, SF)))
+    assert [r for r in got if r[0]] == sorted([*rows[:4], (5, "x y z"), (8, "")])
+    nameless = [t for i, t in got if not i]
+    assert len(nameless) == 2 and "alone " * 6 in nameless and {near, near + " end"} & set(nameless)
