@@ -1,8 +1,10 @@
-"""Licence scan: sparse TF-IDF cosine of licence lines and files to templates, then inheritance from the nearest ancestor directory.
+"""Licence scan: sparse TF-IDF cosine of licence passages to templates, then inheritance from the nearest ancestor directory.
 
-A passage is a line of a text that holds a cue word; every line of the whole text is looked at. Its vector has the template words it holds, weighted by
-count times inverse passage frequency over the whole table, and its other words as one dimension each with the weight of a word that no other passage holds.
-A text's own licence is the template of the greatest cosine over its passages, if that reaches ``least`` (ties: the smaller name).
+Passages are the lines that hold a cue word, and windows of the text's words, across line ends, laid so that a cue word of the text meets one of the template; a window is
+as long as its template, so words around a notice do not count against it. Terms are words and pairs of words, weighted by count times inverse frequency over the
+licences of the templates; a word that no template has weighs as one that a single licence has. So a text's result depends on nothing but the text and the templates.
+A template counts only where the passage holds a term that tells it from each similar template of another licence: a notice without the version that
+two licences differ by is neither. A text's own licence is that of the greatest cosine over its passages, if that reaches ``least`` (ties: the smaller name).
 
 A file whose name begins with LICENSE, LICENCE or COPYING speaks for its directory. Every other file without an own licence takes that of the nearest
 directory above it that has one (its own directory first; of several licence files in a directory the best match, then the smaller name).
@@ -47,60 +49,96 @@ TEMPLATES = [
 CUE = re.compile(r"licen[sc]|copyright|redistribut|permission is hereby|SPDX", re.I)
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying)"
 LEAST = 0.5
+#: Templates of this cosine or more are similar: a term must tell them apart.
+SIMILAR = 0.5
 _word = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_version = re.compile(r"\b(gpl)?v(?:ersion|er|\.)?\s*(?=\d)")
+_zero = re.compile(r"(?<=\d)\.0\b(?!\.\d)")
+_cue_word = re.compile(r"licen[sc]|copyright|redistribut|permission")
 
 
-def terms(text: str) -> Counter:
-    """Words (version numbers and hyphenated names are one) and pairs of words, in lower case."""
-    words = _word.findall(text.lower())
+def words_of(text: str) -> list[str]:
+    """Words (hyphenated names are one) in lower case; versions in one form: ``v3``, ``v. 3.0`` and ``version 3`` are the words version and 3."""
+    return _word.findall(_zero.sub("", _version.sub(lambda m: f"{m[1] or ''} version ", text.lower())))
+
+
+def counted(words: list[str]) -> Counter:
     return Counter(words) + Counter(map(" ".join, zip(words, words[1:])))
 
 
-def passages(text: str | None) -> list[str]:
-    return [line for line in text.splitlines() if CUE.search(line)] if text and CUE.search(text) else []
+def cues(words: list[str]) -> list[tuple[int, str]]:
+    """(position, kind) of each cue word."""
+    return [(i, m[0]) for i, m in enumerate(map(_cue_word.search, words)) if m]
+
+
+class Matcher:
+    """Fixed vectors of the templates; plain data, sent to the tasks."""
+
+    def __init__(self, templates: list[tuple[str, str]], least: float) -> None:
+        self.least = least
+        words = [words_of(t) for _, t in templates]
+        names, known = [name for name, _ in templates], [counted(w) for w in words]
+        held: dict[str, set] = {}
+        for name, counts in zip(names, known):
+            for t in counts:
+                held.setdefault(t, set()).add(name)
+        total = len(set(names))
+        self.weight = {t: math.log((1 + total) / (1 + len(of))) + 1 for t, of in held.items()}
+        self.other = math.log((1 + total) / 2) + 1
+        vectors = [self.vector(counts) for counts in known]
+        self.templates = []
+        for i, (name, w, (vector, norm)) in enumerate(zip(names, words, vectors)):
+            unit = {t: x / norm for t, x in vector.items()}
+            tells = [frozenset(known[i].keys() - known[j].keys()) for j, (v, n) in enumerate(vectors)
+                     if names[j] != name and sum(x * v.get(t, 0.0) for t, x in unit.items()) >= SIMILAR * n]
+            at: dict[str, list[int]] = {}
+            for p, kind in cues(w):
+                at.setdefault(kind, []).append(p)
+            self.templates.append((name, len(w), unit, tells, at, [(t.split(" "), x * x) for t, x in unit.items()]))
+        self.reach = max((len(w) for w in words), default=0)
+
+    def vector(self, counts: Counter) -> tuple[dict[str, float], float]:
+        vector = {t: n * self.weight.get(t, self.other) for t, n in counts.items()}
+        return vector, math.sqrt(sum(x * x for x in vector.values())) or 1.0
+
+    def cosine(self, vector: dict[str, float], norm: float, unit: dict[str, float], tells: list[frozenset]) -> float:
+        if any(t.isdisjoint(vector) for t in tells):
+            return 0.0
+        few, many = sorted((unit, vector), key=len)
+        return min(1.0, sum(x * many[t] for t, x in few.items() if t in many) / norm)
+
+    def best(self, text: str | None) -> tuple[str | None, float | None]:
+        if not text or not CUE.search(text):
+            return None, None
+        top = (0.0, "")
+        for line in {x for x in text.splitlines() if CUE.search(x)}:
+            vector, norm = self.vector(counted(words_of(line)))
+            for name, _, unit, tells, _, _ in self.templates:
+                top = min(top, (-self.cosine(vector, norm, unit, tells), name))
+        words = words_of(text)
+        seen = set()
+        for i, kind in cues(words):
+            around = set(words[max(0, i - self.reach):i + self.reach])
+            for k, (name, n, unit, tells, at, parts) in enumerate(self.templates):
+                # No cosine is greater than the root of the squares of the template's terms at hand.
+                if kind not in at or sum(x for t, x in parts if around.issuperset(t)) < self.least ** 2:
+                    continue
+                for start in {max(0, i - p) for p in at[kind]}:
+                    if (k, start) not in seen:
+                        seen.add((k, start))
+                        top = min(top, (-self.cosine(*self.vector(counted(words[start:start + n])), unit, tells), name))
+        return (top[1], -top[0]) if top[1] and -top[0] >= self.least else (None, None)
 
 
 def own_licences(files: DataFrame, text_col: str, templates: list[tuple[str, str]], least: float) -> DataFrame:
     """``files`` without the text, plus licence and cosine by its own passages (null below ``least``)."""
-    known = [(name, terms(t)) for name, t in templates]
-    vocabulary = set().union(*(counts for _, counts in known))
+    matcher = Matcher(templates, least)
     keep = [c for c in replace_column(files, "licence", "cosine") if c != text_col]
     rows = files.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for b in batches:
-            for text in b.column("__text").to_pylist():
-                for p in passages(text):
-                    held[""] += 1
-                    held.update(vocabulary & terms(p).keys())
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
-
-    # At most one row for each template word.
-    found = {r.term: r.n for r in rows.select("__text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total = found.pop("", 0)
-    weight = {t: math.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in sorted(vocabulary)}
-    other = math.log(1 + total) + 1
-    vectors = []
-    for name, counts in known:
-        vector = {t: n * weight[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in vector.values()))
-        vectors.append((name, {t: w / norm for t, w in vector.items()}))
-
-    def best(text: str | None) -> tuple[str | None, float | None]:
-        top = (0.0, "")
-        for p in set(passages(text)):
-            counts = terms(p)
-            vector = {t: n * weight.get(t, other) for t, n in counts.items()}
-            norm = math.sqrt(sum(w * w for w in vector.values())) or 1.0
-            for name, of in vectors:
-                cosine = sum(w * of[t] for t, w in vector.items() if t in of) / norm
-                top = min(top, (-cosine, name))
-        return (top[1], -top[0]) if -top[0] >= least else (None, None)
-
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "__text"):
-            found = [best(text) for text in b.column("__text").to_pylist()]
+            found = [matcher.best(text) for text in b.column("__text").to_pylist()]
             made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], names=[*keep, "licence", "cosine"])
 

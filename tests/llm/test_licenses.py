@@ -32,3 +32,17 @@ def test_every_template_finds_itself(spark):
 def test_query(spark):
     got = licenses.op7_licences(spark, "/root/testdata/sf0.01").collect()
     assert len(got) == 1000 and {"MIT", "GPL-3.0"} <= {r.licence for r in got}
+
+
+def found(spark, texts, fill=0):
+    rows = [(i, f"d{i}/x.py", t) for i, t in enumerate(texts)] + [(-1, "f/y.py", f"a line {k} with a licence word and no notice") for k in range(fill)]
+    return [r.licence for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string")).filter("id >= 0").orderBy("id").collect()]
+
+
+def test_notices_in_small_and_large_tables(spark):
+    """A notice among other words, within a long line or over two lines is found whatever else the table holds."""
+    texts = ["The code is licensed under the Apache License, Version 2.0.", "This file is licensed under the GNU General Public License, version 3",
+             "Released under the MIT License by Acme.", "w " * 5000 + "it is licensed under CC BY-SA 4.0 as " + "x " * 5000,
+             "# This work is licensed under the\n# GNU Lesser General Public License, v2.1 only", "you need a driving license to drive", "copyright 2020, all rights reserved"]
+    want = ["Apache-2.0", "GPL-3.0", "MIT", "CC-BY-SA-4.0", "LGPL-2.1", None, None]
+    assert found(spark, texts) == found(spark, texts, 20000) == want
