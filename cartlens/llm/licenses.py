@@ -5,6 +5,7 @@ as long as its template, so words around a notice do not count against it. Terms
 licences of the templates; a word that no template has weighs as one that a single licence has. So a text's result depends on nothing but the text and the templates.
 A template counts only where the passage holds a term that tells it from each similar template of another licence: a notice without the version that
 two licences differ by is neither. A text's own licence is that of the greatest cosine over its passages, if that reaches ``least`` (ties: the smaller name).
+The expression of an ``SPDX-License-Identifier`` counts as a cosine of 1; ``-only``, ``-or-later`` and ``+`` are left out as in the templates.
 
 A file whose name begins with LICENSE, LICENCE or COPYING speaks for its directory. Every other file without an own licence takes that of the nearest
 directory above it that has one (its own directory first; of several licence files in a directory the best match, then the smaller name).
@@ -27,24 +28,46 @@ from pyspark.sql import types as T
 
 from .common import pieces, replace_column, table, written
 
-# Short notices by which files name common licences; a licence can have several.
+# Notices and titles by which files name common licences, and the short licences whole; a licence can have several.
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+shall be included in all copies or substantial portions of the Software."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+notice and this permission notice appear in all copies."""
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. """
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission. """
+BSD_END = "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties are disclaimed."
+GNU = [("GPL-2.0", "General", "2", "June 1991"), ("GPL-3.0", "General", "3", "29 June 2007"), ("LGPL-2.0", "Library General", "2", "June 1991"), ("LGPL-2.1", "Lesser General", "2.1", "February 1999"),
+       ("LGPL-3.0", "Lesser General", "3", "29 June 2007"), ("AGPL-3.0", "Affero General", "3", "19 November 2007")]
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+      "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 TEMPLATES = [
+    ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("MIT", MIT_TEXT),
+    ("ISC", ISC_TEXT),
+    ("BSD-2-Clause", BSD_HEAD + BSD_END),
+    ("BSD-3-Clause", BSD_HEAD + BSD_THIRD + BSD_END),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    *((name, text.format(kind, version, dated)) for name, kind, version, dated in GNU for text in (
+        "This work is licensed under the GNU {0} Public License, version {1}.",
+        "You can redistribute it and/or modify it under the terms of the GNU {0} Public License as published by the Free Software Foundation, either version {1} "
+        "of the License, or (at your option) any later version.",
+        "GNU {0} Public License Version {1}, {2}")),
+    *((f"CC-{short}-{version}", text.format(short, long, version)) for version in ("4.0", "3.0", "2.0") for short, long in CC.items() for text in (
+        "Licensed under CC {0} {2}.", "This work is licensed under a Creative Commons {1} {2} International License.")),
 ]
 CUE = re.compile(r"licen[sc]|copyright|redistribut|permission is hereby|SPDX", re.I)
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying)"
@@ -55,6 +78,7 @@ _word = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _version = re.compile(r"\b(gpl)?v(?:ersion|er|\.)?\s*(?=\d)")
 _zero = re.compile(r"(?<=\d)\.0\b(?!\.\d)")
 _cue_word = re.compile(r"licen[sc]|copyright|redistribut|permission")
+_spdx = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)", re.I)
 
 
 def words_of(text: str) -> list[str]:
@@ -71,6 +95,11 @@ def cues(words: list[str]) -> list[tuple[int, str]]:
     return [(i, m[0]) for i, m in enumerate(map(_cue_word.search, words)) if m]
 
 
+def spdx(text: str) -> list[str]:
+    """Licence expressions of SPDX lines."""
+    return [re.sub(r"(?:-only|-or-later|\+)(?=$| )", "", " ".join(m.rstrip(".-").split()), flags=re.I) for m in _spdx.findall(text)]
+
+
 class Matcher:
     """Fixed vectors of the templates; plain data, sent to the tasks."""
 
@@ -110,7 +139,7 @@ class Matcher:
     def best(self, text: str | None) -> tuple[str | None, float | None]:
         if not text or not CUE.search(text):
             return None, None
-        top = (0.0, "")
+        top = min([(0.0, ""), *((-1.0, name) for name in spdx(text))])
         for line in {x for x in text.splitlines() if CUE.search(x)}:
             vector, norm = self.vector(counted(words_of(line)))
             for name, _, unit, tells, _, _ in self.templates:

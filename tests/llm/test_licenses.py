@@ -46,3 +46,12 @@ def test_notices_in_small_and_large_tables(spark):
              "# This work is licensed under the\n# GNU Lesser General Public License, v2.1 only", "you need a driving license to drive", "copyright 2020, all rights reserved"]
     want = ["Apache-2.0", "GPL-3.0", "MIT", "CC-BY-SA-4.0", "LGPL-2.1", None, None]
     assert found(spark, texts) == found(spark, texts, 20000) == want
+
+
+def test_identifiers_versions_and_whole_licences(spark):
+    head, end = "Copyright (c) 2020 Acme\n\n" + licenses.BSD_HEAD, licenses.BSD_END
+    texts = ["// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: Apache-2.0", "/* SPDX-License-Identifier: GPL-3.0-or-later */",
+             "GNU GENERAL PUBLIC LICENSE", "   GNU GENERAL PUBLIC LICENSE\n      Version 2, June 1991\n\n Copyright (C) 1989", "   GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n",
+             "Redistribution and use in source and binary forms, with or without", head + end, head + licenses.BSD_THIRD + end, "MIT License\n\n" + licenses.MIT_TEXT,
+             "published under the GNU General Public License v2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE\n Version 2, June 1991"]
+    assert found(spark, texts) == ["MIT", "Apache-2.0", "GPL-3.0", None, "GPL-2.0", "GPL-3.0", None, "BSD-2-Clause", "BSD-3-Clause", "MIT", "GPL-2.0", "LGPL-2.0"]
