@@ -97,8 +97,8 @@ def scan(query: np.ndarray, turned_query: np.ndarray, own: int, ids: np.ndarray,
     return best_id, best
 
 
-def probes_for(indexed: DataFrame, trials: np.ndarray, centroids: np.ndarray, k: int, target: float) -> int:
-    """Least number of probes that finds ``target`` of the k nearest rows of ``trials``; each task hands on k rows for each of them."""
+def probes_for(indexed: DataFrame, own: np.ndarray, trials: np.ndarray, centroids: np.ndarray, k: int, target: float) -> int:
+    """Least number of probes that finds ``target`` of the k nearest rows of ``trials``, whose ids are ``own``; each task hands on k rows for each of them."""
 
     def near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
@@ -107,7 +107,7 @@ def probes_for(indexed: DataFrame, trials: np.ndarray, centroids: np.ndarray, k:
                 continue
             x, of = _matrix(b.column("v")), b.column("list").to_numpy()
             d = (trials ** 2).sum(1)[:, None] - 2 * trials @ x.T + (x ** 2).sum(1)
-            d[d < 1e-9] = np.inf  # the trial itself and its copies, which lie in its own list
+            d[own[:, None] == b.column("id").to_numpy()] = np.inf  # the trial itself
             of = np.broadcast_to(of, d.shape)
             if best is not None:
                 d, of = np.concatenate([best[0], d], 1), np.concatenate([best[1], of], 1)
@@ -118,7 +118,7 @@ def probes_for(indexed: DataFrame, trials: np.ndarray, centroids: np.ndarray, k:
             yield pa.RecordBatch.from_arrays([pa.array(trial), pa.array(best[0].ravel()), pa.array(best[1].ravel().astype(np.int32))],
                                              names=["trial", "d", "list"])
 
-    rows = indexed.select("v", "list").mapInArrow(near_rows, "trial int, d double, list int")
+    rows = indexed.select("id", "v", "list").mapInArrow(near_rows, "trial int, d double, list int")
     found = (rows.withColumn("n", F.row_number().over(Window.partitionBy("trial").orderBy("d"))).filter((F.col("n") <= k) & (F.col("d") < float("inf")))
              .select("trial", "list").toPandas())
     rank = np.argsort(nearest(trials, centroids, len(centroids)), axis=1)
@@ -133,8 +133,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id
     total = rows.count()
     lists = max(1, min(max_lists, lists or int(total ** 0.5 / 2), total))
     drawn = min(1.0, 1.25 * sample_per_list * lists / max(1, total))
-    sample = [r.v for r in rows.filter(F.expr("pmod(xxhash64(id, v), 1048576)") < int(1048576 * drawn)).select("v").collect()] or [
-        r.v for r in rows.select("v").limit(lists).collect()]
+    drawn_rows = rows.filter(F.expr("pmod(xxhash64(id, v), 1048576)") < int(1048576 * drawn)).select("id", "v").collect() or rows.select(
+        "id", "v").limit(lists).collect()
+    sample = [r.v for r in drawn_rows]
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return rows.sparkSession.createDataFrame([], schema)
@@ -152,7 +153,7 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id
     blocks = np.maximum(1, -(-n_of // BLOCK))
 
     if probes is None:
-        probes = probes_for(indexed, np.array(sample[:TRIALS]), centroids, k, target)
+        probes = probes_for(indexed, np.array([r.id for r in drawn_rows[:TRIALS]]), np.array(sample[:TRIALS]), centroids, k, target)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

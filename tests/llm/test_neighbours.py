@@ -58,3 +58,11 @@ def test_rows_that_take_no_part(spark):
     assert got.keys() == {0, 100, 200}
     assert [v for v, _ in got[0]] == [1, 2, 100, 200] and got[0][0][1] == 1.0
     assert run(spark, []) == {} and run(spark, [(0, [1.0], None)]) == {}
+
+
+def test_small_vectors_are_probed_like_others(spark):
+    x = np.random.default_rng(4).standard_normal((1500, 16)).astype(np.float32)
+    x *= np.float32(2.0 ** -20)
+    want = brute(list(range(1500)), x.astype(float), 10)
+    got = run(spark, [(i, v.tolist(), "") for i, v in enumerate(x)])
+    assert np.mean([len(dict(got[q]).keys() & dict(want[q]).keys()) / 10 for q in want]) >= 0.9
