@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col(c: Column | str) -> Column:
@@ -94,8 +95,23 @@ def code_name(c: Column | str, names: Mapping, default: str | None = None) -> Co
 
 
 def contains_any(c: Column | str, words: Sequence[str]) -> Column:
-    """True when the text holds at least one of the words (literal match)."""
-    return col(c).rlike("|".join("\\Q" + w + "\\E" for w in words))
+    """True when the text holds at least one of the words (literal match); never without words."""
+    if not words:
+        return F.lit(False)
+    # A backslash before what is no letter or digit stands for that character.
+    return col(c).rlike("|".join("".join(x if x.isalnum() else "\\" + x for x in w) for w in words))
+
+
+def hashable(kind: T.DataType) -> bool:
+    """Whether Spark can hash values of a type (not maps and variants)."""
+    if isinstance(kind, T.StructType):
+        return all(hashable(f.dataType) for f in kind)
+    return hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a row, of the columns that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if hashable(f.dataType)])
 
 
 def same_text(a: Column | str, b: Column | str) -> Column:

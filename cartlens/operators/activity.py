@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import first_match, flag, ratio, sum_money
-from ..functions.grouped import count_ids, pivot_sum, top_n, with_report_totals, with_total_row, with_totals
+from ..functions.grouped import count_ids, left_join_sparse, pivot_sum, top_n, with_report_totals, with_total_row, with_totals
 
 
 def waterfall(df: DataFrame, entity: str, measure: str, period: str, pre: str, post: str, n: int = 10) -> DataFrame:
@@ -199,7 +199,7 @@ def anomaly_feed(fact: DataFrame, tags: DataFrame, published: DataFrame, entity:
                  measures: Mapping[str, Column]) -> DataFrame:
     """Daily entity x slice roll-up, small entities folded into one, only rows
     that are not published yet. Published keys of the touched days only."""
-    d = fact.join(tags, entity, "left").withColumn(
+    d = left_join_sparse(fact, tags, entity).withColumn(
         entity, F.when(F.col("tag") == "SME", F.lit("SME")).otherwise(F.col(entity).cast("string")))
     rolled = d.groupBy(day, entity, slice_col).agg(*[c.alias(n) for n, c in measures.items()], F.count("*").alias("total"))
     return rolled.join(published.select(day, entity, slice_col).distinct(), [day, entity, slice_col], "left_anti")
@@ -252,10 +252,11 @@ def cod_funnel(events: DataFrame, pay: DataFrame, period: str, ident: str, selec
 
 def api_payment_join(calls: DataFrame, fact: DataFrame, pay: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
     """API calls joined to the checkout and its payments: calls per outcome with
-    conversion. Payments are counted per checkout first."""
+    conversion. Calls and payments are counted per checkout first, so no call row is joined; the attempts of a checkout count once for each of its calls."""
     p = pay.groupBy(key).agg(F.count("*").alias("attempts"), F.max(flag(F.col("success"))).alias("paid"))
-    d = calls.join(fact, key).join(p, key, "left")
-    return d.groupBy(*by).agg(
-        F.countDistinct(key).alias("checkouts"), F.coalesce(F.sum("attempts"), F.lit(0)).alias("attempts"),
-        F.countDistinct(F.when(F.col("paid") == 1, F.col(key))).alias("paid_checkouts")).withColumn(
-        "cr", ratio("paid_checkouts", "checkouts"))
+    c = calls.groupBy(key).agg(F.count("*").alias("__calls"))
+    d = c.join(fact, key).join(p, key, "left")
+    per = d.groupBy(*by, key).agg(F.sum(F.col("attempts") * F.col("__calls")).alias("attempts"), F.max("paid").alias("paid"))
+    return per.groupBy(*by).agg(
+        F.count("*").alias("checkouts"), F.coalesce(F.sum("attempts"), F.lit(0)).alias("attempts"),
+        F.coalesce(F.sum("paid"), F.lit(0)).cast("bigint").alias("paid_checkouts")).withColumn("cr", ratio("paid_checkouts", "checkouts"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import flag, label_null, ratio
-from ..functions.grouped import count_ids, exact_quantiles, pivot_sum, with_report_totals
+from ..functions.grouped import count_ids, exact_quantiles, left_join_sparse, pivot_sum, with_report_totals
 
 SO_FAR = "Addresses so far"
 
@@ -74,7 +74,8 @@ def address_distribution(addr: DataFrame, person: str, probs: Mapping[str, float
 def city_tier_mix(checkouts: DataFrame, addr: DataFrame, tiers: DataFrame, entity: str, city: str, tier: str,
                   values: Sequence[str]) -> DataFrame:
     """Share of an entity's checkouts per city tier; unknown cities are 'No City Tier'."""
-    d = checkouts.join(addr.select(F.col("id").alias("address_id"), city), "address_id", "left").join(tiers, city, "left")
+    d = left_join_sparse(checkouts, addr.select(F.col("id").alias("address_id"), city), "address_id")
+    d = left_join_sparse(d, tiers, city)
     d = d.withColumn(tier, label_null(tier, "No City Tier"))
     n = d.groupBy(entity, tier).agg(F.count("*").alias("n"))
     n = with_report_totals(n, [entity], {"__t": F.sum("n")}).withColumn("share", ratio("n", "__t"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import epoch_micros, flag, json_text
+from ..functions.expr import flag, json_text
 from ..functions.grouped import latest_per_key, left_join_sparse
-from ..functions.scan import chunked_scan, time_chunk
+from ..functions.scan import gaps, scan_all, time_chunk
 
 # The event document, parsed once into a struct instead of once per path.
 PROPERTIES_SCHEMA = """
@@ -112,42 +112,22 @@ def sessionize(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_second
 
     A session starts at the first event of the key or after a gap of at least
     ``gap_seconds``. Events without a device (or time, or another key) have no
-    place in a session: their session columns stay NULL and they go around the
-    scan, and with them the usual hot key, the missing device.
+    place in a session: their session columns are NULL, and the usual hot key, the
+    missing device, is spread over many tasks.
     """
-    known_row = F.col(ts).isNotNull() & F.col(device).isNotNull()
-    for c in keys:
-        known_row = known_row & F.col(c).isNotNull()
-    known = df.filter(known_row)
-    unknown = df.filter(~known_row).withColumn("session_no", F.lit(None).cast("bigint"))
-    gap = gap_seconds * 1_000_000
-
-    def far(a, b):
-        return flag(epoch_micros(b) - epoch_micros(a) >= gap)
-
-    everything = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = chunked_scan(
-        known, keys, [F.col(ts), F.col(tie)], time_chunk(ts, chunk_seconds),
-        inner={
-            "__starts": lambda w: far(F.lag(ts).over(w), ts),
-            "__inner_no": lambda w: F.sum("__starts").over(everything(w)),
-        },
-        summary={"__first": F.min(ts), "__last": F.max(ts), "__n": F.sum("__starts")},
-        carry={
-            # does the chunk's first event open a session?
-            "__before": lambda w: F.lag("__last").over(w),
-            "__opens": lambda w: F.when(F.col("__before").isNull(), 1).otherwise(far("__before", "__first")),
-            "__offset": lambda w: F.sum("__opens").over(everything(w))
-            + F.coalesce(F.sum("__n").over(earlier(w)), F.lit(0)),
-        },
-        result={"session_no": F.col("__inner_no") + F.col("__offset")},
-    )
-    return numbered.unionByName(unknown).withColumn(
-        "session_id",
-        F.when(F.col("session_no").isNotNull(),
-               F.concat_ws("-", F.col("session_no").cast("string"), F.col(day).cast("string"),
-                           F.col(device).cast("string"))))
+    return sessionize_many(df, keys, ts, tie, {"session": gap_seconds}, chunk_seconds, day, device).withColumnRenamed("session", "session_id")
+
+
+def sessionize_many(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_seconds: Mapping[str, int], chunk_seconds: int = 600, day: str = "dt",
+                    device: str = "device_id", once: bool = False) -> DataFrame:
+    """Several definitions of a session in one scan: for each name and gap the columns ``<name>_no`` and ``<name>``, the id.
+
+    ``once`` reads the source once, see ``scan_all``: for a ``df`` that has only the columns needed.
+    """
+    chunk = F.when(F.col(device).isNotNull(), time_chunk(ts, chunk_seconds))
+    out = scan_all(df, keys, [F.col(ts), F.col(tie)], chunk, [gaps(f"{n}_no", ts, g) for n, g in gap_seconds.items()], once)
+    return out.withColumns({n: F.when(F.col(f"{n}_no").isNotNull(), F.concat_ws("-", F.col(f"{n}_no").cast("string"), F.col(day).cast("string"), F.col(device).cast("string")))
+                            for n in gap_seconds})
 
 
 def event_flags(df: DataFrame, spec: Mapping[str, Column]) -> DataFrame:
@@ -187,8 +167,8 @@ def upsert_fact(existing: DataFrame, delta: DataFrame, key: str, maxes: Sequence
 
     The delta is reduced to one row per key and met with the history, which has one
     row per key, in one full join: both sides are read once. Running the same delta
-    again changes nothing. The whole new table is one DataFrame; write it to a
-    staging path and swap, or overwrite the touched date partitions.
+    again changes nothing. The whole new table is one DataFrame; ``FactStore`` keeps a
+    fact by days and rewrites only those that a delta touches.
     """
     new = delta.groupBy(F.col(key).alias("__key")).agg(
         *[F.max(c).alias(f"__{c}") for c in maxes], *[F.min(c).alias(f"__{c}") for c in mins])
@@ -198,39 +178,6 @@ def upsert_fact(existing: DataFrame, delta: DataFrame, key: str, maxes: Sequence
         *[F.least(c, f"__{c}").alias(c) for c in mins])
 
 
-def touched_rows(existing: DataFrame, delta: DataFrame, key: str) -> DataFrame:
-    """Old rows of the keys a delta touches (what a partition rewrite has to read)."""
-    return existing.join(delta.select(key).distinct(), key, "left_semi")
-
-
-def upsert_partitions(table: str, delta: DataFrame, key: str, maxes: Sequence[str], day: str, look_back: int) -> list:
-    """Merge a delta into a table partitioned by ``day`` (a key's first day), rewriting
-    only the days that hold touched keys; returns these days.
-
-    A key's row is at most ``look_back`` days older than the delta, so older
-    partitions are neither read nor written. Running the same delta again changes
-    nothing. Only dates come to the driver.
-    """
-    spark = delta.sparkSession
-    new = delta.groupBy(key).agg(*[F.max(c).alias(c) for c in maxes], F.min(day).alias(day))
-    first = new.agg(F.min(day)).head()[0]
-    if first is None:
-        return []
-    recent = spark.table(table).filter(F.col(day) >= F.lit(first) - F.expr(f"INTERVAL {look_back} DAYS"))
-    old = touched_rows(recent, new, key)
-    merged = merge_new_rows(old, new, key, maxes, [day])
-    days = sorted(r[0] for r in old.select(day).unionByName(merged.select(day)).distinct().collect())
-    rest = recent.filter(F.col(day).isin(days)).join(new.select(key), key, "left_anti")
-    rows = rest.select(key, *maxes, day).unionByName(merged.select(key, *maxes, day))
-    left = {r[0] for r in rows.select(day).distinct().collect()}
-    columns = spark.table(table).columns
-    rows.select(*columns).hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
-    for d in days:
-        if d not in left:  # all its keys moved to an earlier day
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({day} = DATE '{d}')")
-    return days
-
-
 def merge_new_rows(existing: DataFrame, delta: DataFrame, key: str, maxes: Sequence[str],
                    mins: Sequence[str]) -> DataFrame:
     """Same table as ``upsert_fact`` in one aggregate and no join: every row is

@@ -8,27 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import flag, ratio
-from ..functions.grouped import exact_quantiles, pivot_sum, with_report_totals
+from ..functions.grouped import distinct_counts, exact_quantiles, left_join_sparse, pivot_sum, with_report_totals
 
 
 def session_reconcile(df: DataFrame, old: str, new: str, by: Sequence[str]) -> DataFrame:
     """Distinct ids of two session definitions per slice and their difference."""
-    return df.groupBy(*by).agg(F.countDistinct(old).alias("old_ids"), F.countDistinct(new).alias("new_ids")).withColumn(
+    return distinct_counts(df, by, {"old_ids": old, "new_ids": new}, repeated=True).withColumn(
         "diff_pct", ratio(F.col("new_ids") - F.col("old_ids"), "old_ids"))
 
 
 def new_vs_repeat(events: DataFrame, device: str, day: str, ident: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows labelled 'new' on the device's first day and 'repeating' after it,
     counted per slice: devices, checkouts and their shares of all."""
-    d = label_repeat(events, device, day)
-    g = d.groupBy(*by, "visitor").agg(F.countDistinct(device).alias("devices"), F.countDistinct(ident).alias("checkouts"))
+    d = label_repeat(events.select(*dict.fromkeys([*by, device, day, ident])).distinct(), device, day)
+    g = distinct_counts(d, [*by, "visitor"], {"devices": device, "checkouts": ident}, repeated=True)
     g = with_report_totals(g, by, {"__d": F.sum("devices"), "__c": F.sum("checkouts")})
     return g.withColumns({"device_share": ratio("devices", "__d"), "checkout_share": ratio("checkouts", "__c")}).drop("__d", "__c")
 
 
 def label_repeat(events: DataFrame, device: str, day: str) -> DataFrame:
     first = events.filter(F.col(device).isNotNull()).groupBy(device).agg(F.min(day).alias("first_date"))
-    return events.join(first, device, "left").withColumn(
+    return left_join_sparse(events, first, device).withColumn(
         "visitor", F.when(F.col(day) == F.col("first_date"), "new").when(F.col(day) > F.col("first_date"), "repeating"))
 
 

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from ..functions.expr import flag, ratio, rounded, sum_money
-from ..functions.grouped import count_ids, exact_quantiles, latest_per_key, pivot_sum, with_report_totals, with_total_row
+from ..functions.grouped import (count_ids, distinct_counts, exact_quantiles, latest_per_key, pivot_sum, set_sketches, sketch_totals, with_report_totals,
+                                 with_total_row)
 from ..operators import stats
 from .registry import query
 from .views import PRIORITIES, sql
@@ -77,10 +78,26 @@ def _(t):
 SELECT arm, event_type, count(DISTINCT checkout_id) AS checkouts, count(DISTINCT merchant_id) AS merchants,
   count(DISTINCT device_id) AS devices, count(DISTINCT k) AS ks, count(DISTINCT dt) AS days FROM ev GROUP BY 1, 2"""))
 def _(t):
-    n = F.countDistinct
-    return t.events().groupBy("arm", "event_type").agg(
-        n("checkout_id").alias("checkouts"), n("merchant_id").alias("merchants"), n("device_id").alias("devices"),
-        n("k").alias("ks"), n("dt").alias("days"))
+    return distinct_counts(t.events(), ["arm", "event_type"], {
+        "checkouts": "checkout_id", "merchants": "merchant_id", "devices": "device_id", "ks": "k", "days": "dt"})
+
+
+@query("a07_totals_from_sketches", sql("ev", """
+SELECT date_trunc('week', dt)::DATE AS week, event_type, count(DISTINCT checkout_id) AS checkouts, count(DISTINCT device_id) AS devices, TRUE AS close FROM ev GROUP BY 1, 2"""), dates="week")
+def _(t):
+    """Weekly distinct counts, exact, and whether those added up from stored daily sketches lie within five standard errors."""
+    from ..session import scratch_dir
+    from ..sources.io import append_partitioned
+    idents, e = {"checkouts": "checkout_id", "devices": "device_id"}, t.events().select("dt", "event_type", "checkout_id", "device_id")
+    path = scratch_dir(t.spark, "sketches")
+    append_partitioned(set_sketches(e, ["dt", "event_type"], idents), path, "dt")
+    week = F.to_date(F.date_trunc("week", "dt")).alias("week")
+    about = sketch_totals(t.spark.read.parquet(path).select(week, "event_type", *idents), ["week", "event_type"], list(idents))
+    exact = distinct_counts(e.select(week, "event_type", *idents.values()), ["week", "event_type"], idents)
+    near = F.lit(True)
+    for n in idents:
+        near = near & (F.abs(F.col(f"a.{n}") - F.col(f"x.{n}")) <= 5 * 1.04 / 128 * F.col(f"x.{n}") + 1)
+    return exact.alias("x").join(about.alias("a"), ["week", "event_type"]).select("week", "event_type", "x.checkouts", "x.devices", near.alias("close"))
 
 
 @query("a08_null_groups", """

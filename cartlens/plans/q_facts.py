@@ -1,12 +1,11 @@
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.expr import flag
 from ..operators import facts as op
 from ..session import scratch_dir
-from ..sources.io import create_partitioned_table, insert_select
+from ..sources.fact_store import FactStore
 from .registry import query
 from .views import sql
 
@@ -106,6 +105,19 @@ def _(t):
     return op.build_checkout_fact(events, {**op.checkout_flags(), **spec}, carried={"first_date": F.min("dt"), "events": F.count("*")})
 
 
+@query("d03_bucketed_fact", sql("ev", f"""
+SELECT checkout_id, {", ".join(f"CAST(max(CASE WHEN {NAME_SQL} = '{e}' THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n, e in NAMED.items())}, min(dt) AS first_date,
+  count(*) AS events, count(*) FILTER (event_type IN ('purchase', 'error')) AS attempts FROM ev GROUP BY 1"""), dates="first_date")
+def _(t):
+    """The fact and its join to the payment attempts, from events stored in buckets by checkout: neither side is shuffled."""
+    from .q_sources import event_store
+    e = event_store(t, ["checkout_id", "event_type", "dt"])
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), F.col("event_type"))
+    fact = op.build_checkout_fact(e.withColumn("event_name", name), op.checkout_flags(), carried={"first_date": F.min("dt"), "events": F.count("*")})
+    pay = e.filter(F.col("event_type").isin("purchase", "error")).groupBy("checkout_id").agg(F.count("*").alias("attempts"))
+    return fact.join(pay, "checkout_id", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+
+
 DEVICE_FACT = """SELECT device_id, """ + ", ".join(f"CAST(max(CASE WHEN event_type = '{e}' THEN 1 ELSE 0 END) AS BIGINT) AS {e}" for e in KINDS) \
     + ", min(dt) AS first_date FROM ev GROUP BY 1"
 
@@ -114,27 +126,58 @@ def device_fact(df):
     return op.build_checkout_fact(df, {e: F.col("event_type") == e for e in KINDS}, "device_id", {"first_date": F.min("dt")})
 
 
-def table_name():
-    return "t_" + uuid.uuid4().hex
-
-
 def upsert_inputs(t):
     e = t.events()
     return (device_fact(e.filter(F.col("dt") <= F.lit(dt.date(2024, 1, 20)))),
             device_fact(e.filter(F.col("dt") >= F.lit(dt.date(2024, 1, 19)))))   # two days of overlap, as a look-back has
 
 
+def device_store(t):
+    return FactStore(t.spark, scratch_dir(t.spark, "fact"), "device_id", "first_date", KINDS, buckets=4)
+
+
 @query("d04_upsert_fact", sql("ev", DEVICE_FACT), dates="first_date")
 def _(t):
-    """Through the partitions of a table: the delta's days are merged twice, which must change nothing the second time."""
+    """Through a store that knows the day of each key: the delta is merged twice, which must change nothing the second time."""
     history, delta = upsert_inputs(t)
-    name = table_name()
-    columns = ", ".join(f"{k} bigint" for k in KINDS)
-    create_partitioned_table(t.spark, name, f"device_id bigint, {columns}, first_date date", "first_date", scratch_dir(t.spark, "fact"))
-    insert_select(history, name)
+    store = device_store(t)
+    store.upsert(history)
     for _ in range(2):
-        op.upsert_partitions(name, delta, "device_id", KINDS, "first_date", look_back=31)
-    return t.spark.table(name)
+        store.upsert(delta)
+    return store.read()
+
+
+@query("d04_old_versions", sql("ev", f"""SELECT 1 AS version, * FROM ({DEVICE_FACT.replace("FROM ev", "FROM ev WHERE dt <= DATE '2024-01-20'")}) UNION ALL SELECT 2, * FROM ({DEVICE_FACT})"""),
+       dates="first_date")
+def _(t):
+    """The fact before and after a delta, both from the same store."""
+    history, delta = upsert_inputs(t)
+    store = device_store(t)
+    store.upsert(history)
+    store.upsert(delta)
+    read = lambda v: store.read(v).select(F.lit(v).alias("version"), "*")
+    return read(1).unionByName(read(2))
+
+
+@query("d04_key_locator", sql("ev", "SELECT device_id AS key, min(dt) AS day FROM ev GROUP BY 1"), dates="day")
+def _(t):
+    """Where the row of each key lies."""
+    history, delta = upsert_inputs(t)
+    store = device_store(t)
+    store.upsert(delta)
+    store.upsert(history)       # older rows come later: keys move to earlier days
+    return store.locator()
+
+
+@query("s13_delete_from_store", sql("ev", f"SELECT * FROM ({DEVICE_FACT}) WHERE error = 0"), dates="first_date")
+def _(t):
+    """Keys taken out of a fact: only the days that hold them are rewritten."""
+    history, delta = upsert_inputs(t)
+    store = device_store(t)
+    store.upsert(history)
+    store.upsert(delta)
+    store.delete(store.read().filter("error = 1"))
+    return store.read()
 
 
 @query("d04_upsert_whole", sql("ev", DEVICE_FACT), dates="first_date")
@@ -244,7 +287,7 @@ SELECT *, round((new_ids - old_ids) / old_ids::DOUBLE, 6) AS diff_pct FROM g""")
 def _(t):
     from ..operators.identity import session_reconcile
     keys = ["merchant_id", "dt", "device_id"]
-    a = sessions(t).select(*keys, "ts", "event_id", "event_type", F.col("session_id").alias("old_id"))
-    b = op.sessionize(a, keys, "ts", "event_id", 4 * 3600).withColumnRenamed("session_id", "new_id")
+    e = t.events().select(*keys, "ts", "event_id", "event_type")
+    b = op.sessionize_many(e, keys, "ts", "event_id", {"old_id": 1800, "new_id": 4 * 3600}, once=True)
     out = session_reconcile(b, "old_id", "new_id", ["dt", "event_type"])
     return out.withColumn("diff_pct", F.round("diff_pct", 6))

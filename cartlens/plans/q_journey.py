@@ -43,6 +43,26 @@ def _(t):
     return op.journey_paths(t.events(), "checkout_id", "ts", "event_id", "event_type")
 
 
+PATHS = """p AS (SELECT checkout_id, event_type, row_number() OVER w AS depth, string_agg(event_type, ',') OVER (PARTITION BY checkout_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS path,
+  lead(ts) OVER w IS NULL AS last FROM gaps WHERE checkout_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY checkout_id ORDER BY ts, event_id))"""
+
+
+@query("d49_journey_tree", sql("gaps", PATHS + """,
+n AS (SELECT path, depth, event_type AS event, count(*) AS checkouts, count(*) FILTER (last) AS ends FROM p GROUP BY 1, 2, 3)
+SELECT n.depth, n.event, n.checkouts, n.ends, u.event AS before, u.checkouts AS before_checkouts, u.ends AS before_ends
+FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND n.path = u.path || ',' || n.event"""))
+def _(t):
+    """Nodes of the prefix tree, each beside its parent: names of nodes are hashes, what they stand for is compared."""
+    tree = op.journey_tree(t.gappy_events(), "checkout_id", "ts", "event_id", "event_type")
+    up = tree.select(F.col("node").alias("parent"), F.col("event").alias("before"), F.col("checkouts").alias("before_checkouts"), F.col("ends").alias("before_ends"))
+    return tree.join(up, "parent", "left").drop("node", "parent")
+
+
+@query("d49_frequent_paths", sql("gaps", PATHS + " SELECT path, count(*) AS checkouts FROM p WHERE last GROUP BY 1 HAVING count(*) >= 2"))
+def _(t):
+    return op.frequent_paths(t.gappy_events(), "checkout_id", "ts", "event_id", "event_type", 2)
+
+
 @query("d49_event_positions", sql("gaps", """
 r AS (SELECT *, CASE WHEN checkout_id IS NOT NULL AND ts IS NOT NULL THEN row_number() OVER (PARTITION BY checkout_id, ts IS NULL ORDER BY ts, event_id) END AS pos FROM gaps)
 SELECT event_type, count(DISTINCT checkout_id) AS checkouts, round(sum(pos)::DOUBLE / count(pos), 6) AS mean_position FROM r GROUP BY 1"""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,6 +120,17 @@ def create_partitioned_table(spark: SparkSession, name: str, columns: str, by: s
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({by}){where}")
 
 
+def write_event_store(df: DataFrame, table: str, path: str, day: str, source: str, key: str, buckets: int) -> None:
+    """Events as a catalog table in folders by day and source, dealt into ``buckets`` by the key and sorted by it.
+
+    A filter on day or source skips folders. Aggregates and joins by the key need no shuffle of the events: all rows of a key lie in one bucket of each folder, and tables with the
+    same number of buckets meet bucket by bucket. Rows are dealt as Spark deals buckets, so each folder gets one file for each bucket. A key that
+    holds much of a day makes one large file: keep such tables for keys without hot values (checkouts, not merchants); rows without a key are one bucket.
+    """
+    dealt = df.repartition(buckets, F.col(key))
+    dealt.write.partitionBy(day, source).bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+
+
 def insert_select(df: DataFrame, table: str) -> None:
     """INSERT INTO table SELECT …, columns matched by name."""
     cols = df.sparkSession.table(table).columns
@@ -138,22 +150,33 @@ def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def rebuild_with_today(spark: SparkSession, table: str, today: DataFrame, day_col: str, location: str) -> DataFrame:
-    """Back up a table, then rebuild it as its rows of other days and today's rows.
+    """Rebuild a table as its rows of other days and today's rows; ``<table>_backup`` keeps the rows as they were.
 
-    ``<table>_backup`` keeps the rows as they were. The new rows are written under
-    ``location`` first; the name is switched to them only when they are complete.
+    The new rows are written to a folder of their own under ``location``, however often this runs. Then two names are switched, each by one change of a
+    location in the catalog: first the backup, to the folder that the table is in now, then the table, to the new folder. The table has a name and whole rows at
+    every moment; a run that is killed leaves it as it was, or done. The rows of the backup before go out of use with the third run; their folder is not removed.
     """
-    spark.sql(f"DROP TABLE IF EXISTS {table}_backup")
-    spark.table(table).write.option("path", f"{location}/backup").saveAsTable(f"{table}_backup")
+    old = spark.table(table)
+    if spark.catalog.listColumns(table) and any(c.isPartition for c in spark.catalog.listColumns(table)):
+        raise ValueError(f"{table} is partitioned: its days are replaced by overwrite_partitions or a FactStore")
+    folder = f"{location.rstrip('/')}/run-{uuid.uuid4().hex}"
     days = today.select(day_col).distinct()
-    rows = spark.table(f"{table}_backup").join(days, day_col, "left_anti").unionByName(today)
-    rows.select(*spark.table(table).columns).write.option("path", f"{location}/data").saveAsTable(f"{table}_next")
-    spark.sql(f"ALTER TABLE {table} RENAME TO {table}_old")
-    spark.sql(f"ALTER TABLE {table}_next RENAME TO {table}")
-    spark.sql(f"DROP TABLE {table}_old")
+    kept = old.alias("o").join(days.withColumnRenamed(day_col, "__day"), F.col(f"o.{day_col}").eqNullSafe(F.col("__day")), "left_anti")
+    kept.select(*old.columns).unionByName(today.select(*old.columns)).write.parquet(folder)
+    before = table_location(spark, table)
+    if spark.catalog.tableExists(f"{table}_backup"):
+        spark.sql(f"ALTER TABLE {table}_backup SET LOCATION '{before}'")
+    else:
+        spark.catalog.createTable(f"{table}_backup", path=before, source="parquet", schema=old.schema)
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
     return spark.table(table)
 
 
+def table_location(spark: SparkSession, table: str) -> str:
+    """Folder that a catalog table is in."""
+    return next(r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect() if r["col_name"] == "Location")
+
+
 def publish_view(df: DataFrame, name: str) -> DataFrame:
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)

@@ -124,27 +124,6 @@ def test_experiments(spark, rows):
     assert rows(facts.pivot_arms(exp, "c", ["a", "b", "z"])) == [("c1", "x", "y", None)]
 
 
-def test_upsert_rewrites_only_touched_days(spark, tmp_path):
-    import datetime as dt
-
-    from cartlens.sources import io
-
-    name = "t_upsert_" + str(abs(hash(str(tmp_path))))
-    day = lambda n: dt.date(2024, 1, n)
-    io.create_partitioned_table(spark, name, "k bigint, a bigint, day date", "day", str(tmp_path / "t"))
-    io.insert_select(spark.createDataFrame([(1, 0, day(1)), (2, 0, day(10)), (3, 0, day(10)), (4, 0, day(12)), (5, 0, day(9))], "k long, a long, day date"), name)
-    delta = spark.createDataFrame([(2, 1, day(13)), (4, 1, day(11)), (6, 1, day(13)), (6, 0, day(14))], "k long, a long, day date")
-    want = [(1, 0, day(1)), (2, 1, day(10)), (3, 0, day(10)), (4, 1, day(11)), (5, 0, day(9)), (6, 1, day(13))]
-    for _ in range(2):
-        days = facts.upsert_partitions(name, delta, "k", ["a"], "day", 5)
-        assert day(1) not in days and day(9) not in days
-        assert sorted(map(tuple, spark.table(name).select("k", "a", "day").collect())) == want
-    recent = spark.table(name).filter(F.col("day") >= F.lit(day(6)))
-    assert "PartitionFilters: [isnotnull(day" in recent._jdf.queryExecution().toString()
-    assert facts.upsert_partitions(name, delta.limit(0), "k", ["a"], "day", 5) == []
-    spark.sql(f"DROP TABLE {name}")
-
-
 def test_rto_fact_keeps_prior_orders(spark, rows):
     o = spark.createDataFrame([(1,), (2,)], "order_id long")
     s = spark.createDataFrame([(1, "rto", 1, "x"), (1, "delivered", 2, "y"), (3, "rto", 1, "z")], "order_id long, status string, at int, awb string")

@@ -96,16 +96,60 @@ def test_scratch_dir_needs_a_shared_folder():
         session.scratch_dir(Session(), "x")
 
 
-def test_rebuild_keeps_a_backup_and_switches_names(spark, rows, tmp_path):
+def test_rebuild_keeps_a_backup_and_can_run_every_day(spark, rows, tmp_path):
     name = "t_rebuild_" + tmp_path.name.replace("-", "_")
-    old = spark.createDataFrame([(1, "mon"), (2, "tue")], "v long, day string")
+    old = spark.createDataFrame([(1, "mon"), (2, "tue"), (0, None)], "v long, day string")
     old.write.option("path", str(tmp_path / "old")).saveAsTable(name)
-    out = io.rebuild_with_today(spark, name, spark.createDataFrame([(3, "tue"), (4, "tue")], "v long, day string"), "day", str(tmp_path / "new"))
-    assert rows(out) == [(1, "mon"), (3, "tue"), (4, "tue")] and rows(spark.table(name)) == rows(out)
+    where = str(tmp_path / "new")
+    out = io.rebuild_with_today(spark, name, spark.createDataFrame([(3, "tue"), (4, "tue")], "v long, day string"), "day", where)
+    first = [(0, None), (1, "mon"), (3, "tue"), (4, "tue")]
+    assert rows(out) == first and rows(spark.table(name)) == first
     assert rows(spark.table(f"{name}_backup")) == rows(old)
+    io.rebuild_with_today(spark, name, spark.createDataFrame([("wed", 5)], "day string, v long"), "day", where)      # the next day
+    assert rows(spark.table(name)) == [*first, (5, "wed")]
+    assert rows(spark.table(f"{name}_backup")) == first
+    io.rebuild_with_today(spark, name, spark.createDataFrame([(6, "wed")], "v long, day string"), "day", where)      # the same day again
+    assert rows(spark.table(name)) == [*first, (6, "wed")]
+    assert rows(spark.table(f"{name}_backup")) == [*first, (5, "wed")]
     for t in (name, f"{name}_backup"):
         spark.sql(f"DROP TABLE {t}")
 
 
+def test_rebuild_that_fails_leaves_table_and_backup(spark, rows, tmp_path):
+    name = "t_failed_" + tmp_path.name.replace("-", "_")
+    old = spark.createDataFrame([(1, "mon")], "v long, day string")
+    old.write.option("path", str(tmp_path / "old")).saveAsTable(name)
+    io.rebuild_with_today(spark, name, spark.createDataFrame([(2, "tue")], "v long, day string"), "day", str(tmp_path / "new"))
+    broken = spark.createDataFrame([(3, "wed")], "v long, day string").withColumn("v", F.raise_error(F.lit("lost")).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        io.rebuild_with_today(spark, name, broken, "day", str(tmp_path / "new"))
+    assert rows(spark.table(name)) == [(1, "mon"), (2, "tue")] and rows(spark.table(f"{name}_backup")) == [(1, "mon")]
+    for t in (name, f"{name}_backup"):
+        spark.sql(f"DROP TABLE {t}")
+
+
+def test_stored_events_are_pruned_and_not_shuffled(spark, rows, tmp_path):
+    name = "t_store_" + tmp_path.name.replace("-", "_")
+    src = [(f"c{i % 9}" if i % 10 else None, dt.date(2024, 1, 1 + i % 5), "ab"[i % 2], i) for i in range(200)]
+    d = spark.createDataFrame(src, "c string, day date, source string, v long")
+    io.write_event_store(d, name, str(tmp_path / "e"), "day", "source", "c", 4)
+    t = spark.table(name)
+    assert rows(t.select(*d.columns)) == rows(d)
+    assert len(list((tmp_path / "e").rglob("part-*.parquet"))) <= 5 * 2 * 4
+    scan = io.scan_events(t, "day", dt.date(2024, 1, 2), dt.date(2024, 1, 3), "a")
+    assert scan.count() == sum(s == "a" and 2 <= x.day <= 3 for _, x, s, _ in src)
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "source" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact = t.groupBy("c").agg(F.count("*").alias("n")).join(t.filter("v > 50").groupBy("c").agg(F.max("v").alias("top")), "c", "left")
+        assert "Exchange" not in fact._jdf.queryExecution().executedPlan().toString()
+        assert fact.count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_days_between(spark):
     assert io.days_between(spark, dt.date(2024, 2, 27), dt.date(2024, 3, 1)).count() == 4
