@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .expr import flag, row_hash
 
 SLOTS_PER_OCTAVE = 512
-#: Distinct values that one task orders at most, for values spread evenly within their slot.
-SLOT_LEVELS = 50_000
+#: Distinct doubles of a slot that one task orders; beyond that the slot is cut by binary digits.
+SLOT_LEVELS = 500_000
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str] | None = None,
@@ -138,9 +138,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     Equal values are counted first and the value range is cut into slots. Slot
     totals give the rank at which each slot starts, so ranks are counted exactly
     inside the slots that hold a wanted rank, and other slots are not ordered.
-    Doubles may crowd in a slot: one of more than ``SLOT_LEVELS`` wanted values is cut again by
-    counted binary digits, 15 at a time, of which only those parts go on that hold a wanted rank. What a task orders is bounded by that, however the
-    values lie. NULL and NaN values are left out, and groups with a NULL key.
+    Doubles may crowd in a slot: one that holds a wanted rank and more than ``SLOT_LEVELS`` values
+    is cut again by counted binary digits. It has 2^43 doubles, so there are at most 2^21 parts of at most 2^22 doubles: what a task orders is bounded by that, however
+    the values lie. NULL and NaN values are left out, and groups with a NULL key.
     """
     counts = df.filter(value_slot(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
     d = counts.withColumn("__slot", value_slot("__v", per_octave))
@@ -170,12 +170,11 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     else:
         parts = d.join(slots.filter(~crowded).drop("__levels"), [*by, "__slot"]).withColumn("__part", F.lit(0).cast("bigint"))
         digits = lambda shift: slot_digits(F.col("__v").cast("double"), F.col("__slot"), per_octave, shift)
-        rough = d.withColumns({"__rough": digits(28), "__part": digits(14)})
-        first = rough.join(slots.filter(crowded).drop("__levels"), [*by, "__slot"]).groupBy(*by, "__slot", "__rough", "__offset", "__total").agg(F.sum("__n").alias("__size"))
-        first = wanted(first, [*by, "__slot"], "__rough", True)
-        second = rough.join(first, [*by, "__slot", "__rough"]).groupBy(*by, "__slot", "__rough", "__part", "__offset", "__total").agg(F.sum("__n").alias("__size"))
-        second = wanted(second, [*by, "__slot", "__rough"], "__part", True).drop("__rough")
-        parts = parts.unionByName(rough.drop("__rough").join(second, [*by, "__slot", "__part"]).select(*parts.columns))
+        # Usually there are none of these, and Spark drops the branch when it sees that.
+        many = d.join(slots.filter(crowded).drop("__levels"), [*by, "__slot"]).withColumn("__part", slot_digits(F.col("__v").cast("double"), F.col("__slot"), per_octave, 22))
+        sizes = many.groupBy(*by, "__slot", "__part", "__offset", "__total").agg(F.sum("__n").alias("__size"))
+        chosen = wanted(sizes, [*by, "__slot"], "__part", True)
+        parts = parts.unionByName(many.drop("__offset", "__total").join(chosen, [*by, "__slot", "__part"]).select(*parts.columns))
     inside = Window.partitionBy(*by, "__slot", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("__last", F.col("__offset") + F.sum("__n").over(inside) - 1)   # greatest 0-based rank of the value
     parts = parts.withColumn("__first", F.col("__last") - F.col("__n") + 1)
@@ -227,14 +226,13 @@ def exact_rank(df: DataFrame, by: Sequence[str], value: str, up: str | None = No
     for k in by:
         known = known & F.col(k).isNotNull()
     levels = df.filter(known).groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__slot", value_slot(value))
-    group = lambda w: Window.partitionBy(*by)
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     counted = chunked_scan(
         levels, by, [F.col(value)], F.col("__slot"),
         inner={"__in": lambda w: F.sum("__n").over(upto(w))},
         summary={"__tot": F.sum("__n")},
         carry={"__off": lambda w: F.sum("__tot").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-               "__all": lambda w: F.sum("__tot").over(group(w))},
+               "__all": lambda w: F.sum("__tot").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))},
         result={"__upto": F.col("__in") + F.coalesce(F.col("__off"), F.lit(0)), "__all": F.col("__all")})
     ranks = {}
     if up:

@@ -100,6 +100,16 @@ def scan_all(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk:
     return d.join(s, place).select(*df.columns, *[F.when(F.col(KNOWN), c).alias(n) for n, c in merged["result"].items()])
 
 
+def backwards(keys: Sequence[str], order: Sequence[Column]) -> Window:
+    """Window over the rows of one (key, chunk) in another order, for the inner columns of a scan."""
+    return Window.partitionBy(*[f"__key_{k}" for k in keys], KNOWN, CHUNK).orderBy(*order)
+
+
+def chunks_backwards(keys: Sequence[str]) -> Window:
+    """Window over the chunks of a key from the last one, for carried columns."""
+    return Window.partitionBy(*[f"__key_{k}" for k in keys], KNOWN).orderBy(F.col(CHUNK).desc())
+
+
 def chunked_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, inner: Mapping[str, Callable], summary: Mapping[str, Column],
                  carry: Mapping[str, Callable], result: Mapping[str, Column]) -> DataFrame:
     """A scan with one definition."""

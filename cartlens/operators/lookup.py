@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import epoch_micros
-from ..functions.scan import CHUNK, chunked_scan, last_before, time_chunk, with_running_sum
+from ..functions.scan import backwards, chunked_scan, chunks_backwards, last_before, time_chunk, with_running_sum
 
 DAY = 86_400
 
@@ -34,7 +34,7 @@ def touch_attribution(signups: DataFrame, visits: DataFrame, key: str, signup_id
     is_visit, when = F.col("__kind") == 2, F.struct("__t", "__tie")
     # ascending: a sign-up comes before visits at its own instant; descending: a
     # window start comes after them
-    backward = Window.partitionBy(key, CHUNK).orderBy(F.col("__t").desc(), F.when(is_visit, 0).otherwise(1), F.col("__tie").desc())
+    backward = backwards([key], [F.col("__t").desc(), F.when(is_visit, 0).otherwise(1), F.col("__tie").desc()])
     upto = (Window.unboundedPreceding, Window.currentRow)
     earlier = (Window.unboundedPreceding, -1)
     out = chunked_scan(
@@ -43,7 +43,7 @@ def touch_attribution(signups: DataFrame, visits: DataFrame, key: str, signup_id
                "__f": lambda w: F.last("__v", ignorenulls=True).over(backward.rowsBetween(*upto))},
         summary={"__lv": F.max_by("__v", F.when(is_visit, when)), "__fv": F.min_by("__v", F.when(is_visit, when))},
         carry={"__lc": lambda w: F.last("__lv", ignorenulls=True).over(w.rowsBetween(*earlier)),
-               "__fc": lambda w: F.last("__fv", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.col(CHUNK).desc()).rowsBetween(*earlier))},
+               "__fc": lambda w: F.last("__fv", ignorenulls=True).over(chunks_backwards([key]).rowsBetween(*earlier))},
         result={"__last": F.coalesce(F.col("__l"), F.col("__lc")), "__first": F.coalesce(F.col("__f"), F.col("__fc"))})
     out = out.filter(~is_visit)
     last = F.when((F.col("__kind") == 1) & (F.col("__last")[visit_ts] >= F.col("__from")), F.col("__last"))

@@ -147,7 +147,7 @@ def _(t):
     return store.read()
 
 
-@query("d04_old_versions", sql("ev", f"""SELECT 1 AS version, * FROM ({DEVICE_FACT.replace("FROM ev", "FROM ev WHERE dt <= DATE '2024-01-20'")}) UNION ALL SELECT 2, * FROM ({DEVICE_FACT})"""),
+@query("d04_old_versions", sql("ev", f"""SELECT CAST(1 AS BIGINT) AS version, * FROM ({DEVICE_FACT.replace("FROM ev", "FROM ev WHERE dt <= DATE '2024-01-20'")}) UNION ALL SELECT 2, * FROM ({DEVICE_FACT})"""),
        dates="first_date")
 def _(t):
     """The fact before and after a delta, both from the same store."""
@@ -169,14 +169,14 @@ def _(t):
     return store.locator()
 
 
-@query("s13_delete_from_store", sql("ev", f"SELECT * FROM ({DEVICE_FACT}) WHERE error = 0"), dates="first_date")
+@query("s13_delete_from_store", sql("ev", f"SELECT * FROM ({DEVICE_FACT}) WHERE device_id % 3 <> 0"), dates="first_date")
 def _(t):
     """Keys taken out of a fact: only the days that hold them are rewritten."""
     history, delta = upsert_inputs(t)
     store = device_store(t)
     store.upsert(history)
     store.upsert(delta)
-    store.delete(store.read().filter("error = 1"))
+    store.delete(store.read().filter("device_id % 3 = 0"))
     return store.read()
 
 

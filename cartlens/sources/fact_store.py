@@ -82,6 +82,9 @@ class FactStore:
 
     def _located(self, new: DataFrame, state: dict) -> DataFrame:
         """``new`` with ``old_day`` and whether the key is ``known``."""
+        if not state["keys"]:
+            return new.withColumns({"old_day": F.lit(None).cast(new.schema[self.day].dataType), "known": F.lit(False)})
+        new = self._written(new, "delta")
         wanted = new.withColumn("bucket", self._bucket(self.key, state))
         log = self._locator_log(state, [f for _, f in state["keys"]])
         held = [r[0] for r in wanted.select("bucket").distinct().collect()]   # no more than there are buckets
@@ -120,9 +123,10 @@ class FactStore:
         state = self._state()
         if state["schema"] is None:
             state["schema"] = new.schema.jsonValue()
-        found = self._written(self._located(self._written(new, "delta"), state), "located")
+        found = self._written(self._located(new, state), "located")
         # Only days come to the driver: those of the rows that change, and those that rows go to.
-        places = found.groupBy("known", F.when(F.col("known"), F.col("old_day")).otherwise(F.col(self.day)).alias("at")).agg(F.lit(1)).collect()
+        at = F.when(F.col("known"), F.col("old_day")).otherwise(F.col(self.day)).alias("at")
+        places = found.groupBy("known", at).agg(F.lit(1)).collect() if state["days"] else []
         held = {self._part(r["at"]) for r in places if r["known"]}
         full = {p for r in places if len(state["days"].get(p := self._part(r["at"]), ())) >= FAN}
         rewritten = sorted(held | full)
@@ -143,8 +147,10 @@ class FactStore:
         state = self._state()
         if state["schema"] is None:
             return []
+        if not state["keys"]:
+            return []
         gone = keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct()
-        found = self._written(self._located(self._written(gone, "keys"), state).filter("known"), "located")
+        found = self._written(self._located(gone, state).filter("known"), "located")
         rewritten = sorted(self._part(r[0]) for r in found.select("old_day").distinct().collect())
         rows = self._rows(state, rewritten).join(found.select(self.key), self.key, "left_anti")
         log = found.select(F.col(self.key).alias("key"), F.col("old_day").alias("day"), F.lit(state["version"] + 1).cast("long").alias("version"),
