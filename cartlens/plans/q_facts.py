@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import flag
 from ..operators import facts as op
+from ..operators import interactions
 from ..session import scratch_dir
 from ..sources.fact_store import FactStore
 from .registry import query
@@ -105,6 +106,54 @@ def _(t):
     return op.build_checkout_fact(events, {**op.checkout_flags(), **spec}, carried={"first_date": F.min("dt"), "events": F.count("*")})
 
 
+# Documents of the interaction events: what each field holds, in SQL that both engines read; k is the event's number.
+NAMES_ALL = sorted({n for _, of, *_ in interactions.all_flags() for n in of})
+DOCUMENT = {
+    "screen_name": "CASE k % 4 WHEN 0 THEN 'details_screen' WHEN 1 THEN 'new_shipping_address_screen' WHEN 2 THEN 'saved_shipping_address_screen' END",
+    "coupon_source": "CASE k % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'merchant' END", "input_source": "CASE WHEN k % 2 = 0 THEN 'auto' ELSE 'typed' END",
+    "is_coupon_valid": "CASE k % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'n/a' END", "count_coupons_available": "CASE k % 90 WHEN 0 THEN '2' WHEN 1 THEN 'many' WHEN 2 THEN '0' END",
+    "prefill_contact_number": "CASE WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN '99' END", "prefill_email": "CASE WHEN k % 2 = 0 THEN '' ELSE 'a@b' END", "value": "CASE WHEN k % 5 > 1 THEN 'x' WHEN k % 5 = 1 THEN '' END",
+    "otp_reason": "CASE k % 7 WHEN 0 THEN 'access_address' WHEN 1 THEN 'access_address_v2' WHEN 2 THEN 'mandatory_login' WHEN 3 THEN 'mandatory_login_v2' WHEN 4 THEN 'save_address' WHEN 5 THEN 'save_address_v2' END",
+    "serviceable": "CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END", "zipcode": "concat('10', k)", "city": "CASE WHEN k % 4 > 0 THEN concat('c', k % 4) END", "state": "concat('s', k % 3)",
+    "is_mobile": "CASE k % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END", "initial_loggedIn": "CASE k % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END",
+    "initial_hasSavedAddress": "CASE WHEN k % 2 = 0 THEN 'true' END", "platform": "CASE k % 3 WHEN 0 THEN 'mobile_sdk' ELSE 'browser' END"}
+
+
+def interaction_events(t):
+    f = {n: F.expr(e) for n, e in DOCUMENT.items()}
+    part = lambda *names: F.struct(*[f[n].alias(n) for n in names])
+    data = F.struct(*[f[n].alias(n) for n in list(DOCUMENT)[:9]], F.struct(F.array(part("serviceable", "zipcode", "city", "state")).alias("addresses")).alias("response"),
+                    part("is_mobile", "initial_loggedIn", "initial_hasSavedAddress").alias("meta"))
+    name = F.element_at(F.array(*map(F.lit, NAMES_ALL)), (F.col("event_id") % len(NAMES_ALL)).cast("int") + 1)
+    return t.events().select(
+        F.when(F.col("merchant_id") != 7, F.col("merchant_id")).alias("merchant_id"), "checkout_id", F.col("dt").alias("producer_created_date"), name.alias("event_name"),
+        F.when(F.col("k") % 2 == 0, "Chrome").otherwise("Safari").alias("browser_name"),
+        F.when(F.col("k") % 50 == 49, "{broken").otherwise(F.to_json(F.struct(data.alias("data")))).alias("properties"), F.to_json(part("platform")).alias("context"))
+
+
+def flag_sql(of, field, how, value):
+    field = f"f_{field}"
+    where = [f"name IN ({', '.join(repr(n) for n in of)})"] if of else []
+    if how:
+        where.append({"is": f"{field} = '{value}'", "is not": f"{field} <> '{value}'", "in": f"{field} IN ({', '.join(repr(v) for v in value or [])})" if how == "in" else "",
+                      "is true": f"{field} = 'true'", "above": f"coalesce(try_cast({field} AS INTEGER), 0) > {value}"}[how])
+    return f"CAST(max(CASE WHEN {' AND '.join(where)} THEN 1 ELSE 0 END) AS BIGINT)"
+
+
+@query("d03_interaction_fact", sql("ev", f"""
+n AS (SELECT *, [{", ".join(repr(n) for n in NAMES_ALL)}][CAST(event_id % {len(NAMES_ALL)} AS INTEGER) + 1] AS name, {", ".join(
+    f"{e if n == 'platform' else f'CASE WHEN k % 50 <> 49 THEN {e} END'} AS f_{n}" for n, e in DOCUMENT.items())} FROM ev WHERE merchant_id <> 7 AND merchant_id <> 3)
+SELECT merchant_id, checkout_id, min(dt) AS producer_created_date, max(CASE WHEN k % 2 = 0 THEN 'Chrome' ELSE 'Safari' END) AS browser_name,
+  max(CASE WHEN name <> 'render:complete' THEN 'NA' WHEN f_platform = 'mobile_sdk' THEN f_platform WHEN f_is_mobile = 'true' THEN 'mweb' ELSE 'desktop_browser' END) AS platform,
+  max(CASE WHEN name = 'render:complete' THEN CAST(f_initial_loggedIn AS BOOLEAN) END) AS initial_loggedin,
+  max(CASE WHEN name = '{interactions.SUMMARY}' THEN CAST(f_initial_hasSavedAddress AS BOOLEAN) END) AS "initial_hasSavedAddress",
+  {", ".join(f"{flag_sql(*rest)} AS {n}" for n, *rest in interactions.all_flags())},
+  {", ".join(f"max(CASE WHEN name = '{interactions.SHIPPING}' THEN f_{x} ELSE '0' END) AS pincode_serviceability_{x}" for x in interactions.PLACES)}
+FROM n GROUP BY 1, 2"""), dates="producer_created_date")
+def _(t):
+    return interactions.interaction_fact(interaction_events(t), exclude=[3])
+
+
 @query("d03_bucketed_fact", sql("ev", f"""
 SELECT checkout_id, {", ".join(f"CAST(max(CASE WHEN {NAME_SQL} = '{e}' THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n, e in NAMED.items())}, min(dt) AS first_date,
   count(*) AS events, count(*) FILTER (event_type IN ('purchase', 'error')) AS attempts FROM ev GROUP BY 1"""), dates="first_date")
