@@ -5,8 +5,9 @@ The field tags tokens (runs of letters and digits, single other characters) as s
 the words up to three tokens before and one after, what it is glued to, and traits of the text (its length and share of digits). Tags are decoded by Viterbi. Tagged runs that
 touch no base span are added as kind ``crf``.
 
-Training: the base spans of a bounded sample of texts (``max_rows``, by a hash of the id and text) are the labels; log-likelihood, stochastic gradient with adaptive steps.
-The sample's windows are the only rows that reach the driver. Decoding is exact: a token whose outside score leads by more than any two transitions can make up
+Training: the base spans of a bounded sample of texts (``max_rows``, by a hash of the id and text) are the labels, and so are copies of them that the patterns do not find: values that are too short, of
+another make (letters of both cases, a brand before them), after other names or none, and ordinary words after such names, which are no secrets. So the field learns what the patterns leave out.
+Log-likelihood, stochastic gradient with adaptive steps. ``max_windows`` windows, by a hash, are all that reaches the driver. Decoding is exact: a token whose outside score leads by more than any two transitions can make up
 is outside in the best path, so paths are searched between such tokens only.
 
 Null and empty texts have no spans. Repeated rows and ids each get a row. Clashing columns are replaced. Without a base span in the sample no field is used.
@@ -191,33 +192,82 @@ def _byte_places(text: str, places: list[int]) -> list[int]:
     return [len(text[:p].encode()) for p in places]
 
 
-def windows_of(text: str, key: int, width: int) -> Iterator[tuple[bytes, bytes]]:
-    """(features, tags) of training windows: around each base span, and for one text in six somewhere else and around its longest token."""
-    spans = base_spans(text)
-    if not spans and key % 6:
-        return
+#: Training copies: names that may stand before a secret, what stands between, and characters of values.
+NAMES = ("pwd", "pass", "passphrase", "db_pwd", "auth", "bearer", "authorization", "credential", "private_key", "access_key", "signing_key", "client_id")
+SHORT_NAMES = ("password", "passwd", "secret", "token", "api_key", *NAMES)
+LINKS = ("=", " = ", ": ", " ", "='", " = '", '="', ': "')
+MIXED = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+AROUND = 200
+#: Rounds of copies of each span.
+COPIES = 2
+
+
+def hidden_copies(text: str, start: int, end: int, value: int, rng: np.random.Generator) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end of the value) of copies of a base span's surroundings in which no pattern finds it: the value is too short, stands after another name, or is of another make, with or
+    without a name. In the last copy an ordinary word of the text stands there, which is no secret (its place is empty)."""
+    draw = lambda n, low=len(MIXED): "".join(MIXED[i] for i in rng.integers(0, low, n))
+    letters = lambda n: "".join(MIXED[i] for i in rng.integers(10, 36, n))
+    pick = lambda of: of[rng.integers(len(of))]
+    named = lambda: pick(NAMES) + pick(LINKS)
+    key = text[start:value] if value > start and rng.random() < 0.5 else pick(SHORT_NAMES) + pick(LINKS)
+    brand = letters(int(rng.integers(2, 5))) + "_" + (letters(4) + "_" if rng.random() < 0.5 else "")
+    before, after = text[max(0, start - AROUND):start], text[end:end + AROUND]
+    short = draw(int(rng.integers(8, 12)), 36) if rng.random() < 0.5 else text[value:end][:int(rng.integers(8, 12))]
+    for name, made in ((key, short), (named(), draw(int(rng.integers(9, 41)))), (named() if rng.random() < 0.5 else "", brand + draw(int(rng.integers(16, 37))))):
+        at = len(before) + len(name)
+        copy, to = before + name + made + after, at + len(made)
+        if any(x.isdigit() for x in made) and not any(s < to and at < e for s, _, e, _ in base_spans(copy)):
+            yield copy, at, to
+    words = re.findall(r"[^\W\d_]{3,}", before)
+    if words:
+        yield before + named() + words[rng.integers(len(words))] + after, len(before), len(before)
+
+
+def _tagged(text: str, places: list[tuple[int, int]]) -> tuple[Tokens, np.ndarray, list[int]]:
+    """Tokens of a text, their tags, and the first token of each place that holds some."""
     data = np.frombuffer(text.encode(), np.uint8)
     tokens = tokenise(data, np.array([0, len(data)]))
-    n = len(tokens.starts)
-    if not n:
-        return
-    tags = np.zeros(n, np.int8)
-    centres = []
-    for start, end in zip(_byte_places(text, [s[3] for s in spans]), _byte_places(text, [s[2] for s in spans])):
+    tags, first = np.zeros(len(tokens.starts), np.int8), []
+    for start, end in zip(_byte_places(text, [p[0] for p in places]), _byte_places(text, [p[1] for p in places])):
         inside = np.flatnonzero((tokens.starts >= start) & (tokens.ends <= end))
         if len(inside) and not tags[inside].any():
             tags[inside] = INSIDE
             tags[inside[0]] = BEGIN
-            centres.append(inside[0])
-    if key % 6 == 0:
-        centres += [key // 6 % n, int(np.argmax(np.where(tags == OUT, tokens.ends - tokens.starts, 0)))]
-    for c in centres:
-        lo = max(0, min(c - width // 2, n - width))
-        yield tokens.features[lo:lo + width].astype("<i4").tobytes(), tags[lo:lo + width].tobytes()
+            first.append(int(inside[0]))
+    return tokens, tags, first
+
 
+def windows_of(text: str, key: int, width: int, most: int = 8) -> Iterator[tuple[bytes, bytes]]:
+    """(features, tags) of training windows: around ``most`` base spans of the text at most and their hidden copies, and for one text in six somewhere else and around its longest token."""
+    spans = base_spans(text)
+    if not spans and key % 6:
+        return
+    tokens, tags, centres = _tagged(text, [(s[3], s[2]) for s in spans])
+    n, rng = len(tokens.starts), np.random.default_rng(key)
+    if not n:
+        return
+
+    def window(t: Tokens, y: np.ndarray, c: int) -> tuple[bytes, bytes]:
+        lo = max(0, min(c - width // 2, len(y) - width))
+        return t.features[lo:lo + width].astype("<i4").tobytes(), y[lo:lo + width].tobytes()
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 24000, width: int = 32) -> Field | None:
-    """Field from the base spans of at most about ``max_rows`` texts; None if there are none."""
+    if key % 6 == 0:
+        for c in (key // 6 % n, int(np.argmax(np.where(tags == OUT, tokens.ends - tokens.starts, 0)))):
+            yield window(tokens, tags, c)
+    for c in rng.permutation(centres)[:most]:
+        yield window(tokens, tags, int(c))
+    for i in rng.permutation(len(spans))[:most]:
+        start, _, end, value = spans[i]
+        for copy, at, to in (c for _ in range(COPIES) for c in hidden_copies(text, start, end, value, rng)):
+            around = [(s[3], s[2]) for s in base_spans(copy)]
+            t, y, first = _tagged(copy, [(at, to), *around] if to > at else around)
+            place = first[0] if to > at and first else int(np.searchsorted(t.starts, len(copy[:at].encode())))
+            if len(y):
+                yield window(t, y, min(place, len(y) - 1))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 24000, width: int = 32, max_windows: int = 48000) -> Field | None:
+    """Field from the base spans of at most about ``max_rows`` texts; None if there are none. ``max_windows`` windows at most, the least by a hash, reach the driver, where the field is fitted."""
     total = docs.count()
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     chosen = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(key.alias("key"), F.col(f"`{text_col}`").alias("text"))
@@ -229,11 +279,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_r
             made = [(k, *w) for k, text in zip(b.key, b.text) for w in windows_of(text, (k >> 20) & 0xFFFFFFFF, width)]
             yield pd.DataFrame(made, columns=["key", "features", "tags"])
 
-    rows = chosen.mapInPandas(cut, "key long, features binary, tags binary").toPandas()
+    # Windows of repeated rows are equal, and one of each is enough; each task hands on no more than are wanted.
+    made = chosen.mapInPandas(cut, "key long, features binary, tags binary").dropDuplicates()
+    rows = made.orderBy(F.xxhash64("key", "features", "tags"), "key", "features").limit(max_windows).toPandas()
     if not any(any(t) for t in rows.tags):
         return None
     rows = rows.sort_values(["key", "features"])
-    features, tags = np.zeros((len(rows), width, TEMPLATES), np.int64), np.zeros((len(rows), width), np.int64)
+    features, tags = np.zeros((len(rows), width, TEMPLATES), np.int32), np.zeros((len(rows), width), np.int8)
     mask = np.zeros((len(rows), width), bool)
     for i, (f, t) in enumerate(zip(rows.features, rows.tags)):
         n = len(t)
