@@ -9,8 +9,8 @@ Scan: vectors are rotated by one random orthogonal matrix, so that any first d o
 ``STEP``; a candidate whose partial square distance exceeds ``(d / D) * (1 + EPSILON / sqrt(d))**2`` times that of the k-th best so far is abandoned (the test errs with a
 chance that falls as exp(-c * EPSILON**2)). Survivors are measured on the original vectors in double precision; ties go to the smaller id.
 
-Rows without an id, null or zero vectors, vectors with null or non-finite components, and vectors of another length than most take no part.
-Identical rows count once; a query never finds rows of its own id. Tables without vectors give no rows, small ones all candidates.
+Rows without an id, null or zero vectors, and vectors with null or non-finite components take no part. There is a distance between vectors of one length only: each length is searched by itself.
+Identical rows count once; a query finds all rows but its own, another vector of its id too. Tables without vectors give no rows, small ones all candidates.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ QUERY_BLOCK = 256
 STEP = 16
 EPSILON = 2.1
 TRIALS = 96
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -37,8 +38,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(f"`{vector_col}`").cast("array<double>")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).filter("id is not null and size(v) > 0").filter(
         "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    widths = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").head(1)
-    return rows.filter(F.size("v") == (widths[0].width if widths else 0)).dropDuplicates(["id", "v"])
+    return rows.dropDuplicates(["id", "v"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -81,7 +81,9 @@ def scan(query: np.ndarray, turned_query: np.ndarray, own: int, ids: np.ndarray,
     best_id, best = np.zeros(0, np.int64), np.zeros(0)
     for lo in range(0, len(ids), chunk):
         at = np.arange(lo, min(lo + chunk, len(ids)))
-        at = at[ids[at] != own]
+        same = ids[at] == own
+        if same.any():
+            at = at[~(same & (x[at] == query).all(1))]
         limit = best[k - 1] ** 2 if len(best) >= k else np.inf
         part = np.zeros(len(at))
         for d in range(0, width, step) if np.isfinite(limit) else ():
@@ -129,16 +131,23 @@ def probes_for(indexed: DataFrame, own: np.ndarray, trials: np.ndarray, centroid
 def search(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probes: int | None = None,
            target: float = 0.97, lists: int | None = None, max_lists: int = 4096, sample_per_list: int = 32) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row for which ``is_query`` (SQL over ``id``) holds."""
-    rows = written(usable(vectors, id_col, vector_col), "vectors")
+    every = written(usable(vectors, id_col, vector_col).withColumn("width", F.size("v")), "vectors")
+    widths = sorted(r[0] for r in every.select("width").distinct().collect())
+    found = None
+    for w in widths:
+        part = _search(every.filter(F.col("width") == w).drop("width"), is_query, k, probes, target, lists, max_lists, sample_per_list)
+        found = part if found is None else found.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], RESULT) if found is None else found
+
+
+def _search(rows: DataFrame, is_query: str, k: int, probes: int | None, target: float, lists: int | None, max_lists: int, sample_per_list: int) -> DataFrame:
+    """``search`` among vectors of one length."""
     total = rows.count()
     lists = max(1, min(max_lists, lists or int(total ** 0.5 / 2), total))
     drawn = min(1.0, 1.25 * sample_per_list * lists / max(1, total))
     drawn_rows = rows.filter(F.expr("pmod(xxhash64(id, v), 1048576)") < int(1048576 * drawn)).select("id", "v").collect() or rows.select(
         "id", "v").limit(lists).collect()
     sample = [r.v for r in drawn_rows]
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return rows.sparkSession.createDataFrame([], schema)
     centroids = centroids_of(np.array(sample), lists)
     lists, turn = len(centroids), rotation(len(centroids[0]))
 

@@ -53,7 +53,7 @@ def test_all_lists_give_the_exact_result(spark):
 
 def test_rows_that_take_no_part(spark):
     good = [(i, [float(i), 1.0]) for i in (0, 1, 2, 100, 200)]
-    bad = [(3, None), (4, [0.0, 0.0]), (300, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (8, []), (400, [0.0, 0.0])]
+    bad = [(3, None), (4, [0.0, 0.0]), (300, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (8, []), (400, [0.0, 0.0])]
     got = run(spark, [(*r, None) for r in good + bad + good[:2]], lists=3)
     assert got.keys() == {0, 100, 200}
     assert [v for v, _ in got[0]] == [1, 2, 100, 200] and got[0][0][1] == 1.0
@@ -66,3 +66,14 @@ def test_small_vectors_are_probed_like_others(spark):
     want = brute(list(range(1500)), x.astype(float), 10)
     got = run(spark, [(i, v.tolist(), "") for i, v in enumerate(x)])
     assert np.mean([len(dict(got[q]).keys() & dict(want[q]).keys()) / 10 for q in want]) >= 0.9
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rows = [(i, [float(i), 1.0], None) for i in (0, 1, 2, 100)] + [(i, [1.0, 2.0, float(i)], None) for i in (5, 6, 200)] + [(300, [1.0], None)]
+    got = run(spark, rows)
+    assert {q: [v for v, _ in near] for q, near in got.items()} == {0: [1, 2, 100], 100: [2, 1, 0], 200: [6, 5]}
+
+
+def test_a_query_finds_other_vectors_of_its_id(spark):
+    got = run(spark, [(100, [1.0, 0.0], "a"), (100, [1.0, 0.5], "b"), (7, [1.0, 3.0], "c"), (100, [1.0, 0.0], "a")])
+    assert sorted(got[100]) == sorted([(100, 0.5), (7, 3.0), (100, 0.5), (7, 2.5)])
