@@ -125,14 +125,21 @@ def _ftrl(rows: pd.DataFrame, bits: int, epochs: int, alpha: float, beta: float,
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 16000, shards: int = 8, epochs: int = 3, alpha: float = 0.5,
           beta: float = 0.1, l1: float = 0.01, l2: float = 0.001, learn: str = "crc32(cast(doc_id as string)) % 3 <> 1") -> Model:
-    """Model from (doc_id, text) and (doc_id, quality), from at most about ``max_rows`` labelled ids for which ``learn`` holds."""
+    """Model from (doc_id, text) and (doc_id, quality), from at most about ``max_rows`` labelled rows for which ``learn`` holds.
+
+    Where many rows carry one labelled id, rows are chosen by a hash of id and text, equal rows count once, and they are dealt to the shards by that hash.
+    """
     marked = (labels.filter("doc_id is not null and quality is not null").filter(learn)
               .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("quality"))
               .withColumn("order", F.xxhash64("doc_id")))
     found = marked.count()
     if found > max_rows:
         marked = marked.filter(F.expr("pmod(`order`, 1048576)") < int(1048576 * max_rows / found))
-    sample = docs.select("doc_id", "text").join(marked, "doc_id").withColumn("shard", F.expr(f"pmod(shiftright(`order`, 24), {shards})"))
+    sample = docs.select("doc_id", "text").join(marked, "doc_id")
+    rows = docs.select("doc_id").join(marked, "doc_id").count()
+    if rows > 1.05 * max_rows:
+        sample = sample.withColumn("order", F.xxhash64("doc_id", "text")).filter(F.expr("pmod(`order`, 1048576)") < int(1048576 * max_rows / rows)).dropDuplicates(["doc_id", "text"])
+    sample = sample.withColumn("shard", F.expr(f"pmod(shiftright(`order`, 24), {shards})"))
 
     def learn_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         w, bias = _ftrl(rows, bits, epochs, alpha, beta, l1, l2)

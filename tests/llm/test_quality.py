@@ -52,3 +52,21 @@ def test_sample_bound_and_repeated_labels(spark):
     model = quality.train(docs, labels, max_rows=100)
     got = quality.with_score(docs, model).collect()
     assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got)
+
+
+def test_one_labelled_id_on_many_rows_is_bounded(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("if(id < 2000, 5, id) AS doc_id", "concat('good text number ', id) AS text")
+    labels = spark.createDataFrame([(5, 1)] + [(i, i % 2) for i in range(2000, 2040)], "doc_id long, quality int")
+    seen = spark.sparkContext.accumulator(0)
+    plain = quality._ftrl
+
+    def counted(rows, *args):
+        seen.add(len(rows))
+        return plain(rows, *args)
+
+    monkeypatch.setattr(quality, "_ftrl", counted)
+    quality.train(docs, labels, max_rows=100, learn="true")
+    assert 50 <= seen.value <= 200
+    seen.value = 0
+    quality.train(docs.filter("doc_id = 5").limit(1).crossJoin(spark.range(500)).select("doc_id", "text"), labels, max_rows=100, learn="true")
+    assert seen.value <= 1      # equal rows count once
