@@ -2,7 +2,7 @@
 
 Index: for each term of the benchmark its postings (text, position) in the training texts, stored as a table. Every window (``WINDOW``
 consecutive words of an item; a shorter item is one window) is looked up from its two rarest terms, by their frequency in the index: their
-posting lists, each moved by the term's place in the item, are intersected. Where an item can begin by that, the other terms' postings in that text are matched with the item, and
+posting lists, each moved by the term's place in the item, are intersected. Where an item can begin by that, each of its terms is looked up at the place where it has to stand, and
 runs of matched words as long as a window are exact occurrences. ``proximity`` returns places where the two rarest terms of an item stand close together instead.
 
 A table is broadcast only if its measured size is within ``BROADCAST_BYTES``; beyond that the same join shuffles.
@@ -81,8 +81,11 @@ def occurrences(items: DataFrame, terms: DataFrame, index: DataFrame, window: in
     begins = (_lists(index, pairs).groupBy("key", "item", "q1", "q2", (F.col("pos") - F.col("q")).alias("start"))
               .agg(F.bit_or("side").alias("sides")).filter("sides = 3").select("key", "item", "start").distinct())
     begins = written(begins, "begins")
-    matched = (index.join(small(begins, 80), "key").withColumn("q", F.col("pos") - F.col("start"))
-               .join(small(places, 64), ["item", "q", "t"])
+    # Each place where an item can begin asks for the item's terms at their places, and no other posting of the text is looked at: a text that
+    # repeats an item costs its occurrences times the item's length.
+    expected = written(begins.join(small(places, 64), "item").select("key", "item", "item_id", "width", "start", "q", "t", (F.col("start") + F.col("q")).alias("pos")), "expected")
+    held = index.join(small(begins.select("key").distinct(), 40), "key", "left_semi")
+    matched = (held.join(small(expected, 100), ["key", "pos", "t"])
                .groupBy("key", "item", "item_id", "width", "start").agg(F.array_sort(F.collect_set("q")).alias("at")))
     full = matched.filter("size(at) >= width").withColumn(
         "at", F.expr("flatten(transform(filter(sequence(0, size(at) - width), i -> at[i + width - 1] - at[i] = width - 1), i -> sequence(at[i], at[i] + width - 1)))"))
