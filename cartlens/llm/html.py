@@ -8,10 +8,12 @@ For all other (open) blocks the pages of a host decide. The token streams outsid
 array (ranks doubled up to ``WINDOW`` tokens, one array for each host and batch of pages, merged by the substrings of that length). A substring of ``WINDOW``
 tokens is repeated if it occurs on ``FEWEST`` distinct pages of the host or more and on ``SHARE`` of them. An open block is boilerplate if each of its tokens lies
 in a repeated substring; it is removed whole, and all others stay whole: a phrase or sentence that pages share takes nothing out of a block, and an article that a few pages
-carry stays. A page of which nothing would be left keeps its text. Hosts of fewer than ``FEWEST`` pages show no repeats; there all open blocks stay.
+carry stays. A page that is nothing but repeats has no text. Hosts of fewer than ``FEWEST`` pages show no repeats; there all open blocks stay.
 
-An element is named boilerplate by a part of one of its class names, ids or roles, unless that name also has a part that speaks of a state or layout
-(``STATES``: no-sidebar, comments-open). ``article`` and ``main`` are main text whatever their names; names decide only about those inside another article or a marked element.
+An element is named boilerplate by a whole class name, id or role: each part of it must be a word for boilerplate or one for a place or shape (``PLACES``: top-ad, comment-list), so that
+names which speak of something else too (no-sidebar, search-algorithms, share-price) mark nothing. Ids are often anchors: those of headings, paragraphs, figures and list items do not count, nor do those of sections in main text.
+``article`` and ``main`` are main text whatever their names; names decide only about those inside another article or a marked element.
+Text of a marked inline element goes, and the text around it stays one block.
 
 Null html: empty text. Null url: one host of its own name (empty). Repeated rows count as one page and each get a row.
 """
@@ -47,11 +49,14 @@ BOILERPLATE_NAMES = set(
     "footer gdpr login menu modal nav navbar navigation newsletter notice pager pagination popup promo recommended related reply respond search share "
     "sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
 HEADER_NAMES = set("header masthead".split())
-#: A name with one of these says that its element has, lacks or shows something, not that it is that.
-STATES = set("no not non without with has have is are hide hides show shows open opened closed enabled disabled layout".split())
+#: Parts of a name that say where or in what shape something stands.
+PLACES = set("top bottom left right upper lower first last fixed floating sticky wide narrow small large mobile desktop global site page primary secondary main list "
+             "lists item items box bar row wrap wrapper container area block inner outer holder slot unit panel pane tray button buttons link links form thread message messages policy "
+             "col column section div leaderboard skyscraper a b c x".split())
+ANCHORED = set("h1 h2 h3 h4 h5 h6 p figure figcaption li dt dd blockquote pre table tr td th caption".split())
 
 _markup = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_attribute = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _raw_end = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW.split()}
 _name = re.compile(r"[a-z]+")
 _none = re.compile(r"display\s*:\s*none")
@@ -68,13 +73,15 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _named(attributes: str, in_main: bool) -> bool:
+def _named(tag: str, attributes: str, in_main: bool) -> bool:
     """Does a class, id or role name boilerplate?"""
+    words = BOILERPLATE_NAMES if in_main else BOILERPLATE_NAMES | HEADER_NAMES
+    asked = ("class", "role") if tag in ANCHORED or in_main and tag == "section" else ("class", "id", "role")
     for name, a, b, c in _attribute.findall(attributes):
-        if name.lower() in ("class", "id", "role"):
+        if name.lower() in asked:
             for whole in (a or b or c).lower().split():
                 parts = set(_name.findall(whole))
-                if (parts & BOILERPLATE_NAMES or not in_main and parts & HEADER_NAMES) and not parts & STATES:
+                if parts & words and parts <= words | PLACES:
                     return True
     return False
 
@@ -82,7 +89,8 @@ def _named(attributes: str, in_main: bool) -> bool:
 def blocks(page: str) -> list[tuple[int, str]]:
     """(region, text) of each block that is not empty, in page order; character references are decoded and white space is one space."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []  # open block-level elements and those that change the region
+    # Open block-level elements and those that change the region, with the region before and, for inline ones, the text that goes on behind them.
+    stack: list[tuple[str, int, list[str] | None]] = []
     region, text, at, n = OPEN, [], 0, len(page)
 
     def close() -> None:
@@ -92,6 +100,16 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if whole:
                 out.append((region, whole))
 
+    def leave() -> str:
+        """End of the innermost open element; its tag."""
+        nonlocal region, text
+        tag, before, rest = stack.pop()
+        if rest is not None:
+            close()
+            text = rest
+        region = before
+        return tag
+
     while at < n:
         m = _markup.search(page, at)
         text.append(page[at:m.start() if m else n])
@@ -103,12 +121,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if m[1]:
             if tag in BLOCK:
                 close()
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, before = stack.pop()
-                    region = before
-                    if t == tag:
-                        break
+            if any(t == tag for t, *_ in stack):
+                while leave() != tag:
+                    pass
             continue
         if tag in _raw_end:
             close() if tag in BLOCK or tag == "head" else text.append(" ")
@@ -127,23 +142,26 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         in_main = region == MAIN
         hidden = bool(m[3]) and tag not in ("html", "body") and _hidden(m[3])
-        decides = tag in ("article", "main") and region != MARKED and not any(t == "article" for t, _ in stack)
-        marked = hidden or bool(m[3]) and tag not in ("html", "body") and not decides and _named(m[3], in_main)
+        decides = tag in ("article", "main") and region != MARKED and not any(t == "article" for t, *_ in stack)
+        marked = hidden or bool(m[3]) and tag not in ("html", "body") and not decides and _named(tag, m[3], in_main)
         to = region
         if tag in BOILERPLATE_TAGS or marked or tag == "header" and not in_main:
             to = MARKED
         elif tag in ("article", "main"):
-            to = MARKED if any(t in ("aside", "form") or b == MAIN and region == MARKED for t, b in stack) else MAIN
-        if tag in BLOCK or to != region:
-            if tag in BLOCK:
-                close()
-                while stack and stack[-1][0] == "p":  # a paragraph ends where another block begins
-                    region = stack.pop()[1]
-                    to = region if to not in (MAIN, MARKED) else to
-            elif text:
-                close()
-            stack.append((tag, region))
+            to = MARKED if any(t in ("aside", "form") or b == MAIN and region == MARKED for t, b, _ in stack) else MAIN
+        if tag in BLOCK:
+            close()
+            while stack and stack[-1][0] == "p":  # a paragraph ends where another block begins
+                leave()
+                to = region if to not in (MAIN, MARKED) else to
+            stack.append((tag, region, None))
             region = to
+        elif to != region or any(t == tag and rest is not None for t, _, rest in stack):
+            stack.append((tag, region, text))
+            region, text = to, []
+    while stack:
+        close()
+        leave()
     close()
     return out
 
@@ -189,10 +207,9 @@ def _streams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _strip(texts: list[str], begin: list[int], covered: set[int], width: int) -> list[str]:
-    """Blocks of a page without the open blocks that are covered from end to end; all of them, if none would be left."""
+    """Blocks of a page without the open blocks that are covered from end to end."""
     hit = {p + i for p in covered for i in range(width)}
-    out = [t for t, b in zip(texts, begin) if b < 0 or not all(b + i in hit for i in range(t.count(" ") + 1))]
-    return out or texts
+    return [t for t, b in zip(texts, begin) if b < 0 or not all(b + i in hit for i in range(t.count(" ") + 1))]
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", width: int = WINDOW, fewest: int = FEWEST,

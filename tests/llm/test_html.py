@@ -108,3 +108,33 @@ def test_shared_sentences_and_edited_copies_stay(spark):
     text = {r.page_id: r.text for r in got.collect()}
     assert all(text[k] == "\n".join(body[k]) for k in body)
     assert text[50] == f"{said}\n{words(50, 9)}" and text[60] == f"{words(60, 9)} {said}\n{words(70, 12)}" and text[64] == f"{words(64, 9)} {said}"
+
+
+def test_names_that_mention_something_keep_main_text():
+    for part in ('<h2 id="search-algorithms">t</h2>', '<section class="related-work"><p>t</p></section>', '<p class="share-price">t</p>', '<h2 id="comment-on-results">t</h2>',
+                 '<figure class="widget-image">t</figure>', '<p data-id="ad-3">t</p>', '<p data-hidden="false">t</p>', '<h3 id=comments>t</h3>', '<section id="notice">t</section>',
+                 '<p title="a > b" data-class=\'ad\'>t</p>', '<div class="ad-hoc">t</div>', '<div data-role=banner aria-hidden=false>t</div>'):
+        assert main_of(f"<article><p>a</p>{part}<p>b</p></article>") == "a\nt\nb", part
+    assert main_of('<article><p>one <em title="the hidden cost">two</em> three <a href="/view?id=banner-12">four</a> five</p></article>') == "one two three four five"
+
+
+def test_names_that_are_boilerplate():
+    for name in ("ad", "top-ad", "ads ad-unit", "cookie-notice", "comment-list", "sidebar left", "newsletter_form", "social-share-buttons", "nav__item", "related-links"):
+        assert main_of(f"<article><p>a</p><div class='x {name}'><p>no</p></div><p>b</p></article>") == "a\nb", name
+    assert main_of("<article>a<section class=comments><p>no</p></section><div id='comments'>no</div></article>") == "a"
+
+
+def test_marked_inline_text_goes_and_its_block_stays_whole():
+    for mark in ("class=ad", "hidden", "style='display:none'", "aria-hidden='true'"):
+        assert main_of(f"<article><p>text <span {mark}>Buy <span>now</span></span> more</p><p>next</article>") == "text more\nnext"
+        assert main_of(f"<article><p>text <span {mark}>never closed</p><p>next</p></article>") == "text\nnext"
+        assert main_of(f"<article><p>text <span {mark}>no<div>no</div>no</span> more</p></article>").replace("\n", " ") == "text more"
+    assert main_of("<article>a <span class=ad>no") == "a"
+    assert main_of("<article>a <b>b <span class=ad>no <span>no</span> no</span> c</b> d</article>") == "a b c d"
+
+
+def test_a_page_of_repeats_alone_is_empty(spark):
+    menu = "all the topics of this site from news to weather in one list"
+    rows = [(i, "https://a.org/x", f"<div>{menu}</div>" + (f"<p>own words of page {i} and more of them</p>" if i else "")) for i in range(8)]
+    text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text[0] == "" and text[3] == "own words of page 3 and more of them"
