@@ -200,6 +200,27 @@ def touch_source(referrer: Column, own_sites: Sequence[str]) -> tuple[Column, Co
     return medium, source
 
 
+#: The parts of a page event's documents that name where a visitor came from.
+PAGE_CONTEXT = """struct<page: struct<referrer: string, url: string, title: string>, campaign: struct<medium: string, source: string, adgroup: string, name: string,
+  content: string, term: string, matchtype: string, location: string, network: string, device: string, devicemodel: string>>"""
+PAGE_PROPERTIES = "struct<url: string, title: string>"
+# Columns of a touch and the campaign fields that they hold.
+CAMPAIGN = {"acquisition_adgroup": "adgroup", "acquisition_campaign": "name", "acquisition_content": "content", "acquisition_keyword": "term", "campaign_matchtype": "matchtype",
+            "campaign_location": "location", "campaign_network": "network", "campaign_device": "device", "campaign_devicemodel": "devicemodel"}
+TOUCH = ["acquisition_medium", "acquisition_source", *CAMPAIGN, "landing_page"]
+
+
+def acquisition_visits(pages: DataFrame, person: str, ts: str, ident: str, own_sites: Sequence[str]) -> DataFrame:
+    """Page events with ``context`` and ``properties`` (JSON texts) as touches: medium and source of the campaign, or else of the referrer, the
+    other campaign fields and the landing page. Visits without a person or a time are no touches."""
+    d = pages.filter(F.col(person).isNotNull() & F.col(ts).isNotNull()).select(
+        person, ts, ident, F.from_json("context", PAGE_CONTEXT).alias("c"), F.from_json("properties", PAGE_PROPERTIES).alias("p"))
+    medium, source = touch_source(F.col("c.page.referrer"), own_sites)
+    return d.select(person, ts, ident, F.coalesce("c.campaign.medium", medium).alias("acquisition_medium"), F.coalesce("c.campaign.source", source).alias("acquisition_source"),
+                    *[F.col(f"c.campaign.{f}").alias(n) for n, f in CAMPAIGN.items()],
+                    F.coalesce("c.page.url", "p.url", "p.title", "c.page.title").alias("landing_page"))
+
+
 def risk_journey(starts: DataFrame, responses: DataFrame, saves: DataFrame, methods: DataFrame, submits: DataFrame, key: str, ts: str,
                  tie: str, by: Sequence[str]) -> DataFrame:
     """Checkouts by risk response x address saved x chosen x submitted method.

@@ -205,6 +205,38 @@ def _(t):
     return out.select("signup_id", "first_visit", "first_k", "last_visit", "last_k")
 
 
+# What the documents of a page event hold, in SQL that both engines read; k is the event's number, which may be missing.
+PAGE = {"medium": "CASE k % 5 WHEN 0 THEN 'cpc' WHEN 1 THEN 'email' END", "source": "CASE k % 4 WHEN 0 THEN 'adnet' END", "adgroup": "CASE WHEN k % 2 = 0 THEN 'group' END", "name": "'c' || CAST(k % 7 AS STRING)",
+        "content": "CASE WHEN k % 3 = 0 THEN 'blue' END", "term": "CASE WHEN k % 9 < 4 THEN 'pay' END", "matchtype": "CASE WHEN k % 2 = 1 THEN 'exact' END", "location": "'l' || CAST(k % 3 AS STRING)",
+        "network": "CASE k % 4 WHEN 1 THEN 'g' WHEN 2 THEN 's' END", "device": "CASE k % 2 WHEN 0 THEN 'm' ELSE 'c' END", "devicemodel": "CASE k % 8 WHEN 0 THEN 'x1' END",
+        "referrer": "CASE k % 6 WHEN 0 THEN 'https://www.Google.com/q' WHEN 1 THEN 'https://bing.com/' WHEN 2 THEN 'https://shop.example/x' WHEN 3 THEN '' WHEN 4 THEN 'https://news.example' END",
+        "url": "CASE k % 4 WHEN 0 THEN '/u' END", "title": "CASE k % 4 WHEN 3 THEN 'Title' END", "p_url": "CASE k % 4 WHEN 1 THEN '/p' END", "p_title": "CASE k % 4 WHEN 2 THEN 'Page' END"}
+PAGE_SQL = {"acquisition_medium": "coalesce(f_medium, CASE WHEN coalesce(f_referrer, '') = '' OR f_referrer LIKE '%shop.example%' THEN 'website' ELSE 'organic' END)",
+            "acquisition_source": "coalesce(f_source, CASE WHEN coalesce(f_referrer, '') = '' OR f_referrer LIKE '%shop.example%' THEN 'direct' WHEN f_referrer ILIKE '%google%' THEN 'google' "
+                                  "WHEN f_referrer ILIKE '%bing%' THEN 'bing' ELSE 'others' END)",
+            **{n: f"f_{f}" for n, f in op.CAMPAIGN.items()}, "landing_page": "coalesce(f_url, f_p_url, f_p_title, f_title)"}
+
+
+@query("d75_acquisition", sql("gaps", f"""
+s AS (SELECT device_id, ts AS s_ts, event_id AS signup_id FROM gaps WHERE event_type = 'signup'),
+p AS (SELECT device_id, ts AS v_ts, event_id AS visit, {", ".join(f"{e} AS f_{n}" for n, e in PAGE.items())} FROM gaps WHERE event_type = 'view' AND device_id IS NOT NULL AND ts IS NOT NULL),
+v AS (SELECT device_id, v_ts, visit, {", ".join(f"{e} AS {n}" for n, e in PAGE_SQL.items())} FROM p)
+SELECT signup_id, {", ".join(f"arg_min(v, (v_ts, visit)).{c} AS first_{c}, arg_max(v, (v_ts, visit)).{c} AS last_{c}" for c in op.TOUCH)} FROM s LEFT JOIN v
+  ON s.device_id = v.device_id AND v_ts < s_ts AND floor((epoch_us(s_ts) - epoch_us(v_ts)) / 86400000000) <= 60 GROUP BY 1"""))
+def _(t):
+    """First and last touch of each sign-up within 60 days, with medium and source out of the campaign or the referrer."""
+    f = {n: F.expr(e) for n, e in PAGE.items()}
+    part = lambda names: F.struct(*[f[n].alias(n.removeprefix("p_")) for n in names])
+    names = list(PAGE)
+    context = F.to_json(F.struct(part(names[:11]).alias("campaign"), part(["referrer", "url", "title"]).alias("page")))
+    e = t.gappy_events().filter("event_type = 'view'").select("device_id", F.col("ts").alias("v_ts"), F.col("event_id").alias("visit"), context.alias("context"),
+                                                              F.to_json(part(["p_url", "p_title"])).alias("properties"))
+    signups = t.gappy_events().filter("event_type = 'signup'").select("device_id", F.col("ts").alias("s_ts"), F.col("event_id").alias("signup_id"))
+    visits = op.acquisition_visits(e, "device_id", "v_ts", "visit", ["shop.example"])
+    out = lookup.touch_attribution(signups, visits, "device_id", "signup_id", "s_ts", "v_ts", "visit", op.TOUCH, days=60)
+    return out.select("signup_id", *[f"{x}_{c}" for c in op.TOUCH for x in ("first", "last")])
+
+
 # Leads stand on orders: an order is a call to its customer.
 @query("d76_lead_enrich", sql("pay", """
 c AS (SELECT merchant_id, payment_id, created_date, (['Call later','Mtu done on call','RNR','Others','weird'])[payment_id % 5 + 1] AS status, (['Immediate','7 days','1 month','soon'])[payment_id % 4 + 1] AS go_live,
