@@ -81,7 +81,7 @@ def scan_all(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk:
         known = known & F.col(k).isNotNull()
     whole = row_hash(df)
     d = df.withColumn(CHUNK, chunk).withColumn(KNOWN, known)
-    d = d.withColumn(CHUNK, F.coalesce(F.when(F.col(KNOWN), F.col(CHUNK)), F.pmod(whole, F.lit(SPREAD))))
+    d = d.withColumn(CHUNK, F.coalesce(F.when(F.col(KNOWN), F.col(CHUNK)), whole.bitwiseAND(F.lit(SPREAD - 1).cast("bigint"))))
     # Keys without NULL: a join by them asks neither side for a filter, which would make the branches differ.
     d = d.withColumns({f"__key_{k}": F.coalesce(k, some_value(df.schema[k].dataType)) for k in keys})
     key_names = [f"__key_{k}" for k in keys]
