@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import ROUND_FLOOR, Decimal
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
 from ..functions.grouped import pivot_sum, with_report_totals, with_totals
+from ..session import scratch_dir
 from .stats import rows_to_reach
 
+#: Subsets of dimensions that one job of the search groups the leaf table by.
+SETS_PER_JOB = 64
+
 
 def leaf_table(df: DataFrame, dims: Sequence[str], period: str, pre: str, post: str, opens: str, submits: str) -> DataFrame:
     """One row per combination of the dimensions: opens and submits of both periods."""
@@ -83,7 +88,8 @@ def explain_impact(parts: DataFrame, dims: Sequence[str], share: float = 0.8, im
 
     All subsets come from one cube over the leaf table. Kept are subsets that
     need more than one row and not all of them; a small weight (rows needed x
-    share of rows) marks a compact explanation. The cube has 2^n subsets of n dimensions.
+    share of rows) marks a compact explanation. The cube has 2^n subsets of n
+    dimensions; ``search_explanations`` finds the short ones among many.
     """
     exact = parts.withColumn("__i", F.round(impact, 12).cast("decimal(24,12)"))
     rows = exact.cube(*dims).agg(F.sum("__i").alias("__i"), F.grouping_id().alias("__set"))
@@ -100,6 +106,70 @@ def explain_impact(parts: DataFrame, dims: Sequence[str], share: float = 0.8, im
     return out.filter(~F.col("rows_needed").isin(0, 1) & (F.col("share_needed") != 1))
 
 
+def _rows_of_sets(leaf: DataFrame, dims: Sequence[str], sets: Sequence[tuple[int, ...]], most: int, target: Decimal) -> dict[tuple[int, ...], tuple[int, int, int]]:
+    """Of each set of dimensions: its rows, its largest rows that stay within the
+    target, and how many rows any finer set needs at least; the last two are
+    counted up to ``most`` + 1."""
+    code = {sum(1 << (len(dims) - 1 - i) for i in range(len(dims)) if i not in s): s for s in sets}
+    rows = leaf.groupingSets([[F.col(dims[i]) for i in s] for s in sets], *dims).agg(
+        F.sum("__gain").alias("__gain"), F.sum("__reach").alias("__reach"), F.grouping_id().alias("__set"))
+    totals = rows.groupBy("__set").agg(F.count("*").alias("n"))
+    both = rows.select("__set", F.inline(F.array(
+        F.struct(F.lit(False).alias("reach"), F.col("__gain").alias("v")), F.struct(F.lit(True).alias("reach"), F.col("__reach").alias("v"))))).filter("v > 0")
+    # Each task hands on the largest rows of a set only, so the running sums below see few.
+    largest = Window.partitionBy("__set", "reach").orderBy(F.desc("v"))
+    top = both.withColumn("nth", F.row_number().over(largest)).filter(F.col("nth") <= most + 1)
+    within = top.withColumn("upto", F.sum("v").over(largest.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= F.lit(target))
+    counts = within.groupBy("__set").agg(F.count_if(~F.col("reach")).alias("need"), F.count_if("reach").alias("floor"))
+    return {code[r["__set"]]: (r["n"], r["need"] or 0, r["floor"] or 0) for r in totals.join(counts, "__set", "left").collect()}
+
+
+def search_explanations(parts: DataFrame, dims: Sequence[str], most: int = 10, share: float = 0.8, impact: str = "conversion_impact") -> DataFrame:
+    """The subsets of ``explain_impact`` that need at most ``most`` rows, without the cube.
+
+    Subsets are tried level by level. What k rows of any finer subset can reach is
+    bounded by the k largest groups of positive leaf impacts, so where these stay
+    within the share for more than ``most`` groups no finer subset is tried. A
+    subset with a dimension that its others already fix has the rows of the
+    others; it is not listed, nor are its finer ones. Nothing else is left out.
+
+    Jobs run while the query is built: the leaf table is written once to the
+    scratch folder and read once per ``SETS_PER_JOB`` subsets. Only the counts of
+    each subset come to the driver. A NULL impact counts as none, a NULL value of
+    a dimension is a value. A total of zero or an empty table gives no rows.
+    """
+    if not 0 < share < 1 or most < 1:
+        raise ValueError("share must lie between 0 and 1, most must be positive")
+    spark, dims = parts.sparkSession, list(dims)
+    exact = parts.groupBy(*dims).agg(F.coalesce(F.sum(F.round(impact, 12).cast("decimal(24,12)")), F.lit(0)).cast("decimal(34,12)").alias("__i"))
+    path = scratch_dir(spark, "leaf")
+    exact.write.parquet(path)
+    leaf = spark.read.schema(exact.schema).parquet(path)
+    total = leaf.agg(F.sum("__i")).first()[0] or Decimal(0)
+    gain = F.col("__i") if total > 0 else -F.col("__i")
+    leaf = leaf.select(*dims, gain.alias("__gain"), F.greatest(gain, F.lit(0)).alias("__reach"))
+    target = (abs(total) * Decimal(str(share))).quantize(Decimal("1e-12"), ROUND_FLOOR)
+
+    found, totals = [], {(): 1}
+    level = [(i,) for i in range(len(dims))] if total else []
+    while level:
+        alive = set()
+        for at in range(0, len(level), SETS_PER_JOB):
+            for s, (n, need, floor) in _rows_of_sets(leaf, dims, level[at:at + SETS_PER_JOB], most, target).items():
+                if any(totals[rest] == n for rest in combinations(s, len(s) - 1)):
+                    continue
+                totals[s] = n
+                if 1 < need <= most and need < n:
+                    found.append(("+".join(dims[i] for i in s), need, n))
+                if floor <= most:
+                    alive.add(s)
+        level = [s + (j,) for s in sorted(alive) for j in range(s[-1] + 1, len(dims))
+                 if all(rest in alive for rest in combinations(s + (j,), len(s)))]
+    out = spark.createDataFrame(found, "features string, rows_needed bigint, rows_total bigint")
+    out = out.withColumn("share_needed", ratio("rows_needed", "rows_total"))
+    return out.withColumn("weight", F.col("rows_needed") * F.col("share_needed"))
+
+
 def vol_rate_impact(leaf: DataFrame, by: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Two-factor split per group: volume impact = old rate x share change, rate
     impact = new share x rate change. ``within`` takes shares inside coarser groups."""

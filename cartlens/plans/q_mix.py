@@ -72,6 +72,25 @@ def _(t):
     return out.withColumns({"share_needed": rounded("share_needed"), "weight": rounded("weight")})
 
 
+SEARCH_DIMS = [*DIMS, "arm", "eligible"]
+
+
+@query("d14_explain_search", sql("cf", mix_sql(SEARCH_DIMS) + f""",
+c AS (SELECT {", ".join(SEARCH_DIMS)}, sum(CAST(round(conversion_impact, 12) AS DECIMAL(24,12))) AS i,
+  {" + ".join(f"grouping({d}) * {2 ** (len(SEARCH_DIMS) - 1 - j)}" for j, d in enumerate(SEARCH_DIMS))} AS gid FROM parts GROUP BY CUBE ({", ".join(SEARCH_DIMS)})),
+s AS (SELECT gid, i, sum(i) OVER (PARTITION BY gid) AS total FROM c),
+r AS (SELECT *, sum(i * sign(total)) OVER (PARTITION BY gid ORDER BY i * sign(total) DESC ROWS UNBOUNDED PRECEDING) AS run FROM s),
+n AS (SELECT gid, count(*) FILTER (run <= abs(total) * 0.8) AS rows_needed, count(*) AS rows_total FROM r GROUP BY 1),
+fixed AS (SELECT DISTINCT a.gid FROM n a JOIN n b ON b.rows_total = a.rows_total AND b.gid > a.gid AND a.gid & b.gid = a.gid AND bit_count(b.gid - a.gid) = 1)
+SELECT array_to_string(list_filter([{", ".join(f"CASE WHEN (gid // {2 ** (len(SEARCH_DIMS) - 1 - j)}) % 2 = 0 THEN '{d}' END" for j, d in enumerate(SEARCH_DIMS))}], lambda x: x IS NOT NULL), '+') AS features,
+  rows_needed, rows_total, round(rows_needed::DOUBLE / rows_total, 6) AS share_needed, round(rows_needed * (rows_needed::DOUBLE / rows_total), 6) AS weight
+FROM n ANTI JOIN fixed USING (gid) WHERE rows_needed BETWEEN 2 AND 20 AND rows_needed <> rows_total"""))
+def _(t):
+    parts = op.mix_decompose(leaf(t, SEARCH_DIMS), SEARCH_DIMS).select(*SEARCH_DIMS, "conversion_impact")
+    out = op.search_explanations(parts, SEARCH_DIMS, 20)
+    return out.withColumns({"share_needed": rounded("share_needed"), "weight": rounded("weight")})
+
+
 @query("d15_feature_impact", sql("cf", mix_sql(DIMS) + """
 SELECT aov, round(sum(aov_impact), 8) AS volume_impact, round(sum(conversion_impact), 8) AS conversion_impact, round(sum(share_pre), 8) AS share_pre,
   round(sum(share_post), 8) AS share_post, round(sum(submit_pre)::DOUBLE / nullif(sum(open_pre), 0), 8) AS cr_pre,
