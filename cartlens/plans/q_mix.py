@@ -9,9 +9,9 @@ DIMS = ["platform", "browser", "os", "aov"]
 
 
 def leaf(t, dims=DIMS):
-    # The decomposition reads the leaf table once per prefix: it is written once,
-    # so the event log is scanned once. In the later period checkouts with large
-    # carts do not count as won, which gives the analysis a real drop to explain.
+    # The decomposition reads the leaf table once per prefix; Spark reuses its
+    # exchange, so the event log is scanned once. In the later period checkouts with
+    # large carts do not count as won, which gives the analysis a real drop to explain.
     counts = (F.col("period") == "Prev") | (F.col("max_k") < 60)
     c = t.checkouts().withColumn("won", F.when(counts, F.col("open") * F.col("paid")).otherwise(0))
     return op.leaf_table(c, dims, "period", "Prev", "Post", "open", "won")
