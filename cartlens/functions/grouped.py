@@ -192,9 +192,11 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
 def left_join_sparse(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str] | None = None) -> DataFrame:
     """Left join on a key that is often NULL on the left. Rows without a key match
     nothing; a salt out of the ``spread`` columns (or the whole row) keeps them from all
-    meeting in the one task that NULL hashes to."""
+    meeting in the one task that NULL hashes to. The right side's salt is 0, computed out
+    of its key: a literal would be put in the place of the left side's salt, and the join
+    would deal its rows by the key alone."""
     salt = F.when(F.col(key).isNull(), F.xxhash64(*spread) if spread else row_hash(left)).otherwise(F.lit(0).cast("bigint"))
-    r = right.withColumn("__salt", F.lit(0).cast("bigint"))
+    r = right.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(1)))
     return left.withColumn("__salt", salt).join(r, [key, "__salt"], "left").drop("__salt")
 
 

@@ -246,3 +246,17 @@ def test_left_join_sparse_keeps_rows_without_key(spark, rows):
     b = spark.createDataFrame([(7, "x"), (None, "never")], "k long, v string")
     out = left_join_sparse(a, b, "k", ["id"])
     assert rows(out.select("id", "k", "v")) == [(1, 7, "x"), (2, None, None), (3, None, None), (4, 8, None)]
+
+
+def test_left_join_sparse_spreads_rows_without_key(spark):
+    from cartlens.functions.grouped import left_join_sparse
+    s = spark.newSession()
+    for k, v in {"autoBroadcastJoinThreshold": "-1", "adaptive.enabled": "false", "shuffle.partitions": "8"}.items():
+        s.conf.set(f"spark.sql.{k}", v)
+    a = s.range(2000).select("id", F.when(F.col("id") % 5 == 0, F.col("id")).alias("k"))
+    b = s.range(0, 2000, 10).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    for spread in (["id"], None):
+        out = left_join_sparse(a, b, "k", spread).select("k", "v", F.spark_partition_id().alias("task")).collect()
+        assert sorted(r["k"] for r in out if r["v"] == "x") == list(range(0, 2000, 10))
+        tasks = [sum(r["k"] is None and r["task"] == i for r in out) for i in range(8)]
+        assert sum(tasks) == 1600 and max(tasks) < 400
